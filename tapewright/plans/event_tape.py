@@ -76,7 +76,11 @@ def minute_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             (e * 10 + F.when(e % 127 == 0, 503).otherwise(0) + n).cast("bigint").alias("record_id"),
             F.when(n == 2, F.lit("b-resend"))
             .otherwise(F.concat(F.lit("b-"), F.lower("contract_id"))).alias("batch_id"),
-            "contract_id", "ts_exchange", "trade_date", "open",
+            "contract_id",
+            F.when(e % 139 == 0, F.col("ts_exchange") + F.expr("interval 30 seconds"))
+            .otherwise(F.col("ts_exchange")).alias("ts_exchange"),
+            "trade_date",
+            F.when(e % 137 == 0, F.col("high") + 2.0).otherwise(F.col("open")).alias("open"),
             F.when(swap, F.col("low")).otherwise(F.col("high")).alias("high"),
             F.when(swap, F.col("high")).otherwise(F.col("low")).alias("low"),
             close.alias("close"),
