@@ -42,9 +42,14 @@ def main(sf_dir: str, names: list[str]) -> int:
         .config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+
+    def connect():
+        con = duckdb.connect()
+        for table in TABLES:
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        return con
+
+    con = connect()
     bad = 0
     for name in names or list(QUERIES):
         if name not in ORACLE:
@@ -78,6 +83,7 @@ def main(sf_dir: str, names: list[str]) -> int:
                 print(f"{name:28s} ok {sum(got.values()):6d} rows {took} {'TYPES ' + str(sorted(set(odd))) if odd else ''}", flush=True)
         except Exception as error:  # noqa: BLE001 - a report, not control flow
             bad += 1
+            con = connect()
             print(f"{name:28s} FAILED {str(error).split('JVM stacktrace')[0][:600]}", flush=True)
     print(f"{bad} of {len(names or QUERIES)} not in agreement")
     return bad

@@ -650,10 +650,7 @@ def _drop(e: Env) -> str:
 def _read_lines(e: Env) -> DataFrame:
     """The drop read back under the header it was agreed to have."""
     names = ["contract", "timestamp", "open", "high", "low", "close", "volume"]
-    schema = ", ".join(f"`{n}` STRING" for n in [*names, readers.BROKEN])
-    raw = e.spark.read.schema(schema).option("columnNameOfCorruptRecord", readers.BROKEN).csv(_drop(e)).select(
-        "*", F.col("_metadata.file_path").alias(readers.FILE), F.col("_metadata.file_block_start").alias("_block"))
-    return readers.with_source_row(raw)
+    return readers.with_source_row(readers.text_lines(e.spark, _drop(e), names, header=False))
 
 
 def _csv(e: Env) -> str:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """Half up, after the noise a float sum picks up from its order has been taken off."""
+    return F.round(F.round(value, 9), places)
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``keys, n, out``: the exact median of ``value`` per group, never one group in one task.
 

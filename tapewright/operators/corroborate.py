@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import rounded
 from ..catalogue import CORROBORATED_RULES
 
 SESSION = ["contract_id", "trade_date"]
@@ -55,7 +56,7 @@ def corroborate(findings: DataFrame, cross_metrics: DataFrame, records: DataFram
         .when(thin, "the minute tape covers too little of the session to measure its range")
         .when(disputed, "the minute tape measures another range for this session")
         .otherwise("the minute tape measures the stated range").alias("reason"),
-        F.when(~one_grain & ~outside, F.round(100.0 * F.col("coverage"), 2)).alias("minute_coverage_pct"),
+        F.when(~one_grain & ~outside, rounded(100.0 * F.col("coverage"), 2)).alias("minute_coverage_pct"),
         F.when(disputed, F.col("worst.field")).alias("field"),
         F.when(disputed, F.col("worst.ticks")).alias("ticks"),
         F.when(disputed, F.col("worst.difference")).alias("difference"),

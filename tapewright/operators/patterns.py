@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import rounded
 from ..catalogue import RULES_BY_ID, lookup
 from ..functions.clock import CHICAGO
 from ..session import small
@@ -124,8 +125,8 @@ def find_patterns(
     medium = (F.col("raw_lift") >= 5) & (F.col("support") >= 50)
     return rows.select(
         *keys, pattern_id(F.col("rule_id"), F.col("dimension"), F.col("bucket")).alias("pattern_id"), "rule_id",
-        "dimension", "bucket", F.round("f", 4).alias("share_of_findings"),
-        F.round("r", 4).alias("share_of_records"), F.round("raw_lift", 2).alias("lift"), "support", "distinct_days",
+        "dimension", "bucket", rounded("f", 4).alias("share_of_findings"),
+        rounded("r", 4).alias("share_of_records"), rounded("raw_lift", 2).alias("lift"), "support", "distinct_days",
         narrative.alias("narrative"),
         F.when(strong, "high").when(medium, "medium").otherwise("low").alias("confidence"))
 

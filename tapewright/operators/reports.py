@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import rounded
 from ..catalogue import (
     RULES_BY_ID, SETTLEMENT_RULES, SUBJECT_FIELD, lookup, rule_dimension, severity_rank,
 )
@@ -70,7 +71,7 @@ def metrics_by(metrics: DataFrame, group: str, dimension: str | None = None) ->
         metrics = metrics.filter(F.col("dimension") == dimension)
     sums = ["expected_records", "actual_records", "affected_records", "finding_count"]
     return metrics.groupBy(F.col(GROUPINGS[group]).alias(group)).agg(
-        *[F.sum(name).alias(name) for name in sums], F.round(F.avg("dimension_score"), 2).alias("dimension_score"))
+        *[F.sum(name).alias(name) for name in sums], rounded(F.avg("dimension_score"), 2).alias("dimension_score"))
 
 
 def metrics_by_rule(findings: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def worst_field(findings: DataFrame) -> DataFrame:
 def summary(scores: DataFrame, findings: DataFrame, records: DataFrame, batches: DataFrame) -> dict[str, DataFrame]:
     """The relations of a dashboard page, each small."""
     return {
-        "overall": scores.agg(F.round(F.avg("overall"), 1).alias("overall_score"),
+        "overall": scores.agg(rounded(F.avg("overall"), 1).alias("overall_score"),
                               F.count("*").alias("slices"), F.count("overall").alias("scored")),
         "slices": scores,
         "contracts": contract_rows(scores, findings),

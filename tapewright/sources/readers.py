@@ -18,14 +18,23 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     Adds the source file and the 1-based data row in it, broken lines counted.
     """
     names = spark.read.option("header", True).csv(path).columns
+    return with_source_row(text_lines(spark, path, names, header=True))
+
+
+def text_lines(spark: SparkSession, path: str, names: list[str], header: bool) -> DataFrame:
+    """CSV cells as text under agreed names, with the split each line was read from.
+
+    Pruning is off in the parser: with it, a line is only as wide as the columns a query asks
+    for, and a short line would pass or fail depending on the query.
+    """
     schema = ", ".join(f"`{name}` STRING" for name in [*names, BROKEN])
-    raw = (
+    return (
         spark.read.schema(schema)
-        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+        .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+        .option("columnPruning", False)
         .csv(path)
         .select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("_block"))
     )
-    return with_source_row(raw)
 
 
 def read_parquet_text(spark: SparkSession, path: str) -> DataFrame:
