@@ -29,6 +29,7 @@ OVERRIDES = {
 }
 ROLLING = {**OVERRIDES, "ROL.THIN_NEAR_EXPIRY": {"days": 10, "collapse_ratio": 1.5}}
 RUN_ID, DETECTED_AT = "run-1", "2024-02-01 00:00:00"
+EVEN_LIFT = 0.5
 PATTERN = {"lift": 1.2, "min_support": 5, "min_periods": 2}
 
 _envs: dict[tuple[str, str], "Env"] = {}
@@ -123,6 +124,13 @@ class Env:
             record_exposure(self.weekdays, self.batches),
             finding_tallies(self.findings, self.weekdays, self.batches), **PATTERN), "patterns")
 
+    @cached_property
+    def even_patterns(self) -> DataFrame:
+        """Patterns down to even concentration: both grains quote off the tick on this tape."""
+        return find_patterns(
+            record_exposure(self.weekdays, self.batches),
+            finding_tallies(self.findings, self.weekdays, self.batches), **{**PATTERN, "lift": EVEN_LIFT})
+
     @cached_property
     def slice_patterns(self) -> DataFrame:
         return settle(find_patterns(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .env import OVERRIDES, PATTERN
+from .env import EVEN_LIFT, OVERRIDES, PATTERN
 from .queries import ENGINE_RULES, EVIDENCE, FULL_TAPE_RULES
 from .sql_base import IDENT, RELATIONS, compose, coverage_sql, r6, relation, slug, txt, utc
 
@@ -490,7 +490,7 @@ SELECT rule_id, contract_id AS c, frequency AS g, trade_date AS day, {_buckets('
 FROM (SELECT f.rule_id, f.contract_id, f.frequency, f.trade_date, f.t0, w.filename FROM q_f f LEFT JOIN q_week w ON w.record_id = f.record_id)""")
 
 
-def _patterns(keys: str) -> str:
+def _patterns(keys: str, lift: float = PATTERN["lift"]) -> str:
     comma = keys + ", " if keys else ""
     using = "USING (" + ", ".join(x for x in (keys, "dimension", "bucket") if x) + ")"
     group = ", ".join(x for x in (keys, "dimension") if x)
@@ -512,12 +512,13 @@ FROM (
     USING ({comma}rule_id)
   JOIN (SELECT {comma}u.d AS dimension, u.b AS bucket, count(*) AS records FROM q_exposed WHERE u.b IS NOT NULL GROUP BY ALL) {using}
   JOIN (SELECT {comma}u.d AS dimension, count(*) AS record_total FROM q_exposed WHERE u.b IS NOT NULL GROUP BY ALL) USING ({group}))
-WHERE sf / sr >= {PATTERN['lift']} AND support >= {PATTERN['min_support']}
+WHERE sf / sr >= {lift} AND support >= {PATTERN['min_support']}
   AND (dimension = 'trade_date' OR distinct_days >= {PATTERN['min_periods']})"""
 
 
 relation("q_patterns", _patterns(""))
 relation("q_slice_patterns", _patterns("c, g"))
+relation("q_even_patterns", _patterns("", EVEN_LIFT))
 sql("PAT-01", "SELECT u.d AS dimension, u.b AS bucket, count(*) AS records FROM q_exposed WHERE u.b IS NOT NULL GROUP BY ALL")
 sql("PAT-02", """
 SELECT rule_id, u.d AS dimension, u.b AS bucket, count(*) AS support, count(DISTINCT day) AS distinct_days, any_value(t) AS rule_total
@@ -525,7 +526,7 @@ FROM q_placed JOIN (SELECT rule_id, count(*) AS t FROM q_f GROUP BY 1) USING (ru
 _pattern = f"""pattern_id, rule_id, dimension, bucket, {r6('share_of_findings')} AS share_of_findings,
   {r6('share_of_records')} AS share_of_records, {r6('lift')} AS lift, support, distinct_days, narrative, confidence"""
 sql("PAT-03", f"SELECT {_pattern} FROM q_patterns")
-relation("q_proposed", """
+_proposed = """
 SELECT * FROM (
   SELECT pattern_id, CASE
     WHEN rule_id = 'CMP.MISSING_TIMESTAMP' AND dimension = 'hour_of_day' THEN {p: 1, k: 'calendar', o: 'add_halt_window',
@@ -543,11 +544,13 @@ SELECT * FROM (
       t: 'stage.ingest_batch', title: 'Record the vendor close as a settlement for this source'}
     WHEN rule_id = 'REC.VOLUME_SHORTFALL' AND dimension = 'trade_date' THEN {p: 6, k: 'rule', o: 'suppress_on_dates', t: 'dq.dq_rule',
       title: 'Stop checking the volume shortfall on ' || bucket} END AS s
-  FROM q_patterns) WHERE s IS NOT NULL""")
+  FROM q_patterns) WHERE s IS NOT NULL"""
+relation("q_proposed", _proposed)
+relation("q_even_proposed", _proposed.replace("q_patterns", "q_even_patterns"))
 for _i in range(1, 7):
     sql(f"SUG-0{_i}", f"""
 SELECT pattern_id, {n('s.p')} AS priority, s.k AS kind, s.o AS operation, s.t AS target, s.title AS title
-FROM q_proposed WHERE s.p = {_i}""")
+FROM {'q_even_proposed' if _i == 4 else 'q_proposed'} WHERE s.p = {_i}""")
 sql("SUG-07", f"""
 SELECT 's_' || substr(sha1(pattern_id || '|' || s.o), 1, 16) AS suggestion_id, pattern_id AS from_pattern, s.k AS kind,
   s.title AS title, s.t AS target, s.o AS operation, rule_id, bucket, support AS findings_suppressed, distinct_days AS sessions,
@@ -705,6 +708,18 @@ SELECT contract_id AS contract_symbol, count(*) AS rows, {d('min(trade_date)')}
   {n('sum(volume)')} AS volume FROM q_daily GROUP BY 1""")
 sql("SRC-03", f"""
 SELECT count(*) AS rows, count(*) AS stamped, count(*) FILTER (record_id % 233 = 0) AS broken, TRUE AS unbroken FROM q_sent""")
+relation("q_files", r"""
+SELECT contract_id, string_agg(contract_id || ',' || trade_date || ',' || volume, chr(10) ORDER BY trade_date) || chr(10) AS body
+FROM q_daily GROUP BY 1""")
+sql("SRC-05", f"""
+SELECT sha256(body) AS file_hash, {n('strlen(body)')} AS file_bytes, 'csv' AS file_format, {n('2')} AS files,
+  {n("if(contract_id = 'ESH24', 2, 0)")} AS already_ingested, {n('1')} AS repeated, {n("if(contract_id = 'ESH24', 2, 1)")} AS duplicates
+FROM q_files""")
+sql("SRC-15", """
+SELECT sha256(body) AS file_hash, (SELECT sha256(body) FROM q_files WHERE contract_id = 'ESH24') AS sha256
+FROM q_files WHERE contract_id <> 'ESH24'""")
+sql("UNQ.DUPLICATE_FILE", f"""
+SELECT 'UNQ.DUPLICATE_FILE' AS rule_id, sha256(body) AS file_hash, {n('strlen(body)')} AS file_bytes, TRUE AS already_ingested FROM q_files""")
 sql("SRC-06", """
 SELECT 'aliases' AS layout, '' AS declined, u.f AS field, u.n AS cells FROM (
   SELECT unnest([{f: 'contract_id', n: count(*) FILTER (record_id % 211 <> 0)}, {f: 'ts', n: count(*)}, {f: 'ts_source', n: count(*)},

@@ -486,7 +486,7 @@ SUGGESTION_GENERATORS: dict[str, Callable[[Env], DataFrame]] = {
     "SUG-01": lambda e: SG.halt_window(_rooted(e)),
     "SUG-02": lambda e: SG.holiday_or_roll(_rooted(e), e.facts, e.scope.calendar),
     "SUG-03": lambda e: SG.dedupe_tie_break(_rooted(e)),
-    "SUG-04": lambda e: SG.tick_reference(_rooted(e)),
+    "SUG-04": lambda e: SG.tick_reference(SG.with_root(e.even_patterns, e.facts)),
     "SUG-05": lambda e: SG.settlement_close(_rooted(e)),
     "SUG-06": lambda e: SG.shortfall_on_roll(_rooted(e)),
 }
@@ -698,14 +698,32 @@ def _(e: Env) -> DataFrame:
     return per_file.agg(F.sum("n").alias("rows"), F.sum("stamped").alias("stamped"), F.sum("broken").alias("broken"), F.bool_and(whole).alias("unbroken"))
 
 
+def _files(e: Env) -> str:
+    """A drop of one text file per contract, each delivered twice; its bytes follow from the tape."""
+    if not hasattr(e, "_files_path"):
+        e._files_path = scratch_path(e.spark, "files")
+        lines = e.tape.filter("frequency = 'daily'").select(
+            "contract_id", "trade_date", F.concat_ws(",", "contract_id", "trade_date", "volume").alias("value"))
+        for delivery in ("first", "second"):
+            lines.repartition("contract_id").sortWithinPartitions("contract_id", "trade_date").select(
+                "contract_id", "value").write.partitionBy("contract_id").text(f"{e._files_path}/{delivery}")
+    return e._files_path
+
+
+def _known(e: Env) -> DataFrame:
+    """Hash of the one file already loaded, taken from its lines."""
+    lines = e.tape.filter("frequency = 'daily' and contract_id = 'ESH24'").agg(F.array_sort(F.collect_list(
+        F.struct("trade_date", F.concat_ws(",", "contract_id", "trade_date", "volume").alias("line")))).alias("lines"))
+    text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return lines.select(F.sha2(text, 256).alias("file_hash"))
+
+
 @query("SRC-05")
 def _(e: Env) -> DataFrame:
-    """The drop is landed; its bytes are known to nobody yet, except one file already loaded."""
-    none = e.batches.select(F.lit(None).cast("string").alias("file_hash"))
-    seen = landing.landing_check(e.spark, _parquet(e), none)
-    known = seen.filter("file_format = 'parquet'").agg(F.min("file_hash").alias("file_hash"))
-    checked = landing.landing_check(e.spark, _parquet(e), known).filter("filename like 'part-%'")
-    return checked.groupBy("file_format").agg(F.count_if("already_ingested").alias("already_ingested"))
+    checked = landing.landing_check(e.spark, _files(e), _known(e)).filter("filename like 'part-%'")
+    return checked.groupBy("file_hash", "file_bytes", "file_format").agg(
+        F.count("*").alias("files"), F.count_if("already_ingested").alias("already_ingested"),
+        F.count_if("repeated_in_drop").alias("repeated"), F.count_if("duplicate").alias("duplicates"))
 
 
 @query("SRC-06")
@@ -792,12 +810,11 @@ def _(e: Env) -> DataFrame:
 
 @query("SRC-15")
 def _(e: Env) -> DataFrame:
-    """A manifest taken from the files themselves, one entry of it wrong and one stale."""
-    files = landing._hashed(e.spark, _parquet(e)).filter("filename like 'part-%'")
-    n = files.agg(F.min("filename").alias("first"))
-    manifest = files.join(F.broadcast(n), F.lit(True)).select(
-        "filename", F.when(F.col("filename") == F.col("first"), "0").otherwise(F.col("file_hash")).alias("sha256"))
-    return landing.verify_checksums(e.spark, _parquet(e), manifest).agg(F.count("*").alias("bad_files"))
+    """A manifest that is right about one contract's file and wrong about the others."""
+    first = f"{_files(e)}/first"
+    names = landing.file_hashes(e.spark, first).filter("name like '%/part-%'").select("name")
+    manifest = names.join(F.broadcast(_known(e).withColumnRenamed("file_hash", "sha256")), F.lit(True))
+    return landing.verify_checksums(e.spark, first, manifest).select("file_hash", "sha256")
 
 
 @query("SRC-16")
@@ -877,8 +894,8 @@ def _(e: Env) -> DataFrame:
 
 @query("UNQ.DUPLICATE_FILE")
 def _(e: Env) -> DataFrame:
-    """The CSV drop landed after its own hashes were recorded: every file is refused."""
-    none = e.batches.select(F.lit(None).cast("string").alias("file_hash"))
-    first = landing.landing_check(e.spark, _drop(e), none).filter("filename like 'part-%'")
-    again = landing.landing_check(e.spark, _drop(e), first.select("file_hash")).filter("filename like 'part-%'")
-    return again.agg(F.bool_and("duplicate").alias("all_refused"))
+    """Files of the second delivery whose bytes the first had brought: refused, with the rule named."""
+    first = landing.landing_check(e.spark, f"{_files(e)}/first", _known(e)).filter("filename like 'part-%'")
+    again = landing.landing_check(e.spark, f"{_files(e)}/second", first.select("file_hash")).filter("duplicate")
+    return again.filter("filename like 'part-%'").select(
+        F.lit("UNQ.DUPLICATE_FILE").alias("rule_id"), "file_hash", "file_bytes", "already_ingested")

@@ -12,6 +12,13 @@ FINDING_COLUMNS = [
     "ts_start_utc", "ts_end_utc", "record_id", "affected_rows", "details",
 ]
 
+#: A finding as a run stores it.
+FINDING_SCHEMA = (
+    "finding_id string, rule_id string, severity string, contract_id string, frequency string, "
+    "compare_frequency string, trade_date date, ts_start_utc timestamp, ts_end_utc timestamp, record_id bigint, "
+    "affected_rows bigint, details string, run_id string, status string, detected_at timestamp"
+)
+
 
 def finding_id(subject: Column) -> Column:
     """Deterministic id, so that a re-run writes the same findings."""

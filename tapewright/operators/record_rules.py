@@ -199,28 +199,33 @@ def record_findings(scope: Scope, rule_ids: list[str]) -> DataFrame:
     if _NEEDS_CALENDAR & set(rule_ids):
         df = df.join(scope.calendar.select("root", "trade_date", "is_holiday", "halts_utc"),
                      ["root", "trade_date"], "left")
-    entries, conditions = [], []
-    for rule_id in rule_ids:
-        rule = RULES_BY_ID[rule_id]
-        for test in RECORD_RULES[rule_id](scope.params(rule_id)):
-            fires = F.coalesce(test.when, F.lit(False))
-            if rule.frequency:
-                fires = fires & (F.col("frequency") == rule.frequency)
-            conditions.append(fires)
-            severity = F.lit(rule.severity) if test.severity is None else test.severity
-            entries.append(F.when(fires, F.struct(
-                F.lit(rule_id).alias("rule_id"), severity.alias("severity"),
-                F.lit(test.subject).alias("subject"),
-                F.to_json(F.struct(*[c.alias(n) for n, c in test.details.items()])).alias("details"),
-            )))
-    if not entries:
-        return df.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in FINDING_COLUMNS])
-    hit = df.filter(reduce(or_, conditions)).withColumn("hit", F.explode(F.array(*entries))).filter("hit is not null")
-    shaped = hit.select(
-        F.col("hit.rule_id").alias("rule_id"), F.col("hit.severity").alias("severity"), "contract_id",
-        "frequency", F.lit(None).cast("string").alias("compare_frequency"), "trade_date",
+    tests = [(rule_id, test) for rule_id in rule_ids for test in RECORD_RULES[rule_id](scope.params(rule_id))]
+    if not tests:
+        raise ValueError(f"no tests to run for {rule_ids}")
+
+    def fires(rule_id: str, test: Test) -> Column:
+        grain = RULES_BY_ID[rule_id].frequency
+        return test.when if grain is None else test.when & (F.col("frequency") == grain)
+
+    def of_hit(value: Callable[[str, Test], Column]) -> Column:
+        """Pick by test number; only the test that fired is evaluated."""
+        picked = None
+        for i, (rule_id, test) in enumerate(tests):
+            branch = F.col("hit") == i
+            picked = F.when(branch, value(rule_id, test)) if picked is None else picked.when(
+                branch, value(rule_id, test))
+        return picked
+
+    conditions = [fires(*item) for item in tests]
+    numbers = F.array_compact(F.array(*[F.when(c, i) for i, c in enumerate(conditions)]))
+    hits = df.filter(reduce(or_, conditions)).withColumn("hit", F.explode(numbers))
+    shaped = hits.select(
+        of_hit(lambda r, t: F.lit(r)).alias("rule_id"),
+        of_hit(lambda r, t: F.lit(RULES_BY_ID[r].severity) if t.severity is None else t.severity).alias("severity"),
+        "contract_id", "frequency", F.lit(None).cast("string").alias("compare_frequency"), "trade_date",
         F.col("ts_utc").alias("ts_start_utc"), F.col("ts_utc").alias("ts_end_utc"), "record_id",
-        F.lit(1).cast("bigint").alias("affected_rows"), F.col("hit.details").alias("details"),
-        F.col("hit.subject").alias("_subject"),
+        F.lit(1).cast("bigint").alias("affected_rows"),
+        of_hit(lambda r, t: F.to_json(F.struct(*[c.alias(n) for n, c in t.details.items()]))).alias("details"),
+        of_hit(lambda r, t: F.lit(t.subject)).alias("_subject"),
     )
     return shaped.withColumn("finding_id", finding_id(F.col("_subject"))).select(*FINDING_COLUMNS)

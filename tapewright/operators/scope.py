@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import rule_params
 from ..functions import series
-from ..session import settle, small
+from ..session import settle, small, together
 from ..sources.reference import calendar_for_loaded, tick_dim
 
 SLICE = ["contract_id", "frequency"]
@@ -94,7 +94,8 @@ def roll_windows(sessions: DataFrame, contracts: DataFrame, days: int, ratio: fl
 
 
 def scope_windows(coverage: DataFrame, roll: DataFrame) -> DataFrame:
-    return coverage.join(roll.select(*SLICE, "roll_start", "roll_end"), SLICE, "left")
+    """Coverage and roll of every slice side by side."""
+    return coverage.join(roll, SLICE, "left")
 
 
 def outside_roll(day: Column) -> Column:
@@ -155,18 +156,21 @@ class Scope:
         return small(settle(calendar, "calendar"))
 
     @cached_property
+    def all_windows(self) -> DataFrame:
+        roll = self.params("ROL.THIN_NEAR_EXPIRY")
+        floor = self.params("CMP.SESSION_MISSING")["volume_floor"]
+        coverage = coverage_windows(self.sessions, self.tables.contracts, floor)
+        rolling = roll_windows(self.sessions, self.tables.contracts, roll["days"], roll["collapse_ratio"])
+        return small(settle(scope_windows(coverage, rolling), "windows"))
+
+    @property
     def roll(self) -> DataFrame:
-        params = self.params("ROL.THIN_NEAR_EXPIRY")
-        return settle(
-            roll_windows(self.sessions, self.tables.contracts, params["days"], params["collapse_ratio"]),
-            "roll-windows",
-        )
+        return self.all_windows.filter("roll_start is not null").select(
+            *SLICE, "roll_start", "roll_end", "expiry_basis", "median_inside", "median_before")
 
-    @cached_property
+    @property
     def windows(self) -> DataFrame:
-        floor = self.params("CMP.SESSION_MISSING")["volume_floor"]
-        coverage = coverage_windows(self.sessions, self.tables.contracts, floor)
-        return small(settle(scope_windows(coverage, self.roll), "windows"))
+        return self.all_windows.drop("expiry_basis", "median_inside", "median_before")
 
     @cached_property
     def ticks(self) -> DataFrame:
@@ -189,6 +193,13 @@ class Scope:
         return None
 
 
+    def prepare(self) -> None:
+        """Write and check the small shared tables, those that are independent side by side."""
+        _ = self.days
+        together([lambda: self.calendar, lambda: self.all_windows, lambda: self.hot_days])
+        _ = self.refusal
+
+
 def build_scope(
     spark: SparkSession, tables: Tables, *, batch: str | None = None, contract_ids: list[str] | None = None,
     frequencies: list[str] | None = None, overrides: dict[str, dict] | None = None,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import lookup
 from ..functions import series
 from ..functions.stats import exact_median
-from ..session import settle
+from ..session import settle, small
 from ..sources.reference import PRODUCTS, SESSIONS
 from .cleaning import clean_records
 from .findings import findings
@@ -131,38 +133,55 @@ def timezone_misaligned(scope: Scope) -> DataFrame:
         affected=F.col("n"), subject=F.concat_ws(":", "batch_id", "root"))
 
 
-def _mad(scope: Scope, rule_id: str, valued: DataFrame, label: str) -> DataFrame:
-    """Modified z-score per slice; medians are exact and spread over tasks."""
-    p = scope.params(rule_id)
-    valued = settle(valued.filter("v is not null").select(*RECORD, "v"), "mad-values")
-    centre = exact_median(valued, SLICE, "v", "med").filter(F.col("n") >= p["min_records"]).drop("n")
-    centre = settle(centre, "mad-centre")
-    apart = valued.join(centre, SLICE).withColumn("apart", F.abs(F.col("v") - F.col("med")))
-    spread = exact_median(apart, SLICE, "apart", "mad").filter("mad > 0").select(*SLICE, "mad")
-    score = p["constant"] * (F.col("v") - F.col("med")) / F.col("mad")
-    rows = apart.join(spread, SLICE).withColumn("z", score).filter(F.abs("z") > p["threshold"])
-    return findings(rows, rule_id, {
-        label: F.col("v"), "median": F.col("med"), "mad": F.col("mad"), "modified_z": F.col("z"),
-        "threshold": F.lit(p["threshold"])}, record=F.col("record_id"))
-
-
 def _surviving(scope: Scope) -> DataFrame:
     if scope.tables.actions is None:
         return scope.records
     return clean_records(scope.records, scope.tables.actions)
 
 
-def return_mad(scope: Scope) -> DataFrame:
+def _log_returns(scope: Scope) -> DataFrame:
     rows = _surviving(scope).filter("close > 0").select(*RECORD, "source_row", "close")
     rows = series.with_chunks(rows, SLICE, scope.hot_days, block="source_row")
     rows = series.with_previous(rows, SLICE, ["ts_utc", "source_row", "record_id"], F.struct("close"))
-    return _mad(scope, "OUT.RETURN_MAD", rows.withColumn("v", F.ln(F.col("close") / F.col("prev.close"))),
-                "log_return")
+    return rows.withColumn("v", F.ln(F.col("close") / F.col("prev.close")))
+
+
+def _log_volumes(scope: Scope) -> DataFrame:
+    return _surviving(scope).filter("volume > 0").withColumn("v", F.ln("volume"))
 
 
-def volume_mad(scope: Scope) -> DataFrame:
-    rows = _surviving(scope).filter("volume > 0").withColumn("v", F.ln("volume"))
-    return _mad(scope, "OUT.VOLUME_MAD", rows, "log_volume")
+OUTLIER_RULES = {"OUT.RETURN_MAD": ("log_return", _log_returns), "OUT.VOLUME_MAD": ("log_volume", _log_volumes)}
+
+
+def outliers(scope: Scope, rule_ids: list[str]) -> DataFrame:
+    """Modified z-scores per slice, all outlier rules together.
+
+    The values are written once because medians read them again and again; medians are exact
+    and spread over tasks.
+    """
+    params = {rule: scope.params(rule) for rule in rule_ids}
+
+    def param(name: str) -> Column:
+        return lookup({rule: float(params[rule][name]) for rule in rule_ids}, F.col("rule"))
+
+    valued = [
+        OUTLIER_RULES[rule][1](scope).filter("v is not null").select(F.lit(rule).alias("rule"), *RECORD, "v")
+        for rule in rule_ids
+    ]
+    valued = settle(reduce(DataFrame.unionByName, valued), "mad-values")
+    group = ["rule", *SLICE]
+    centre = exact_median(valued, group, "v", "med").filter(F.col("n") >= param("min_records")).drop("n")
+    apart = valued.join(small(settle(centre, "mad-centre")), group).withColumn("apart", F.abs(F.col("v") - F.col("med")))
+    spread = exact_median(apart, group, "apart", "mad").filter("mad > 0").select(*group, "mad")
+    score = param("constant") * (F.col("v") - F.col("med")) / F.col("mad")
+    rows = apart.join(spread, group).withColumn("z", score).filter(F.abs("z") > param("threshold"))
+    out = None
+    for rule in rule_ids:
+        part = findings(rows.filter(F.col("rule") == rule), rule, {
+            OUTLIER_RULES[rule][0]: F.col("v"), "median": F.col("med"), "mad": F.col("mad"), "modified_z": F.col("z"),
+            "threshold": F.lit(params[rule]["threshold"])}, record=F.col("record_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 SERIES_RULES = {
@@ -172,6 +191,4 @@ SERIES_RULES = {
     "CON.PRICE_JUMP": price_jump,
     "TIM.OUT_OF_ORDER": out_of_order,
     "TIM.TIMEZONE_MISALIGNED": timezone_misaligned,
-    "OUT.RETURN_MAD": return_mad,
-    "OUT.VOLUME_MAD": volume_mad,
 }

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import ENGINE_RULES, MIN_RECORDS, RULES
 from ..operators.cleaning import cleaning_actions
-from ..operators.reconcile import RECONCILIATION_RULES
+from ..operators.findings import FINDING_SCHEMA
+from ..operators.reconcile import RECONCILIATION_RULES, settled_frame
 from ..operators.record_rules import RECORD_RULES, record_findings
 from ..operators.scope import Scope
 from ..operators.scoring import all_metrics, dimension_scores, overall_score
-from ..operators.series_rules import SERIES_RULES
+from ..operators.series_rules import OUTLIER_RULES, SERIES_RULES, outliers
 from ..operators.session_rules import SESSION_RULES, RuleRefused
-from ..session import literal_table, settle
+from ..session import literal_table, scratch_path, together
 
 SET_RULES = {**SERIES_RULES, **SESSION_RULES, **RECONCILIATION_RULES}
 
@@ -25,6 +26,8 @@ def rule_findings(scope: Scope, rule_id: str) -> DataFrame:
     """Findings of one rule; raises RuleRefused when an input it needs is absent."""
     if rule_id in RECORD_RULES:
         return record_findings(scope, [rule_id])
+    if rule_id in OUTLIER_RULES:
+        return outliers(scope, [rule_id])
     return SET_RULES[rule_id](scope)
 
 
@@ -32,24 +35,39 @@ def run_rules(
     scope: Scope, rule_ids: list[str] | None = None, run_id: str = "run-1",
     detected_at: str = "1970-01-01 00:00:00",
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings of every enabled rule and the refusals, which are not zero findings.
+    """Write the findings of every enabled rule; return them and the refusals, which are not zero findings.
 
-    All record rules share one scan; each set rule adds its own aggregate or window.
+    All record rules share one scan and the outlier rules their medians; each other rule adds
+    its own aggregate or window. The parts are independent writes under one folder, so none of
+    them waits for, or is planned together with, another.
     """
     wanted = [rule for rule in ENGINE_RULES if rule_ids is None or rule in rule_ids]
-    parts, refused = [], []
-    per_record = [rule for rule in wanted if rule in RECORD_RULES]
-    if per_record:
-        parts.append(record_findings(scope, per_record))
+    builds: dict[str, Callable[[], DataFrame]] = {}
+    for name, family, evaluate in (("record", RECORD_RULES, record_findings), ("outlier", OUTLIER_RULES, outliers)):
+        members = [rule for rule in wanted if rule in family]
+        if members:
+            builds[name] = lambda evaluate=evaluate, members=members: evaluate(scope, members)
     for rule in wanted:
-        if rule in RECORD_RULES:
-            continue
+        if rule in SET_RULES:
+            builds[rule] = lambda rule=rule: SET_RULES[rule](scope)
+    scope.prepare()
+    if any(rule in RECONCILIATION_RULES for rule in wanted):
+        settled_frame(scope)
+    path = scratch_path(scope.spark, "findings")
+    stamp = {"run_id": F.lit(run_id), "status": F.lit("open"), "detected_at": F.lit(detected_at).cast("timestamp")}
+
+    def write(name: str) -> tuple[str, str] | None:
         try:
-            parts.append(SET_RULES[rule](scope))
+            builds[name]().withColumns(stamp).write.parquet(f"{path}/part={name}")
         except RuleRefused as reason:
-            refused.append((rule, str(reason)))
-    found = reduce(DataFrame.unionByName, parts).withColumns({
-        "run_id": F.lit(run_id), "status": F.lit("open"), "detected_at": F.lit(detected_at).cast("timestamp")})
+            return name, str(reason)
+        return None
+
+    refused = [outcome for outcome in together([lambda name=name: write(name) for name in builds]) if outcome]
+    if len(refused) == len(builds):
+        found = scope.spark.createDataFrame([], FINDING_SCHEMA)
+    else:
+        found = scope.spark.read.schema(FINDING_SCHEMA).option("recursiveFileLookup", True).parquet(path)
     return found, literal_table(scope.spark, "rule_id string, reason string", refused)
 
 
@@ -83,7 +101,6 @@ def assess(
 ) -> Assessment:
     """Rules, metrics, scores and cleaning over one scope; findings are written once."""
     found, refusals = run_rules(scope, run_id=run_id, detected_at=detected_at)
-    found = settle(found, "findings")
     dimensions = dimension_scores(scope, found)
     return Assessment(
         scope, found, refusals, all_metrics(scope, found), dimensions,

@@ -126,7 +126,9 @@ def daily_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minute_records(spark, sf_dir).unionByName(daily_records(spark, sf_dir))
+    """Both grains, laid out by contract and session in evenly sized parts however skewed they are."""
+    both = minute_records(spark, sf_dir).unionByName(daily_records(spark, sf_dir))
+    return both.hint("rebalance", "contract_id", "trade_date")
 
 
 def weekday(records: DataFrame) -> DataFrame:

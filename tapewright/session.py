@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(actions: list[Callable[[], Any]], threads: int = 8) -> list[Any]:
+    """Run independent driver actions side by side, so that small jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return [future.result() for future in [pool.submit(action) for action in actions]]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger side keeps the shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,14 @@ def landing_check(spark: SparkSession, path: str, batches: DataFrame) -> DataFra
     ).withColumn("duplicate", F.col("already_ingested") | F.col("repeated_in_drop"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Hash of every file below ``path`` under its name relative to it."""
+    below = rf"{re.escape(path.rstrip('/'))}/(.*)$"
+    return _hashed(spark, path).select(F.regexp_extract("path", below, 1).alias("name"), "file_hash")
+
+
 def verify_checksums(spark: SparkSession, path: str, manifest: DataFrame, stale: list[str] | None = None) -> DataFrame:
-    """Files whose hash differs from the manifest's; ``manifest``: filename, sha256."""
+    """Files whose hash differs from the manifest's; ``manifest``: relative name, sha256."""
     skip = STALE_NAMES if stale is None else stale
-    return _hashed(spark, path).join(manifest, "filename").filter(
-        (F.col("file_hash") != F.col("sha256")) & ~F.col("filename").isin(skip)).select(
-        "filename", "file_hash", "sha256")
+    return file_hashes(spark, path).join(manifest, "name").filter(
+        (F.col("file_hash") != F.col("sha256")) & ~F.col("name").isin(skip)).select("name", "file_hash", "sha256")
