@@ -731,13 +731,17 @@ SELECT 'vendor_daily', 'root_id', f, n FROM (SELECT count(*) AS n FROM q_daily),
 relation("q_steps", """
 SELECT grain, epoch(ts - lag(ts) OVER (PARTITION BY grain, contract_id ORDER BY ts)) AS step
 FROM (SELECT DISTINCT frequency AS grain, contract_id, date_trunc('minute', tx) AS ts FROM q_tape)""")
+relation("q_modal", """
+SELECT grain, sum(n) AS deltas, list({s: step, n: n} ORDER BY n DESC, step)[1] AS top, list({s: step, n: n}) AS steps
+FROM (SELECT grain, CAST(step AS BIGINT) AS step, count(*) AS n FROM q_steps WHERE step > 0 GROUP BY ALL) GROUP BY grain""")
 sql("SRC-07", f"""
-SELECT {n('modal')} AS modal_seconds, deltas, at_mode, off_grid, {n('intraday')} AS intraday,
-  if(modal = 60, '1 minute', '1 day') AS label, if(modal = 60, 'minute', 'daily') AS frequency, {r6('1.0')} AS confidence,
-  {r6('at_mode / deltas')} AS modal_share, grain AS file
-FROM (SELECT grain, any_value(m) AS modal, count(*) AS deltas, count(*) FILTER (step = m) AS at_mode,
-        count(*) FILTER (CAST(step AS BIGINT) % CAST(m AS BIGINT) <> 0) AS off_grid
-      FROM (SELECT grain, step, mode(step) OVER (PARTITION BY grain) AS m FROM q_steps WHERE step > 0) GROUP BY grain)
+SELECT top.s AS modal_seconds, {n('deltas')} AS deltas, {n('top.n')} AS at_mode, {n('off_grid')} AS off_grid, {n('intraday')} AS intraday,
+  coalesce(known, top.s || ' seconds') AS label, if(intraday = 0 OR known = '1 day', 'daily', 'minute') AS frequency,
+  {r6('CASE WHEN known IS NULL THEN 0.2 WHEN off_grid > 0 THEN 0.5 ELSE 1.0 END')} AS confidence,
+  {r6('top.n / deltas')} AS modal_share, grain AS file
+FROM (SELECT *, CASE top.s WHEN 60 THEN '1 minute' WHEN 300 THEN '5 minutes' WHEN 900 THEN '15 minutes' WHEN 3600 THEN '1 hour'
+        WHEN 86400 THEN '1 day' END AS known,
+      coalesce(list_sum([x.n FOR x IN steps IF x.s % top.s <> 0]), 0) AS off_grid FROM q_modal)
 JOIN (SELECT frequency AS grain, count(*) FILTER (hour(tx) * 60 + minute(tx) <> 0) AS intraday FROM q_tape GROUP BY 1) USING (grain)""")
 sql("SRC-08", f"""
 SELECT 'America/Chicago' AS timezone, CASE WHEN n = 1 AND silent[1] = 16 THEN 'maintenance break' WHEN n = 1 THEN 'single empty hour'
