@@ -503,8 +503,8 @@ def _(e: Env) -> DataFrame:
 
 @query("RPT-01")
 def _(e: Env) -> DataFrame:
-    listed = RP.list_findings(e.findings, e.weekdays, e.batches, e.corroboration, status="open")
-    return RP.findings_page(listed, limit=500).select(*BASE, "filename", "source_row", "corroboration")
+    listed = RP.list_findings(e.findings, status="open")
+    return RP.findings_page(listed, e.weekdays, e.batches, e.corroboration, limit=500).select(*BASE, "filename", "source_row", "corroboration")
 
 
 @query("RPT-02")
@@ -774,7 +774,9 @@ def _loaded(e: Env) -> tuple[DataFrame, DataFrame]:
     lines = _read_lines(e)
     rows = ingest.to_targets(lines, ingest.resolve_columns(lines.columns))
     batch = F.lit("b-load")
-    return (ingest.type_records(rows, batch, "minute", ingested_at=F.lit("2024-02-01").cast("timestamp")),
+    part = F.regexp_extract(readers.FILE, r"part-(\d+)", 1).cast("bigint")
+    return (ingest.type_records(rows, batch, "minute", first_id=F.shiftleft(part, 40),
+                                ingested_at=F.lit("2024-02-01").cast("timestamp")),
             ingest.route_rejects(rows, batch))
 
 

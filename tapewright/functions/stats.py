@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,18 +16,22 @@ def rounded(value: Column | str, places: int) -> Column:
     return F.round(F.round(value, 9), places)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, out: str, per_group: Callable[[DataFrame], DataFrame] = lambda d: d
+) -> DataFrame:
     """``keys, n, out``: the exact median of ``value`` per group, never one group in one task.
 
     A sketch brackets the middle, bucket counts locate the bucket that holds the middle ranks,
-    and only that bucket's distinct values are put in order.
+    and only that bucket's distinct values are put in order. ``per_group`` is applied to the
+    sides that hold a row or two per group; a caller that has counted its groups passes
+    ``broadcast``, and the values are then never shuffled by group.
     """
     rows = df.select(*keys, F.col(value).alias("v")).filter("v is not null")
     bracket = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.percentile_approx("v", [0.49, 0.51], 1000).alias("q"),
     ).select(*keys, "n", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1"))
-    placed = rows.join(bracket, keys).withColumn(
+    placed = rows.join(per_group(bracket), keys).withColumn(
         "bucket",
         F.when(F.col("v") < F.col("q0"), 0)
         .when(F.col("v") > F.col("q1"), BUCKETS + 1)
@@ -42,7 +48,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     )
     ordered = W.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     return (
-        placed.join(middle, [*keys, "bucket"])
+        placed.join(per_group(middle), [*keys, "bucket"])
         .groupBy(*keys, "n", "bucket", "below", "v").agg(F.count("*").alias("c"))
         .withColumn("upto", F.col("below") + F.sum("c").over(ordered))
         .withColumn("from", F.col("upto") - F.col("c"))

@@ -34,8 +34,8 @@ def removed_ids(actions: DataFrame) -> DataFrame:
 
 
 def clean_records(records: DataFrame, actions: DataFrame) -> DataFrame:
-    """Records no decision removed."""
-    return records.join(actions.filter(F.col("action").isin(REMOVING)), "record_id", "left_anti")
+    """Records no decision removed; few decisions are broadcast, so the records stay in place."""
+    return records.join(small(removed_ids(actions)), "record_id", "left_anti")
 
 
 def exclusion_rate(records: DataFrame, contracts: DataFrame, actions: DataFrame) -> DataFrame:

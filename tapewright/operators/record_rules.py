@@ -207,25 +207,30 @@ def record_findings(scope: Scope, rule_ids: list[str]) -> DataFrame:
         grain = RULES_BY_ID[rule_id].frequency
         return test.when if grain is None else test.when & (F.col("frequency") == grain)
 
-    def of_hit(value: Callable[[str, Test], Column]) -> Column:
-        """Pick by test number; only the test that fired is evaluated."""
-        picked = None
-        for i, (rule_id, test) in enumerate(tests):
-            branch = F.col("hit") == i
-            picked = F.when(branch, value(rule_id, test)) if picked is None else picked.when(
-                branch, value(rule_id, test))
+    def at_hit(values: list[str]) -> Column:
+        return F.element_at(F.lit(values), F.col("hit") + 1)
+
+    def of_hit(values: dict[int, Column]) -> Column:
+        """Pick by test number; only the expression of the test that fired is evaluated."""
+        picked = F
+        for i, value in values.items():
+            picked = picked.when(F.col("hit") == i, value)
         return picked
 
     conditions = [fires(*item) for item in tests]
     numbers = F.array_compact(F.array(*[F.when(c, i) for i, c in enumerate(conditions)]))
     hits = df.filter(reduce(or_, conditions)).withColumn("hit", F.explode(numbers))
+    declared = at_hit([RULES_BY_ID[rule_id].severity for rule_id, _ in tests])
+    varying = {i: t.severity for i, (_, t) in enumerate(tests) if t.severity is not None}
+    severity = of_hit(varying).otherwise(declared) if varying else declared
     shaped = hits.select(
-        of_hit(lambda r, t: F.lit(r)).alias("rule_id"),
-        of_hit(lambda r, t: F.lit(RULES_BY_ID[r].severity) if t.severity is None else t.severity).alias("severity"),
+        at_hit([rule_id for rule_id, _ in tests]).alias("rule_id"),
+        severity.alias("severity"),
         "contract_id", "frequency", F.lit(None).cast("string").alias("compare_frequency"), "trade_date",
         F.col("ts_utc").alias("ts_start_utc"), F.col("ts_utc").alias("ts_end_utc"), "record_id",
         F.lit(1).cast("bigint").alias("affected_rows"),
-        of_hit(lambda r, t: F.to_json(F.struct(*[c.alias(n) for n, c in t.details.items()]))).alias("details"),
-        of_hit(lambda r, t: F.lit(t.subject)).alias("_subject"),
+        of_hit({i: F.to_json(F.struct(*[c.alias(n) for n, c in t.details.items()])) for i, (_, t) in enumerate(tests)})
+        .alias("details"),
+        at_hit([t.subject for _, t in tests]).alias("_subject"),
     )
     return shaped.withColumn("finding_id", finding_id(F.col("_subject"))).select(*FINDING_COLUMNS)

@@ -9,16 +9,16 @@ from ..functions.stats import rounded
 from ..catalogue import (
     RULES_BY_ID, SETTLEMENT_RULES, SUBJECT_FIELD, lookup, rule_dimension, severity_rank,
 )
-from ..session import small
+from ..session import settle, small
 
 GROUPINGS = {"day": "trade_date", "contract": "contract_id", "dimension": "dimension", "frequency": "frequency"}
 
 
 def list_findings(
-    findings: DataFrame, records: DataFrame, batches: DataFrame, corroboration: DataFrame | None = None, *,
-    contract_ids=None, start=None, end=None, frequency=None, rule_id=None, severity=None, status=None,
+    findings: DataFrame, *, contract_ids=None, start=None, end=None, frequency=None, rule_id=None, severity=None,
+    status=None,
 ) -> DataFrame:
-    """Findings with the file and row they came from; filters apply before any join."""
+    """Findings that match the filters; count it for the total, page it to read."""
     for name, value in (("frequency", frequency), ("rule_id", rule_id), ("severity", severity), ("status", status)):
         if value is not None:
             findings = findings.filter(F.col(name) == value)
@@ -28,19 +28,26 @@ def list_findings(
         findings = findings.filter(F.col("trade_date") >= F.lit(start).cast("date"))
     if end is not None:
         findings = findings.filter(F.col("trade_date") <= F.lit(end).cast("date"))
-    pinned = findings.filter("record_id is not null").join(
-        records.select("record_id", "batch_id", "source_row"), "record_id", "left")
-    loose = findings.filter("record_id is null")
-    out = pinned.unionByName(loose, allowMissingColumns=True).join(
-        small(batches.select("batch_id", "filename")), "batch_id", "left")
-    if corroboration is not None:
-        out = out.join(corroboration.select("finding_id", F.col("state").alias("corroboration")), "finding_id", "left")
-    return out
+    return findings
 
 
-def findings_page(listed: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page, newest first; the caller counts ``listed`` for the total."""
-    return listed.orderBy(F.desc("detected_at"), "finding_id").offset(offset).limit(limit)
+def findings_page(
+    listed: DataFrame, records: DataFrame, batches: DataFrame, corroboration: DataFrame | None = None,
+    limit: int = 100, offset: int = 0,
+) -> DataFrame:
+    """One page, newest first, with the file and row of each finding and its corroboration.
+
+    The page is cut before anything is looked up, so the records are only scanned for the
+    few ids on it. The page is written first: its rows are read three times.
+    """
+    page = settle(listed.orderBy(F.desc("detected_at"), "finding_id").offset(offset).limit(limit), "findings-page")
+    sources = records.select("record_id", "batch_id", "source_row").join(
+        small(page.filter("record_id is not null").select("record_id").distinct()), "record_id", "left_semi")
+    out = page.join(sources, "record_id", "left").join(small(batches.select("batch_id", "filename")), "batch_id", "left")
+    if corroboration is not None:
+        states = corroboration.select("finding_id", F.col("state").alias("corroboration"))
+        out = out.join(states, "finding_id", "left")
+    return out
 
 
 def top_issues(findings: DataFrame, limit: int = 10) -> DataFrame:

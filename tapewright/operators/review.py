@@ -10,6 +10,7 @@ from ..catalogue import (
     ACTION_VERBS, FAMILIES, FAMILY_LABELS, FAMILY_RULES, RULES_BY_ID, SUBJECT_FIELD, VOLUME_RULES, lookup,
     strip_family,
 )
+from ..session import settle, small
 
 SLICE = ["contract_id", "frequency"]
 RIBBON_SLOTS = 20
@@ -136,6 +137,14 @@ def _first(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.groupBy(*SLICE).agg(F.min_by(row, F.struct(*order)).alias("pick")).select("pick.*")
 
 
+def _looked_up(picks: DataFrame, records: DataFrame, how: str = "inner") -> DataFrame:
+    """The records of a few picked ids, found by a counted broadcast and not by a shuffle."""
+    picks = settle(picks, "picks")
+    wanted = records.select("record_id", "ts_utc", "open", "high", "low", "close", "volume", "source_row").join(
+        small(picks.select("record_id").distinct()), "record_id", "left_semi")
+    return picks.join(wanted, "record_id", how)
+
+
 def gap_evidence(findings: DataFrame, records: DataFrame, bars: DataFrame, basis: str = "clean") -> DataFrame:
     """Largest run of missing slots as a ribbon of present and absent minutes, else an absent session."""
     f = open_findings(findings).filter("family = 'gaps'")
@@ -148,7 +157,7 @@ def gap_evidence(findings: DataFrame, records: DataFrame, bars: DataFrame, basis
     ribbon = pick.withColumn("slot", slots)
     held = records.filter("frequency = 'minute'").select(
         "contract_id", "trade_date", F.date_trunc("minute", "ts_utc").alias("slot")).join(
-        ribbon.select("contract_id", "trade_date", "slot"), ["contract_id", "trade_date", "slot"], "left_semi"
+        small(ribbon.select("contract_id", "trade_date", "slot")), ["contract_id", "trade_date", "slot"], "left_semi"
     ).distinct().withColumn("held", F.lit(True))
     drawn = ribbon.join(held, ["contract_id", "trade_date", "slot"], "left").select(
         *SLICE, F.lit("gaps_ribbon").alias("kind"), "trade_date",
@@ -172,8 +181,7 @@ def duplicate_evidence(findings: DataFrame, records: DataFrame) -> DataFrame:
             F.struct(F.lit("kept").alias("which"),
                      F.get_json_object("details", "$.keeps_record_id").cast("bigint").alias("record_id")),
             F.struct(F.lit("dropped").alias("which"), F.col("record_id").alias("record_id")))))
-    return pick.join(records.select(
-        "record_id", "ts_utc", "open", "high", "low", "close", "volume", "source_row"), "record_id")
+    return _looked_up(pick, records)
 
 
 def invalid_evidence(findings: DataFrame, records: DataFrame) -> DataFrame:
@@ -184,8 +192,7 @@ def invalid_evidence(findings: DataFrame, records: DataFrame) -> DataFrame:
     source = F.when(F.col("frequency") == "daily", "vendor").otherwise("source_record")
     return pick.select(
         *SLICE, "trade_date", "rule_id", F.col("label").alias("caption"), field.alias("field"),
-        source.alias("evidence_source"), "record_id").join(records.select(
-            "record_id", "ts_utc", "open", "high", "low", "close", "volume", "source_row"), "record_id", "left")
+        source.alias("evidence_source"), "record_id").transform(lambda chosen: _looked_up(chosen, records, "left"))
 
 
 def pattern_evidence(patterns: DataFrame, buckets: int = 8) -> DataFrame:

@@ -143,6 +143,10 @@ class Scope:
             F.min("first_ts_utc").alias("first_ts_utc"), F.max("last_ts_utc").alias("last_ts_utc"),
         )
 
+    @cached_property
+    def slice_count(self) -> int:
+        return self.days.select(*SLICE).distinct().count()
+
     @cached_property
     def hot_days(self) -> DataFrame | None:
         return series.hot_days(self.days, SLICE)
@@ -196,7 +200,7 @@ class Scope:
     def prepare(self) -> None:
         """Write and check the small shared tables, those that are independent side by side."""
         _ = self.days
-        together([lambda: self.calendar, lambda: self.all_windows, lambda: self.hot_days])
+        together([lambda: self.calendar, lambda: self.all_windows, lambda: self.hot_days, lambda: self.slice_count])
         _ = self.refusal
 
 

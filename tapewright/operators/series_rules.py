@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalogue import lookup
 from ..functions import series
 from ..functions.stats import exact_median
-from ..session import settle, small
+from ..session import BROADCAST_ROWS, settle
 from ..sources.reference import PRODUCTS, SESSIONS
 from .cleaning import clean_records
 from .findings import findings
@@ -170,11 +170,13 @@ def outliers(scope: Scope, rule_ids: list[str]) -> DataFrame:
     ]
     valued = settle(reduce(DataFrame.unionByName, valued), "mad-values")
     group = ["rule", *SLICE]
-    centre = exact_median(valued, group, "v", "med").filter(F.col("n") >= param("min_records")).drop("n")
-    apart = valued.join(small(settle(centre, "mad-centre")), group).withColumn("apart", F.abs(F.col("v") - F.col("med")))
-    spread = exact_median(apart, group, "apart", "mad").filter("mad > 0").select(*group, "mad")
+    per_group = F.broadcast if scope.slice_count <= BROADCAST_ROWS // 2 else lambda d: d
+    centre = exact_median(valued, group, "v", "med", per_group).filter(F.col("n") >= param("min_records")).drop("n")
+    centre = settle(centre, "mad-centre")
+    apart = valued.join(per_group(centre), group).withColumn("apart", F.abs(F.col("v") - F.col("med")))
+    spread = exact_median(apart, group, "apart", "mad", per_group).filter("mad > 0").select(*group, "mad")
     score = param("constant") * (F.col("v") - F.col("med")) / F.col("mad")
-    rows = apart.join(spread, group).withColumn("z", score).filter(F.abs("z") > param("threshold"))
+    rows = apart.join(per_group(spread), group).withColumn("z", score).filter(F.abs("z") > param("threshold"))
     out = None
     for rule in rule_ids:
         part = findings(rows.filter(F.col("rule") == rule), rule, {

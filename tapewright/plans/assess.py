@@ -43,7 +43,7 @@ def run_rules(
     """
     wanted = [rule for rule in ENGINE_RULES if rule_ids is None or rule in rule_ids]
     builds: dict[str, Callable[[], DataFrame]] = {}
-    for name, family, evaluate in (("record", RECORD_RULES, record_findings), ("outlier", OUTLIER_RULES, outliers)):
+    for name, family, evaluate in (("outlier", OUTLIER_RULES, outliers), ("record", RECORD_RULES, record_findings)):
         members = [rule for rule in wanted if rule in family]
         if members:
             builds[name] = lambda evaluate=evaluate, members=members: evaluate(scope, members)

@@ -108,6 +108,15 @@ def _present(name: str) -> Column:
     return F.coalesce(F.trim(name) != "", F.lit(False))
 
 
+def wall_clock() -> Column:
+    """The row's timestamp; a label without a whole date is no timestamp."""
+    return F.when(F.trim("ts").rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.trim("ts").try_cast("timestamp_ntz"))
+
+
+def _whole_number(name: str) -> Column:
+    return F.round(F.trim(name).try_cast("double")).try_cast("bigint")
+
+
 def reject_reason() -> Column:
     """First reason a row cannot load, or null; an empty cell is a null, not a reject."""
     bad = lambda name: _present(name) & F.trim(name).try_cast("double").isNull()
@@ -116,9 +125,9 @@ def reject_reason() -> Column:
         price = price | bad(name)
     return (
         F.when(F.col("broken").isNotNull() | ~_present("contract_id"), "STR.UNPARSEABLE_ROW")
-        .when(F.trim("ts").try_cast("timestamp_ntz").isNull(), "STR.BAD_TIMESTAMP")
+        .when(wall_clock().isNull(), "STR.BAD_TIMESTAMP")
         .when(price, "STR.NON_NUMERIC_PRICE")
-        .when(bad("volume"), "STR.NON_NUMERIC_VOLUME")
+        .when(_present("volume") & _whole_number("volume").isNull(), "STR.NON_NUMERIC_VOLUME")
     )
 
 
@@ -139,26 +148,28 @@ def route_rejects(rows: DataFrame, batch_id: Column) -> DataFrame:
 
 def type_records(
     rows: DataFrame, batch_id: Column, frequency: str, timezone: str = clock.CHICAGO,
-    ingested_at: Column | None = None,
+    ingested_at: Column | None = None, first_id: Column | int = 0,
 ) -> DataFrame:
     """Typed records of the rows no reason rejects.
 
-    Volume is rounded half away from zero and its label kept when it had a fraction. The id is
-    a hash of batch and row, the same on every load.
+    Volume is rounded half away from zero and its label kept when it had a fraction. Ids follow
+    the row number from ``first_id`` on, which the caller sets past the ids already taken; over
+    several files it is an expression of the file.
     """
-    ts = F.trim("ts").try_cast("timestamp_ntz")
+    ts = wall_clock()
     amount = F.trim("volume").try_cast("double")
     root = parse_symbol(F.col("contract_id"), KNOWN_ROOTS)["root"]
     day = F.to_date(ts) if frequency == "daily" else clock.trade_date(ts, open_second(root))
     good = rows.filter(reject_reason().isNull())
     return good.select(
-        F.xxhash64(batch_id, F.col(FILE), F.col(ROW)).alias("record_id"), batch_id.alias("batch_id"), ROW, "contract_id",
+        ((F.lit(first_id) if isinstance(first_id, int) else first_id) + F.col(ROW)).alias("record_id"),
+        batch_id.alias("batch_id"), ROW, "contract_id",
         F.lit(frequency).alias("frequency"), "ts_source", ts.alias("ts_exchange"),
         F.to_utc_timestamp(ts, timezone).alias("ts_utc"), day.alias("trade_date"),
         *[F.trim(name).try_cast("double").alias(name) for name in PRICES],
-        F.round(amount).try_cast("bigint").alias("volume"),
+        _whole_number("volume").alias("volume"),
         F.when(amount != F.floor(amount), F.col("volume")).alias("volume_source"),
-        F.round(F.trim("open_interest").try_cast("double")).try_cast("bigint").alias("open_interest"),
+        _whole_number("open_interest").alias("open_interest"),
         (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"))
 
 

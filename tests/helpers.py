@@ -31,7 +31,8 @@ def records(spark: SparkSession, csv: str, frequency: str = "minute", batch: str
             ingested_at: str = "2030-01-01") -> DataFrame:
     df = text_frame(spark, csv, MINUTE if frequency == "minute" else DAILY, batch)
     rows = ingest.to_targets(df, ingest.resolve_columns(df.columns))
-    return ingest.type_records(rows, F.lit(batch), frequency, ingested_at=F.lit(ingested_at).cast("timestamp"))
+    return ingest.type_records(rows, F.lit(batch), frequency, ingested_at=F.lit(ingested_at).cast("timestamp"),
+                               first_id=int(batch.strip("b") or 0) * 1_000_000)
 
 
 def tables(spark: SparkSession, tape: DataFrame, listing: dict[str, tuple] | None = None, **extra) -> Tables:
