@@ -749,11 +749,15 @@ SELECT 'America/Chicago' AS timezone, CASE WHEN n = 1 AND silent[1] = 16 THEN 'm
   {n('n')} AS empty_hours, file
 FROM (SELECT file, silent, len(silent) AS n FROM (
   SELECT file, [h FOR h IN range(24) IF NOT list_contains(list(DISTINCT hour(tx)), h)] AS silent
-  FROM q_minute, (VALUES ('all', -1), ('no 16', 16), ('no 3', 3)) v(file, cut) WHERE hour(tx) <> cut GROUP BY file))""")
+  FROM q_minute, (VALUES ('all', -1), ('no 16', 16), ('no 3', 3)) v(file, cut) WHERE hour(tx) <> cut GROUP BY file))
+UNION ALL
+SELECT 'America/Chicago', method, {r6('confidence')}, NULL, file FROM (SELECT count(*) FROM q_minute),
+  (VALUES ('daily', 0.3, 'daily'), ('profile', 1.0, 'profile')) v(method, confidence, file)""")
 sql("SRC-09", f"""
 SELECT count(*) AS row_count, {txt("min(date_trunc('minute', tx))")} AS first_ts, {txt("max(date_trunc('minute', tx))")} AS last_ts,
   'CL spot,ESH24,SBH24,SR3H24,ZCH24' AS contracts, 'CL spot' AS unparsed, TRUE AS daily_bars,
-  'derived from the minute tape' AS daily_bars_reason, TRUE AS vwap_15m, TRUE AS reconciliation FROM q_minute""")
+  'derived from the minute tape' AS daily_bars_reason, TRUE AS vwap_15m, TRUE AS reconciliation,
+  'session_close per root (02:30, 17:00, 19:00) America/Chicago' AS session_boundary FROM q_minute""")
 sql("SRC-10", """
 SELECT why AS reason_code, CASE WHEN record_id % 233 = 0 THEN 'row does not split into the expected field count'
     WHEN why = 'STR.UNPARSEABLE_ROW' THEN 'no contract identifier on the row' WHEN why = 'STR.BAD_TIMESTAMP' THEN 'timestamp not-a-time does not parse'

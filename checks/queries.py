@@ -760,14 +760,18 @@ def _(e: Env) -> DataFrame:
     for name, keep in (("all", F.lit(True)), ("no 16", F.hour("ts") != 16), ("no 3", F.hour("ts") != 3)):
         part = inference.infer_timezone(_stamps(e).filter(keep), "minute").withColumn("file", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    vendor = ingest.resolve_columns(e.spark.read.parquet(_parquet(e)).columns)
+    return out.unionByName(inference.infer_timezone(_stamps(e), "daily").withColumn("file", F.lit("daily"))).unionByName(
+        inference.infer_timezone(_stamps(e), "daily", vendor).withColumn("file", F.lit("profile")))
 
 
 @query("SRC-09")
 def _(e: Env) -> DataFrame:
     odd = F.when(F.col("contract_id") == "CLH24", F.lit("CL spot")).otherwise(F.col("contract_id"))
     stamps = _stamps(e).withColumn("contract_id", odd)
-    return inference.profile_file(stamps, "minute", e.tape.filter("frequency = 'daily'"))
+    boundary = ingest.session_boundary(stamps, "minute", ingest.Layout(None, {}, []))
+    return inference.profile_file(stamps, "minute", e.tape.filter("frequency = 'daily'")).withColumn(
+        "session_boundary", boundary.scalar())
 
 
 def _loaded(e: Env) -> tuple[DataFrame, DataFrame]:
@@ -806,8 +810,9 @@ def _(e: Env) -> DataFrame:
     runs = e.findings.select("run_id").distinct().withColumn("batch_id", F.lit(None).cast("string"))
     store = purge.Store(e.weekdays, rejects, e.findings, e.bars, e.batches, runs)
     left, counts = purge.purge_batch(store, "b-zch24")
-    return counts.join(F.broadcast(left.records.agg(F.count("*").alias("records_left"))), F.lit(True)).join(
-        F.broadcast(left.batches.agg(F.count_if(F.col("status") == "purged").alias("purged"))), F.lit(True))
+    return counts.withColumns({
+        "records_left": left.records.agg(F.count("*")).scalar(),
+        "purged": left.batches.agg(F.count_if(F.col("status") == "purged")).scalar()})
 
 
 @query("SRC-15")
@@ -815,7 +820,7 @@ def _(e: Env) -> DataFrame:
     """A manifest that is right about one contract's file and wrong about the others."""
     first = f"{_files(e)}/first"
     names = landing.file_hashes(e.spark, first).filter("name like '%/part-%'").select("name")
-    manifest = names.join(F.broadcast(_known(e).withColumnRenamed("file_hash", "sha256")), F.lit(True))
+    manifest = names.withColumn("sha256", _known(e).scalar())
     return landing.verify_checksums(e.spark, first, manifest).select("file_hash", "sha256")
 
 

@@ -146,7 +146,8 @@ def _looked_up(picks: DataFrame, records: DataFrame, how: str = "inner") -> Data
 
 
 def gap_evidence(findings: DataFrame, records: DataFrame, bars: DataFrame, basis: str = "clean") -> DataFrame:
-    """Largest run of missing slots as a ribbon of present and absent minutes, else an absent session."""
+    """Largest run of missing slots as a ribbon of present and absent minutes, else an absent
+    session, else the first gap there is, without a ribbon."""
     f = open_findings(findings).filter("family = 'gaps'")
     missing = f.filter("rule_id = 'CMP.MISSING_TIMESTAMP'")
     pick = _first(missing, [-F.col("affected_rows"), F.col("trade_date"), F.col("ts_start_utc")]).select(
@@ -164,13 +165,16 @@ def gap_evidence(findings: DataFrame, records: DataFrame, bars: DataFrame, basis
         F.concat(F.col("affected_rows").cast("string"), F.lit(" consecutive minute slots missing on "),
                  F.col("trade_date").cast("string"), F.lit(".")).alias("caption"),
         F.date_format("slot", "HH:mm").alias("label"), F.col("held").isNotNull().alias("present"))
+    none = F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("present")
     gone = f.filter("rule_id = 'CMP.SESSION_MISSING'").join(
         _bar_days(bars, basis), [*SLICE, "trade_date"], "left_anti").join(pick.select(*SLICE), SLICE, "left_anti")
     absent = _first(gone, [F.col("trade_date"), F.col("finding_id")]).select(
         *SLICE, F.lit("absent_session").alias("kind"), "trade_date",
-        F.concat(F.lit("Settlement never arrived on "), F.col("trade_date").cast("string"), F.lit(".")).alias("caption"),
-        F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("present"))
-    return drawn.unionByName(absent)
+        F.concat(F.lit("Settlement never arrived on "), F.col("trade_date").cast("string"), F.lit(".")).alias("caption"), *none)
+    rest = f.join(pick.select(*SLICE), SLICE, "left_anti").join(absent.select(*SLICE), SLICE, "left_anti")
+    other = _first(rest, [F.col("trade_date"), F.col("rule_id"), F.col("finding_id")]).select(
+        *SLICE, F.lit("gaps_ribbon").alias("kind"), "trade_date", F.col("label").alias("caption"), *none)
+    return drawn.unionByName(absent).unionByName(other)
 
 
 def duplicate_evidence(findings: DataFrame, records: DataFrame) -> DataFrame:

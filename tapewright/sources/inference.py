@@ -26,14 +26,13 @@ def infer_interval(df: DataFrame) -> DataFrame:
         stamps, ["contract_id"], ["ts"], F.struct(F.col("ts").alias("ts")), chunk=["chunk_day"])
     step = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev.ts").cast("timestamp"))
     counts = steps.withColumn("step", step).filter("step > 0").groupBy("step").agg(F.count("*").alias("n"))
-    modal = counts.agg(
-        F.max_by("step", F.struct(F.col("n"), (-F.col("step")).alias("s"))).alias("modal"), F.sum("n").alias("deltas"))
-    graded = counts.join(F.broadcast(modal), F.lit(True)).agg(
-        F.max("modal").alias("modal"), F.max("deltas").alias("deltas"),
+    modal = counts.agg(F.max_by("step", F.struct(F.col("n"), (-F.col("step")).alias("s")))).scalar()
+    graded = counts.withColumn("modal", modal).agg(
+        F.max("modal").alias("modal"), F.sum("n").alias("deltas"),
         F.sum(F.when(F.col("step") == F.col("modal"), F.col("n")).otherwise(0)).alias("at_mode"),
         F.sum(F.when(F.col("step") % F.col("modal") != 0, F.col("n")).otherwise(0)).alias("off_grid"))
-    intraday = df.agg(F.count_if(clock.second_of_day(F.col("ts")) != 0).alias("intraday"))
-    row = graded.join(F.broadcast(intraday), F.lit(True))
+    intraday = df.agg(F.count_if(clock.second_of_day(F.col("ts")) != 0)).scalar()
+    row = graded.withColumn("intraday", intraday)
     known = lookup(LABELS, F.col("modal").cast("int"))
     timed = F.col("intraday") > 0
     none = F.col("modal").isNull()

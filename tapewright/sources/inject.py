@@ -42,13 +42,13 @@ def pick_sites(tape: DataFrame, seed: int, kinds: list[str]) -> DataFrame:
     block = F.floor(F.col("source_row") / STRIDE)
     # a block serves one kind only, so two sites are never within a stride of each other
     lane = F.pmod(block + seed, F.lit(len(kinds)))
-    size = tape.agg(F.max("source_row").alias("last_row"))
+    last_row = tape.agg(F.max("source_row")).scalar()
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (lane + 1).cast("int"))
     fits = F.lit(True)
     for name, condition in able.items():
         fits = fits & ((F.col("kind") != name) | condition)
     rows = tape.filter((place == STRIDE // 2) & (block > 0)).withColumn("kind", kind).filter(fits)
-    rows = rows.join(F.broadcast(size), F.lit(True)).filter(F.col("source_row") <= F.col("last_row") - RUN)
+    rows = rows.filter(F.col("source_row") <= last_row - RUN)
     return rows.groupBy("kind").agg(F.min_by(
         F.struct("source_row", "contract_id", "ts_exchange", "high", "low", "close", "volume"),
         F.struct(F.xxhash64(F.lit(seed + 1), "source_row").alias("h"), "source_row")).alias("site")
@@ -90,11 +90,11 @@ def inject_defects(tape: DataFrame, seed: int = 20260906, rules: list[str] | Non
     moved = F.when(kind == "delete_5_consecutive_rows", -RUN).when(
         kind.isin("repeat_row", "conflicting_close_on_one_timestamp"), 1).otherwise(0)
     shifts = sites.select(F.col("site").alias("at"), moved.alias("by")).filter("by <> 0").agg(
-        F.collect_list(F.struct("at", "by")).alias("shifts"))
+        F.collect_list(F.struct("at", "by"))).scalar()
     before = F.aggregate("shifts", F.lit(0), lambda n, s: n + F.when(s["at"] < F.col("source_row"), s["by"]).otherwise(0))
-    out = grown.join(F.broadcast(shifts), F.lit(True)).withColumn(
+    out = grown.withColumn("shifts", shifts).withColumn(
         "new_row", F.col("source_row") + F.col("copy") + swapped + before)
-    planted = sites.select("kind", "site").join(F.broadcast(shifts), F.lit(True)).withColumn("source_row", F.col("site"))
+    planted = sites.select("kind", "site", shifts.alias("shifts"), F.col("site").alias("source_row"))
     row = F.col("site") + before + F.when(
         kind.isin("repeat_row", "conflicting_close_on_one_timestamp", "swap_adjacent_rows"), 1).otherwise(0)
     rule = F.element_at(F.create_map(*[F.lit(v) for k, r, _ in KINDS for v in (k, r)]), kind)
