@@ -112,8 +112,9 @@ def _cover(grain: str) -> str:
 
 sql("CAL-10", f"""
 SELECT contract_id, any_value(root) AS root, any_value(exchange) AS exchange, '2024-03' AS contract_month,
+  {r6('any_value(tick)')} AS tick_size, {r6('any_value(multiplier)')} AS multiplier, TRUE AS dates_inferred,
   string_agg(DISTINCT frequency, ',' ORDER BY frequency) AS frequencies_available, {_cover('minute')}, {_cover('daily')}
-FROM q_tape GROUP BY contract_id
+FROM q_tape JOIN (SELECT contract_id, tick, multiplier FROM q_roots) USING (contract_id) GROUP BY contract_id
 HAVING DATE '2024-01-10' BETWEEN min(trade_date) AND max(trade_date)""")
 sql("CAL-12", f"""
 SELECT root, {d('trade_date')} AS trade_date, count(*) AS slots, {txt('min(slot)')} AS first_slot, {txt('max(slot)')} AS last_slot

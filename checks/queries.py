@@ -229,7 +229,7 @@ def _(e: Env) -> DataFrame:
 
 @query("REC-01")
 def _(e: Env) -> DataFrame:
-    return R.settled_frame(e.scope).drop("vendor_ts_utc")
+    return e.scope.frame.drop("vendor_ts_utc")
 
 
 @query("REC-02")

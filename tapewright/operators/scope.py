@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import rule_params
 from ..functions import series
-from ..session import settle, small, together
+from ..session import settle, shared_once, small
 from ..sources.reference import calendar_for_loaded, tick_dim
 
 SLICE = ["contract_id", "frequency"]
@@ -132,26 +131,26 @@ class Scope:
     def params(self, rule_id: str) -> dict:
         return rule_params(rule_id, self.overrides)
 
-    @cached_property
+    @shared_once
     def days(self) -> DataFrame:
         return settle(session_days(self.records), "session-days")
 
-    @cached_property
+    @shared_once
     def sessions(self) -> DataFrame:
         return self.days.groupBy(*SLICE, "root", "trade_date").agg(
             F.sum("records").alias("records"), F.sum("volume").alias("volume"),
             F.min("first_ts_utc").alias("first_ts_utc"), F.max("last_ts_utc").alias("last_ts_utc"),
         )
 
-    @cached_property
+    @shared_once
     def slice_count(self) -> int:
         return self.days.select(*SLICE).distinct().count()
 
-    @cached_property
+    @shared_once
     def hot_days(self) -> DataFrame | None:
         return series.hot_days(self.days, SLICE)
 
-    @cached_property
+    @shared_once
     def calendar(self) -> DataFrame:
         """Settled calendar, hinted for broadcast when its count allows."""
         calendar = self.tables.calendar
@@ -159,7 +158,7 @@ class Scope:
             calendar = calendar_for_loaded(self.sessions, self.tables.contracts)
         return small(settle(calendar, "calendar"))
 
-    @cached_property
+    @shared_once
     def all_windows(self) -> DataFrame:
         roll = self.params("ROL.THIN_NEAR_EXPIRY")
         floor = self.params("CMP.SESSION_MISSING")["volume_floor"]
@@ -176,7 +175,14 @@ class Scope:
     def windows(self) -> DataFrame:
         return self.all_windows.drop("expiry_basis", "median_inside", "median_before")
 
-    @cached_property
+    @shared_once
+    def frame(self) -> DataFrame:
+        """Both grains of every session side by side, written once for all who compare them."""
+        from .reconcile import session_frame
+
+        return settle(session_frame(self), "session-frame")
+
+    @shared_once
     def ticks(self) -> DataFrame:
         """Tick per field side by side: one row per root and grain."""
         lattice = tick_dim(self.spark).filter("not exempt and tick_size > 0")
@@ -186,7 +192,7 @@ class Scope:
         ])
         return F.broadcast(wide)
 
-    @cached_property
+    @shared_once
     def refusal(self) -> str | None:
         """Why session-grained completeness cannot be judged here, or None."""
         row = calendar_refusals(self.sessions, self.calendar).first()
@@ -197,13 +203,6 @@ class Scope:
         return None
 
 
-    def prepare(self) -> None:
-        """Write and check the small shared tables, those that are independent side by side."""
-        _ = self.days
-        together([lambda: self.calendar, lambda: self.all_windows, lambda: self.hot_days, lambda: self.slice_count])
-        _ = self.refusal
-
-
 def build_scope(
     spark: SparkSession, tables: Tables, *, batch: str | None = None, contract_ids: list[str] | None = None,
     frequencies: list[str] | None = None, overrides: dict[str, dict] | None = None,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalogue import ENGINE_RULES, MIN_RECORDS, RULES
 from ..operators.cleaning import cleaning_actions
 from ..operators.findings import FINDING_SCHEMA
-from ..operators.reconcile import RECONCILIATION_RULES, settled_frame
+from ..operators.reconcile import RECONCILIATION_RULES
 from ..operators.record_rules import RECORD_RULES, record_findings
 from ..operators.scope import Scope
 from ..operators.scoring import all_metrics, dimension_scores, overall_score
@@ -41,7 +41,10 @@ def run_rules(
     its own aggregate or window. The parts are independent writes under one folder, so none of
     them waits for, or is planned together with, another.
     """
-    wanted = [rule for rule in ENGINE_RULES if rule_ids is None or rule in rule_ids]
+    wanted = [
+        rule for rule in ENGINE_RULES
+        if (rule_ids is None or rule in rule_ids) and scope.params(rule).get("enabled", True)
+    ]
     builds: dict[str, Callable[[], DataFrame]] = {}
     for name, family, evaluate in (("outlier", OUTLIER_RULES, outliers), ("record", RECORD_RULES, record_findings)):
         members = [rule for rule in wanted if rule in family]
@@ -50,9 +53,6 @@ def run_rules(
     for rule in wanted:
         if rule in SET_RULES:
             builds[rule] = lambda rule=rule: SET_RULES[rule](scope)
-    scope.prepare()
-    if any(rule in RECONCILIATION_RULES for rule in wanted):
-        settled_frame(scope)
     path = scratch_path(scope.spark, "findings")
     stamp = {"run_id": F.lit(run_id), "status": F.lit("open"), "detected_at": F.lit(detected_at).cast("timestamp")}
 

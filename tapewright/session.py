@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+from threading import RLock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,16 @@ def together(actions: list[Callable[[], Any]], threads: int = 8) -> list[Any]:
         return [future.result() for future in [pool.submit(action) for action in actions]]
 
 
+class shared_once(cached_property):
+    """A cached property that one thread computes while the others wait for it."""
+
+    def __get__(self, instance, owner=None):
+        if instance is None or self.attrname in instance.__dict__:
+            return super().__get__(instance, owner)
+        with instance.__dict__.setdefault(f"_{self.attrname}_lock", RLock()):
+            return super().__get__(instance, owner)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger side keeps the shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -173,8 +173,15 @@ def type_records(
         (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"))
 
 
-def batch_summary(records: DataFrame, rejects: DataFrame, batches: DataFrame) -> DataFrame:
+def batch_summary(
+    records: DataFrame, rejects: DataFrame, batches: DataFrame, frequency: str | None = None,
+    include_purged: bool = True,
+) -> DataFrame:
     """Counts, status, contracts, sessions, dates and reject reasons of every batch."""
+    if frequency is not None:
+        batches = batches.filter(F.col("frequency") == frequency)
+    if not include_purged:
+        batches = batches.filter("status <> 'purged'")
     days = records.groupBy("batch_id", "contract_id", "trade_date").agg(F.count("*").alias("n"))
     held = days.groupBy("batch_id").agg(
         F.sum("n").alias("rows_accepted"), F.sort_array(F.collect_set("contract_id")).alias("contracts"),

@@ -221,7 +221,8 @@ def contract_coverage(
         ],
     )
     dims = contracts.select(
-        "contract_id", "root", "exchange", F.date_format("contract_month", "yyyy-MM").alias("contract_month")
+        "contract_id", "root", "exchange", F.date_format("contract_month", "yyyy-MM").alias("contract_month"),
+        "tick_size", "multiplier", "dates_inferred",
     )
     if root is not None:
         dims = dims.filter(F.col("root") == root)
