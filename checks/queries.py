@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.catalogue import ENGINE_RULES, rules_frame, strip_family
@@ -23,10 +23,10 @@ from tapewright.operators import scoring as SC
 from tapewright.operators import suggestions as SG
 from tapewright.operators.vwap import vwap_15m
 from tapewright.plans.assess import rule_counts, rule_findings, run_rules
-from tapewright.session import literal_table, scratch_path
+from tapewright.session import scratch_path
 from tapewright.sources import inference, ingest, inject, landing, purge, readers, reference, sinks
 
-from .env import OVERRIDES, PATTERN, ROLLING, Env, env, plain
+from .env import OVERRIDES, Env, env, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

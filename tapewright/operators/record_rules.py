@@ -218,7 +218,7 @@ def record_findings(scope: Scope, rule_ids: list[str]) -> DataFrame:
         return picked
 
     conditions = [fires(*item) for item in tests]
-    numbers = F.array_compact(F.array(*[F.when(c, i) for i, c in enumerate(conditions)]))
+    numbers = F.array_remove(F.array(*[F.when(c, i).otherwise(-1) for i, c in enumerate(conditions)]), -1)
     hits = df.filter(reduce(or_, conditions)).withColumn("hit", F.explode(numbers))
     declared = at_hit([RULES_BY_ID[rule_id].severity for rule_id, _ in tests])
     varying = {i: t.severity for i, (_, t) in enumerate(tests) if t.severity is not None}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalogue import (
-    ACTION_VERBS, FAMILIES, FAMILY_LABELS, FAMILY_RULES, RULES_BY_ID, SUBJECT_FIELD, VOLUME_RULES, lookup,
+    ACTION_VERBS, FAMILIES, FAMILY_LABELS, RULES_BY_ID, SUBJECT_FIELD, VOLUME_RULES, lookup,
     strip_family,
 )
 from ..session import settle, small

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class BatchNotFound(LookupError):
+    """No such batch."""
+
+
+class BatchAlreadyPurged(ValueError):
+    """The batch was purged before."""
+
+
 @dataclass(frozen=True)
 class Store:
     records: DataFrame
@@ -22,8 +30,14 @@ def purge_batch(store: Store, batch_id: str) -> tuple[Store, DataFrame]:
     """The store without the batch, and one row of counts; the batch row stays as purged.
 
     Findings go when their run was scoped to the batch or their record was the batch's; bars
-    go for the sessions it fed, at its own grain.
+    go for the sessions it fed, at its own grain. An unknown batch and one purged before are
+    refused, each by name.
     """
+    held = store.batches.filter(F.col("batch_id") == batch_id).select("status").first()
+    if held is None:
+        raise BatchNotFound(batch_id)
+    if held["status"] == "purged":
+        raise BatchAlreadyPurged(batch_id)
     mine = store.records.filter(F.col("batch_id") == batch_id)
     ids = mine.select("record_id")
     runs = store.runs.filter(F.col("batch_id") == batch_id).select("run_id")

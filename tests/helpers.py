@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.scope import Scope, Tables, build_scope
 from tapewright.plans.assess import rule_findings
-from tapewright.session import literal_table
 from tapewright.sources import ingest
 from tapewright.sources.readers import BROKEN, FILE, ROW
 from tapewright.sources.reference import contracts_from_symbols
@@ -70,5 +69,3 @@ def minutes(contract: str, day: str, start: str, closes: list[float], volume: in
         lines.append(f"{contract},{day} {at // 60:02d}:{at % 60:02d}:00,{close},{close + 1},{close - 1},{close},{volume}")
     return "\n".join(lines)
 
-
-__all__ = ["literal_table", "text_frame", "records", "tables", "scope", "fire", "minutes"]

@@ -19,15 +19,16 @@ def test_every_query_has_its_sql():
     assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) == 130
 
 
+@pytest.fixture(scope="module")
+def con():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    return con
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="provided tables are not here")
 class TestTables:
-    @pytest.fixture(scope="class")
-    def con(self):
-        con = duckdb.connect()
-        for table in TABLES:
-            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-        return con
-
     def test_entry_runs(self, spark):
         assert entry.entry(spark).count() > 100
 

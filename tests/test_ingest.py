@@ -184,6 +184,10 @@ def test_purge_takes_only_its_own(spark):
     assert tuple(row) == (1, 1, 2, 1, 1)
     assert left.records.count() == 1 and left.bars.count() == 1 and left.findings.count() == 2
     assert {(r["batch_id"], r["status"]) for r in left.batches.collect()} == {("b1", "purged"), ("b2", "succeeded")}
+    with pytest.raises(purge.BatchAlreadyPurged):
+        purge.purge_batch(left, "b1")
+    with pytest.raises(purge.BatchNotFound):
+        purge.purge_batch(left, "b9")
 
 
 def test_replacing_write_is_idempotent(spark, tmp_path):

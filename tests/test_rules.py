@@ -241,6 +241,15 @@ def test_reconciliation_rules(spark):
     assert [(str(f["trade_date"]), f["severity"], f["details"]["close_at_mark"]) for f in settle] == [("2025-09-16", "info", 6600.0)]
 
 
+def test_a_disabled_close_rule_stands_both_comparisons_down(spark):
+    daily = "ESZ25,2025-09-15,6600.0,6602.0,6599.0,6590.0,1800"
+    assert [f["details"]["field"] for f in fire(_pair(spark, REC_MINUTE, daily), "REC.OHLC_DISAGREE")] == ["close"]
+    off = _pair(spark, REC_MINUTE, daily, **{"REC.CLOSE_CONVENTION": {"enabled": False}})
+    assert fire(off, "REC.OHLC_DISAGREE") == [] and fire(off, "REC.CLOSE_CONVENTION") == []
+    found, refused = run_rules(off, ["REC.CLOSE_CONVENTION", "VAL.NEGATIVE_VOLUME"])
+    assert found.count() == 0 and refused.count() == 0
+
+
 def test_coverage_gate_holds(spark):
     daily = "ESZ25,2025-09-15,6600.0,6602.5,6599.0,6601.0,1800"
     gated = _pair(spark, REC_MINUTE, daily, **{"REC.OHLC_DISAGREE": {"min_coverage_pct": 0.98}})
