@@ -18,7 +18,7 @@ def cell(value):
     if value is None:
         return None
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9) + 0.0
+        return None if math.isnan(value) else value + 0.0
     if isinstance(value, bool):
         return value
     return value if isinstance(value, (int, str)) else str(value)
