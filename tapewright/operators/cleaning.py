@@ -42,7 +42,7 @@ def exclusion_rate(records: DataFrame, contracts: DataFrame, actions: DataFrame)
     """Share of records removed: overall, per rule and action, per root and grain."""
     gone = F.count_if(F.col("gone").isNotNull())
     marked = records.select("record_id", "contract_id", "frequency").join(
-        removed_ids(actions).withColumn("gone", F.lit(True)), "record_id", "left")
+        small(removed_ids(actions).withColumn("gone", F.lit(True))), "record_id", "left")
     per_slice = marked.groupBy("contract_id", "frequency").agg(
         gone.alias("excluded"), F.count("*").alias("records"))
     none = F.lit(None).cast("string")
@@ -78,7 +78,7 @@ def changelog(
     if end is not None:
         keyed = keyed.filter(F.col("trade_date") <= F.lit(end).cast("date"))
     labels = rules.select("rule_id", F.col("name").alias("label"))
-    return actions.join(keyed, "record_id").groupBy(
+    return keyed.join(small(actions), "record_id").groupBy(
         "contract_id", "trade_date", "frequency", "rule_id", "action"
     ).agg(F.count("*").alias("records")).join(F.broadcast(labels), "rule_id", "left")
 
