@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chat, language_id, packing, quality, sharding, url_filters
+from tapewright.llm import chat, decontaminate, language_id, nearest, packing, quality, sharding, url_filters
 from tapewright.llm.shipping import ship
 from tapewright.session import configure, settle
 
@@ -72,6 +72,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(tree)).drop("branch")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 LIST_START = "2023-01-01"
 
 
@@ -115,7 +123,57 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_chat": op6_chat,
+    "op8_decontamination": op8_decontamination,
+    "op9_nearest": op9_nearest,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_decontamination": """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+items AS (
+  SELECT item_id, least(5, len(w)) AS width,
+    list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s
+  FROM item_words WHERE len(w) > 0),
+item_rows AS (SELECT item_id, width, len(s) AS n, unnest(s) AS sh FROM items),
+doc_rows AS (
+  SELECT DISTINCT doc_id, width, sh FROM (
+    SELECT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS sh
+    FROM words, (SELECT DISTINCT width FROM items))),
+hits AS (
+  SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS n_shingles
+  FROM doc_rows JOIN item_rows USING (width, sh) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, n_shingles, shared::DOUBLE / n_shingles AS containment
+FROM hits WHERE shared >= ceil(n_shingles * 0.8 - 1e-9)
+""",
+    "op10_url_filters": """
+WITH hosts AS (
+  SELECT page_id, url, nullif(regexp_replace(regexp_replace(regexp_replace(lower(
+    regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '[.]$', ''), '') AS host,
+    DATE '2023-01-01' + ((page_id * 37) % 1000)::INTEGER AS fetched
+  FROM pages),
+seen AS (SELECT host, min(page_id) AS p FROM hosts WHERE host IS NOT NULL GROUP BY host),
+names AS (
+  SELECT domain, min(p) AS p FROM (
+    SELECT host AS domain, p FROM seen
+    UNION ALL SELECT array_to_string(string_split(host, '.')[-2:], '.'), p FROM seen) GROUP BY domain),
+dated AS (
+  SELECT domain, p, DATE '2023-01-01' + ((p * 53) % 600)::INTEGER AS a,
+    DATE '2023-01-01' + ((p * 53) % 600 + (p * 11) % 300 + 1)::INTEGER AS b,
+    DATE '2023-01-01' + ((p * 53) % 600 + (p * 11) % 300 + 1 + (p * 7) % 90 + 1)::INTEGER AS c
+  FROM names WHERE p % 4 <> 3),
+spans AS (
+  SELECT domain, CASE WHEN p % 4 = 1 THEN 'allow' ELSE 'block' END AS action, a AS since, b AS until FROM dated
+  UNION ALL SELECT domain, CASE WHEN p % 4 = 1 THEN 'block' ELSE 'allow' END, c, NULL FROM dated WHERE p % 3 = 0),
+hits AS (
+  SELECT page_id, domain, action, since,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) AS r
+  FROM hosts JOIN spans ON (host = domain OR host LIKE '%.' || domain) AND fetched >= since
+    AND (until IS NULL OR fetched < until))
+SELECT h.page_id, h.host, h.fetched, coalesce(action, 'none') AS decision, domain AS matched, since AS listed_since
+FROM hosts h LEFT JOIN hits ON hits.page_id = h.page_id AND r = 1
+""",
+}
