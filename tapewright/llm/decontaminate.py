@@ -9,6 +9,8 @@ counted on full shingle sets. Everything is DataFrame code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda an expression would run for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hashes(words: Column, width: int) -> Column:
     """Hash of every run of ``width`` words, in text order; none if there are fewer words."""
-    count = F.size(words) - (width - 1)
-    # each word is hashed once; a run is hashed over its words' hashes
-    own = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(count > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, width))
-    )).otherwise(F.array().cast("array<bigint>"))
+    def runs(own: Column) -> Column:
+        count = F.size(own) - (width - 1)
+        return F.when(count > 0, F.transform(
+            F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, width))
+        )).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def item_sets(items: DataFrame) -> DataFrame:

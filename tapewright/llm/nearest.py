@@ -25,11 +25,11 @@ from tapewright.session import settle
 SAMPLE = 20_000
 TREES = 12
 #: Vectors in a leaf, about, while ``MAX_DEPTH`` allows.
-LEAF = 800
+LEAF = 500
 MAX_DEPTH = 14
 #: Share of the leaves of all trees that a query meets. Vectors without structure need this much for a
 #: recall of 0.9 (measured on the provided embeddings); clustered ones need far less.
-PROBE_SHARE = 0.06
+PROBE_SHARE = 0.09
 #: Vectors of one leaf that one block holds; a fuller leaf is cut into several.
 BLOCK = 4096
 #: Query vectors that one block holds; more are cut likewise.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chat, decontaminate, language_id, nearest, packing, quality, sharding, url_filters
+from tapewright.llm import chat, decontaminate, language_id, minhash, nearest, packing, quality, sharding, url_filters
 from tapewright.llm.shipping import ship
 from tapewright.session import configure, settle
 
@@ -72,6 +72,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(tree)).drop("branch")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -123,6 +127,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_chat": op6_chat,
+    "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_url_filters": op10_url_filters,
