@@ -16,7 +16,8 @@ QUICK = ["CMP.NULL_FIELD", "UNQ.EXACT_DUPLICATE", "CON.STALE_REPEAT", "TIM.OUT_O
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) == 130
+    own = set(entry.queries()) - set(entry.CORPUS)
+    assert own <= set(entry.oracle_sql()) and len(own) == 130
 
 
 @pytest.fixture(scope="module")
