@@ -9,8 +9,9 @@ are streamed in corpus order through a suffix automaton of those before: a match
 or more marks a window that starts earlier, and the automaton then takes in the context. Adjacent marked
 windows make maximal spans.
 
-An anchor with more than ``HOT`` occurrences is dealt out by single windows, whose first occurrence is a
-minimum with map-side combine, so no passage, however common, meets in one task.
+An anchor with more than ``HOT`` occurrences is dealt out: first by whole contexts, then the different ones
+by single windows. First occurrences are minima with map-side combine, so no passage, however common, meets
+in one task.
 """
 
 from __future__ import annotations
@@ -114,12 +115,17 @@ def anchors(words: Words) -> tuple[np.ndarray, ...]:
     cut = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     lo, place = start[cut], at[cut]
     n = np.diff(np.concatenate((cut, [len(start)])))
+    context = mix(stretch_hash(words, lo, n) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return lo, n, grams[place].view(np.int64), (context >> np.uint64(16)).astype(np.int64)
+
+
+def stretch_hash(words: Words, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of all words of the ``n`` windows from ``lo`` on."""
+    total = len(words.hash)
     power, inverse = _powers(1 << (total + 1).bit_length())
     run = np.zeros(total + 1, np.uint64)
     np.cumsum(words.hash * power[:total], out=run[1:])
-    context = (run[lo + n + WINDOW - 1] - run[lo]) * inverse[lo]
-    context = mix(context + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
-    return lo, n, grams[place].view(np.int64), (context >> np.uint64(16)).astype(np.int64)
+    return mix((run[lo + n + WINDOW - 1] - run[lo]) * inverse[lo] + n.astype(np.uint64))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -140,7 +146,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Words around the anchors in ``runs (id, at)``: ``(k, hot, doc_id, lo, n, words)``, or the windows of hot ones."""
+    """Words around the anchors in ``runs (id, at)``: ``(k, hot, again, c, doc_id, lo, n, words)``.
+
+    ``c`` is the hash of the words. A context that its document has had before is marked ``again`` and
+    comes without words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,30 +161,48 @@ def contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
                 lo, n, h = (flat.field(i).to_numpy() for i in range(3))
-                hot = flat.field(3).to_numpy(zero_copy_only=False)
                 begin = words.first[owner] + lo
+                c = stretch_hash(words, begin, n)
+                order = np.lexsort((lo, c, h, owner))
+                same = (owner[order][1:] == owner[order][:-1]) & (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+                again = np.zeros(len(lo), bool)
+                again[order[1:]] = same
                 raw = words.data.tobytes()
-                plain = np.flatnonzero(~hot)
-                texts = [raw[x:y] for x, y in zip(
-                    words.start[begin[plain]].tolist(), words.end[begin[plain] + n[plain] + WINDOW - 2].tolist(), strict=True)]
-                ids = part.column(0)
+                stop = words.end[begin + n + WINDOW - 2].tolist()
+                texts = [None if old else raw[x:y] for old, x, y in zip(again.tolist(), words.start[begin].tolist(), stop, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[plain]), pa.array(hot[plain]), ids.take(pa.array(owner[plain])), pa.array(lo[plain]),
-                     pa.array(n[plain]), pa.array(texts, pa.binary())], names)
-                wide = np.flatnonzero(hot)
-                each = np.repeat(wide, n[wide])
-                if len(each):
-                    ends = np.cumsum(n[wide])
-                    step = np.arange(len(each)) - np.repeat(ends - n[wide], n[wide])
-                    window = rolling(words.hash, WINDOW)[begin[each] + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(window.view(np.int64)), pa.array(hot[each]), ids.take(pa.array(owner[each])),
-                         pa.array((lo[each] + step).astype(np.int32)), pa.array(np.ones(len(each), np.int32)),
-                         pa.nulls(len(each), pa.binary())], names)
-
-    names = ["k", "hot", "doc_id", "lo", "n", "words"]
+                    [pa.array(h), flat.field(3), pa.array(again), pa.array(c.view(np.int64)), part.column(0).take(pa.array(owner)),
+                     pa.array(lo), pa.array(n), pa.array(texts, pa.binary())], names)
+
+    names = ["k", "hot", "again", "c", "doc_id", "lo", "n", "words"]
     joined = docs.select("doc_id", "text").join(runs, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "at")
-    return joined.mapInArrow(run, "k long, hot boolean, doc_id long, lo int, n int, words binary")
+    return joined.mapInArrow(run, "k long, hot boolean, again boolean, c long, doc_id long, lo int, n int, words binary")
+
+
+def windows(contexts: DataFrame) -> DataFrame:
+    """``(k, doc_id, lo)``: every window of the contexts ``(doc_id, lo, n, words)`` by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy()
+            words = words_of(*utf8(batch.column(3)))
+            each = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            window = rolling(words.hash, WINDOW)[words.first[each] + step]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(window.view(np.int64)), batch.column(0).take(pa.array(each)),
+                 pa.array((batch.column(1).to_numpy()[each] + step).astype(np.int32))], ["k", "doc_id", "lo"])
+
+    text = F.decode("words", "UTF-8")
+    return contexts.select("doc_id", "lo", "n", text.alias("words")).mapInArrow(run, "k long, doc_id long, lo int")
+
+
+def later(rows: DataFrame, key: str) -> DataFrame:
+    """Rows ``(key, doc_id, lo, …)`` whose key also has an earlier place."""
+    first = rows.groupBy(F.col(key).alias("g")).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("first")).where("times > 1")
+    return rows.join(first, F.col(key) == F.col("g")).where(~F.struct("doc_id", "lo").eqNullSafe(F.col("first")))
 
 
 def matched(shards: DataFrame) -> DataFrame:
@@ -224,11 +252,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     runs = met.where("not alike").groupBy(F.col("doc_id").alias("id")).agg(
         F.collect_list(F.struct("lo", "n", "h", "hot")).alias("at"))
     around = settle(contexts(ids, runs), "contexts")
-    single = around.where("hot").select("k", "doc_id", "lo")
-    earliest = single.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("first")).where("times > 1")
-    common = single.join(earliest, F.col("k") == F.col("g")).where(~F.struct("doc_id", "lo").eqNullSafe(F.col("first"))).select(
-        "doc_id", "lo", F.lit(1).alias("n"))
-    return plain.unionByName(matched(around.where("not hot"))).unionByName(common)
+    again = around.where("again").select("doc_id", "lo", "n")
+    fresh = around.where("not again")
+    cold = matched(fresh.where("not hot"))
+    hot = fresh.where("hot")
+    copies = later(hot.select("c", "doc_id", "lo", "n"), "c").select("doc_id", "lo", "n")
+    distinct = hot.groupBy("c").agg(F.min(F.struct("doc_id", "lo", "n", "words")).alias("x")).select("x.*")
+    common = later(windows(distinct), "k").select("doc_id", "lo", F.lit(1).alias("n"))
+    return plain.unionByName(again).unionByName(cold).unionByName(copies).unionByName(common)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
