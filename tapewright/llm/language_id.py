@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.llm.sampling import smallest_hashes
 from tapewright.llm.words import utf8
 
 WINDOW = 256
@@ -129,14 +130,13 @@ def gradients(net: Network, windows: np.ndarray, y: np.ndarray, mask: np.ndarray
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     """Fit on ``(doc_id, text, lang)``: the ``sample_rows`` rows with the smallest hash of their id.
 
-    Of each a stretch of ``SAMPLE_CHARS`` characters at a place its id decides; nothing else is collected.
+    The ids are chosen first, so only the texts of the sample travel. Of each a stretch of ``SAMPLE_CHARS`` characters at a place its id decides; nothing else is collected.
     """
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    sample = (
-        rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
-        .orderBy("h", "doc_id", "text").limit(sample_rows).collect()
-    )
+    real = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    ids = smallest_hashes(real.select("doc_id"), "doc_id", sample_rows).distinct().withColumnRenamed("doc_id", "id")
+    sample = real.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").select(
+        "doc_id", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"), "lang").orderBy("doc_id", "text").limit(sample_rows).collect()
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 

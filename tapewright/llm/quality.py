@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.llm.sampling import smallest_hashes
 from tapewright.llm.words import Words, mix, slices, utf8, words_of
 
 TERMS = 8192
@@ -109,18 +110,21 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Nei
     return model
 
 
-def train(rows: DataFrame, per_label: int = PER_LABEL) -> Neighbours:
-    """Fit on ``(doc_id, text, quality)``: of each label the ``per_label`` rows with the smallest id hash.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Neighbours:
+    """Fit on ``docs (doc_id, text)`` and ``labels (doc_id, quality)``: of each label ``per_label`` rows at most.
 
-    Of each row a stretch of ``SAMPLE_CHARS`` characters at a place its id decides. Rows without a text or
-    a label of 0 or 1 teach nothing.
+    The labelled ids with the smallest hash are chosen first, so only the texts of the sample travel. Of each
+    text a stretch of ``SAMPLE_CHARS`` characters at a place its id decides. Rows without an id, a text or a
+    label of 0 or 1 teach nothing.
     """
-    real = rows.where(F.col("text").isNotNull() & F.col("quality").isin(0, 1))
+    real = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     shares = {r[0]: r[1] for r in real.groupBy("quality").count().collect()}
+    picked = [smallest_hashes(real.where(F.col("quality") == label), "doc_id", per_label) for label in (0, 1)]
+    chosen = picked[0].unionByName(picked[1]).distinct().withColumnRenamed("doc_id", "id")
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    short = real.select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"))
-    sample = [r for label in (0, 1) for r in
-              short.where(F.col("quality") == label).orderBy("h", "doc_id", "text").limit(per_label).collect()]
+    sample = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(
+        "doc_id", "quality", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text")
+    ).orderBy("doc_id", "quality", "text").limit(2 * per_label).collect()
     return fit([r.text for r in sample], [r.quality for r in sample], (shares.get(0, 0), shares.get(1, 0)))
 
 

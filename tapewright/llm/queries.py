@@ -49,9 +49,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Neighbours:
     """Fit on labelled documents whose id is not held out."""
-    taught = docs.where(F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "text").join(
-        labels.select("doc_id", "quality"), "doc_id")
-    return quality.train(taught)
+    return quality.train(docs, labels.where(~held_out(3, 1)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

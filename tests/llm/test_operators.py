@@ -177,7 +177,7 @@ class TestQuality:
         out = quality.score(plain, model).collect()
         assert len(out) == len(odd_rows()) and all(0 <= r.score <= 1 for r in out)
         assert quality.score(plain.limit(0), model).count() == 0
-        none = quality.train(spark.createDataFrame([(1, "a", None)], "doc_id long, text string, quality int"))
+        none = quality.train(plain, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int"))
         assert quality.score(plain, none).first().score == 0.5
         with pytest.raises(ValueError):
             quality.score(frame(spark, []), model)
