@@ -113,13 +113,20 @@ def wall_clock() -> Column:
     return F.when(F.trim("ts").rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.trim("ts").try_cast("timestamp_ntz"))
 
 
+def _number(name: str) -> Column:
+    """The cell as a double; a type suffix such as ``1d`` is no number, NaN and Infinity in words are."""
+    text = F.trim(name)
+    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | text.rlike(r"(?i)^[+-]?(nan|inf|infinity)$")
+    return F.when(plain, text.try_cast("double"))
+
+
 def _whole_number(name: str) -> Column:
-    return F.round(F.trim(name).try_cast("double")).try_cast("bigint")
+    return F.round(_number(name)).try_cast("bigint")
 
 
 def reject_reason() -> Column:
     """First reason a row cannot load, or null; an empty cell is a null, not a reject."""
-    bad = lambda name: _present(name) & F.trim(name).try_cast("double").isNull()
+    bad = lambda name: _present(name) & _number(name).isNull()
     price = bad(PRICES[0])
     for name in PRICES[1:]:
         price = price | bad(name)
@@ -157,7 +164,7 @@ def type_records(
     several files it is an expression of the file.
     """
     ts = wall_clock()
-    amount = F.trim("volume").try_cast("double")
+    amount = _number("volume")
     root = parse_symbol(F.col("contract_id"), KNOWN_ROOTS)["root"]
     day = F.to_date(ts) if frequency == "daily" else clock.trade_date(ts, open_second(root))
     good = rows.filter(reject_reason().isNull())
@@ -166,7 +173,7 @@ def type_records(
         batch_id.alias("batch_id"), ROW, "contract_id",
         F.lit(frequency).alias("frequency"), "ts_source", ts.alias("ts_exchange"),
         F.to_utc_timestamp(ts, timezone).alias("ts_utc"), day.alias("trade_date"),
-        *[F.trim(name).try_cast("double").alias(name) for name in PRICES],
+        *[_number(name).alias(name) for name in PRICES],
         _whole_number("volume").alias("volume"),
         F.when(amount != F.floor(amount), F.col("volume")).alias("volume_source"),
         _whole_number("open_interest").alias("open_interest"),

@@ -17,13 +17,20 @@ def tape_to_csv(df: DataFrame, path: str) -> None:
 
 
 def write_replacing(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Idempotent write: partitions of ``keys`` present in ``df`` are replaced, others stay."""
+    """Idempotent write: partitions of ``keys`` present in ``df`` are replaced, others stay.
+
+    A large partition is spread over several tasks and files.
+    """
     (
-        df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
 
 
 def append_records(df: DataFrame, path: str, keys: tuple[str, ...] = ("frequency", "trade_date")) -> None:
-    """Append-only write; a batch lands as new files under its partitions."""
-    df.write.mode("append").partitionBy(*keys).parquet(path)
+    """Append-only write; a batch lands as new files under its partitions.
+
+    Rows are rebalanced by the partition columns first, so that a partition gets files of even size rather
+    than one from every task.
+    """
+    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)

@@ -63,6 +63,18 @@ def test_what_parses(spark, cell, reason):
     assert [r["reason_code"] for r in rows] == ([reason] if reason else [])
 
 
+def test_type_suffixes_are_no_numbers(spark):
+    """A trailing f or d, which a Java parser takes for a type, is not part of a number."""
+    for name, value, reason in [("close", "12.5f", "STR.NON_NUMERIC_PRICE"), ("open", "1d", "STR.NON_NUMERIC_PRICE"),
+                                ("volume", "5f", "STR.NON_NUMERIC_VOLUME"), ("close", "1.25e3", None), ("close", ".5", None)]:
+        cells = {"contract": "ESZ25", "timestamp": "2025-09-15 09:00:00", "open": "1", "high": "1", "low": "1", "close": "1",
+                 "volume": "1"} | {name: value}
+        df = spark.createDataFrame([tuple(cells.values())], ", ".join(f"{c} string" for c in cells)).withColumn(
+            "source_row", F.lit(1)).withColumn(readers.BROKEN, F.lit(None).cast("string")).withColumn("source_file", F.lit("f"))
+        rows = ingest.to_targets(df, ingest.resolve_columns(df.columns))
+        assert [r["reason_code"] for r in ingest.route_rejects(rows, F.lit("b")).collect()] == ([reason] if reason else []), value
+
+
 def test_batch_summary(spark, broken):
     batches = spark.createDataFrame([("b", "running")], "batch_id string, status string")
     row = ingest.batch_summary(ingest.type_records(broken, F.lit("b"), "minute"),
