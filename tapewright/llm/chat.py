@@ -53,10 +53,11 @@ def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
             break
         above = hop.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("anc").alias("up"),
                            F.col("steps").alias("more"), F.col("total").alias("plus"))
-        hop = hop.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("anc") == F.col("n")), "left").select(
+        complete = hop.where(F.col("anc").isNull())
+        hop = hop.where(F.col("anc").isNotNull()).join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("anc") == F.col("n")), "left").select(
             "conv_id", "node", F.when(F.col("n").isNull(), F.when(F.col("anc").isNotNull(), F.col("anc"))).otherwise(F.col("up")).alias("anc"),
             (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"))
+            (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")).unionByName(complete)
     inner = edges.where(F.col("parent").isNotNull()).select(
         F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
     leaves = hop.where(F.col("anc").isNull()).join(
