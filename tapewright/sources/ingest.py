@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.symbols import parse_symbol
-from .readers import BROKEN, FILE, ROW
+from .readers import BASE, BROKEN, FILE, ROW, with_file_base
 from .reference import KNOWN_ROOTS, PRODUCTS, SESSIONS, open_second
 
 # ---- fixed values: column layouts -------------------------------------------------------
@@ -72,7 +72,7 @@ class Layout:
 
 def resolve_columns(columns: list[str]) -> Layout:
     """Vendor profile when its columns are present, else aliases by name, else a refusal."""
-    data = [c for c in columns if c not in (BROKEN, FILE, ROW)]
+    data = [c for c in columns if c not in (BASE, BROKEN, FILE, ROW)]
     for name, profile in PROFILES.items():
         if set(profile["needs"]) <= set(data):
             mapping = {s: t for s, t in profile["columns"].items() if s in data}
@@ -95,12 +95,13 @@ def to_targets(df: DataFrame, layout: Layout) -> DataFrame:
         source = layout.source_of(target)
         return F.lit(None).cast("string") if source is None else F.col(f"`{source}`").cast("string")
 
-    data = [c for c in df.columns if c not in (BROKEN, FILE, ROW)]
+    data = [c for c in df.columns if c not in (BASE, BROKEN, FILE, ROW)]
     payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"ignoreNullFields": "false"})
     cols = {t: text(t) for t in TARGETS}
     cols["ts_source"] = F.coalesce(cols["ts_source"], cols["ts"]) if layout.source_of("ts_source") else cols["ts"]
     return df.select(
-        *[c.alias(t) for t, c in cols.items()], FILE, F.col(ROW).cast("bigint").alias(ROW), F.col(BROKEN).alias("broken"),
+        *[c.alias(t) for t, c in cols.items()], *[c for c in (FILE, BASE) if c in df.columns],
+        F.col(ROW).cast("bigint").alias(ROW), F.col(BROKEN).alias("broken"),
         F.coalesce(F.col(BROKEN), payload).alias("raw_payload"))
 
 
@@ -160,16 +161,19 @@ def type_records(
     """Typed records of the rows no reason rejects.
 
     Volume is rounded half away from zero and its label kept when it had a fraction. Ids follow
-    the row number from ``first_id`` on, which the caller sets past the ids already taken; over
-    several files it is an expression of the file.
+    the row number from ``first_id`` on, which the caller sets past the ids already taken, file after
+    file by path; a column in its place is the base of the row's file and takes the order of files over.
     """
+    if isinstance(first_id, int):
+        rows = rows if BASE in rows.columns else with_file_base(rows)
+        first_id = F.lit(first_id) + F.col(BASE)
     ts = wall_clock()
     amount = _number("volume")
     root = parse_symbol(F.col("contract_id"), KNOWN_ROOTS)["root"]
     day = F.to_date(ts) if frequency == "daily" else clock.trade_date(ts, open_second(root))
     good = rows.filter(reject_reason().isNull())
     return good.select(
-        ((F.lit(first_id) if isinstance(first_id, int) else first_id) + F.col(ROW)).alias("record_id"),
+        (first_id + F.col(ROW)).cast("bigint").alias("record_id"),
         batch_id.alias("batch_id"), ROW, "contract_id",
         F.lit(frequency).alias("frequency"), "ts_source", ts.alias("ts_exchange"),
         F.to_utc_timestamp(ts, timezone).alias("ts_utc"), day.alias("trade_date"),

@@ -1,15 +1,16 @@
 """A labelled defective copy of a tape.
 
-Sites are picked by a seeded hash of the row number, one of every ``stride`` rows, so the pick
-is the same on any cluster and needs no order over the whole tape. Each site takes one defect.
+The tape is cut into as many zones as defects are asked for, by its length, so a defect never touches
+another and a short tape gets all of them. In its zone a defect takes the row of the lowest seeded hash
+among those that can carry it: the pick is the same on any cluster and needs no order over the tape.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import literal_table
 
 # fixed values: defect kinds, the rule each should trip, the field it edits
 KINDS = [
@@ -24,56 +25,87 @@ KINDS = [
     ("delete_5_consecutive_rows", "CMP.MISSING_TIMESTAMP", None),
 ]
 RUN = 5
-STRIDE = 16
 MIN_ROWS = 40
+DELETE, SWAP = "delete_5_consecutive_rows", "swap_adjacent_rows"
+COPIED = ("repeat_row", "conflicting_close_on_one_timestamp")
+#: A row number takes this many bits of a pick, the hash before it the rest.
+ROW_BITS = 40
 
 
-def pick_sites(tape: DataFrame, seed: int, kinds: list[str]) -> DataFrame:
-    """One site per kind: the lowest hash among rows that can carry it, sites kept apart."""
-    place = F.col("source_row") % STRIDE
-    able = {
+class NoSite(ValueError):
+    """No row of the tape can carry a defect that was asked for."""
+
+
+def able(kind: str) -> Column:
+    """Whether a row can carry the defect so that its rule sees it."""
+    at = {
         "negate_volume": F.col("volume") > 0,
         "swap_high_and_low": F.col("high") > F.col("low"),
-        "close_above_high": F.col("high").isNotNull(),
+        "close_above_high": F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull(),
         "blank_close": F.col("close").isNotNull(),
-        "decimal_shift_10x": F.col("close").isNotNull(),
+        "decimal_shift_10x": F.col("close") > 0,
         "conflicting_close_on_one_timestamp": F.col("close").isNotNull(),
     }
-    block = F.floor(F.col("source_row") / STRIDE)
-    # a block serves one kind only, so two sites are never within a stride of each other
-    lane = F.pmod(block + seed, F.lit(len(kinds)))
-    last_row = tape.agg(F.max("source_row")).scalar()
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (lane + 1).cast("int"))
-    fits = F.lit(True)
-    for name, condition in able.items():
-        fits = fits & ((F.col("kind") != name) | condition)
-    rows = tape.filter((place == STRIDE // 2) & (block > 0)).withColumn("kind", kind).filter(fits)
-    rows = rows.filter(F.col("source_row") <= last_row - RUN)
-    return rows.groupBy("kind").agg(F.min_by(
-        F.struct("source_row", "contract_id", "ts_exchange", "high", "low", "close", "volume"),
-        F.struct(F.xxhash64(F.lit(seed + 1), "source_row").alias("h"), "source_row")).alias("site")
-    ).select("kind", "site.*")
+    return at.get(kind, F.lit(True))
+
+
+def pick_sites(tape: DataFrame, seed: int, kinds: list[str]) -> dict[str, int]:
+    """A row number per kind; one row of the result per zone is all the driver sees.
+
+    A zone ends with a row left as it is, and one that loses a run of rows is longer by that run.
+    """
+    last = tape.agg(F.max("source_row")).first()[0] or 0
+    if last < MIN_ROWS:
+        raise ValueError(f"injection needs at least {MIN_ROWS} rows")
+    long_at = seed % len(kinds) if DELETE in kinds else len(kinds)
+    width = (last - 2 - (RUN if DELETE in kinds else 0)) // len(kinds)
+    starts = [2 + z * width + (RUN if z > long_at else 0) for z in range(len(kinds) + 1)]
+    row = F.col("source_row")
+    zone = F.lit(-1)
+    for z, start in enumerate(starts):
+        zone = F.when(row >= start, z).otherwise(zone) if z < len(kinds) else F.when(row >= start, -1).otherwise(zone)
+    room = F.element_at(F.array(*[F.lit(s) for s in starts[1:]]), F.col("zone") + 1) - row
+    mixed = F.shiftleft(F.xxhash64(F.lit(seed + 1), row).bitwiseAND(F.lit((1 << 63 - ROW_BITS) - 1)), ROW_BITS)
+    need = {kind: RUN + 1 if kind == DELETE else 3 if kind == SWAP else 2 for kind in kinds}
+    picks = tape.withColumn("zone", zone).filter("zone >= 0").groupBy("zone").agg(*[
+        F.min(F.when(able(kind) & (room >= need[kind]), mixed.bitwiseOR(row.cast("bigint")))).alias(kind) for kind in kinds])
+    found = {r["zone"]: r for r in picks.collect()}
+    fits = {kind: [z for z in sorted(found, key=lambda z: (z + seed) % len(kinds)) if found[z][kind] is not None
+                   and (kind == DELETE) == (z == long_at)] for kind in kinds}
+    holder: dict[int, str] = {}
+
+    def settled(kind: str, tried: set[int]) -> bool:
+        for z in fits[kind]:
+            if z not in tried:
+                tried.add(z)
+                if z not in holder or settled(holder[z], tried):
+                    holder[z] = kind
+                    return True
+        return False
+
+    lost = [kind for kind in kinds if not settled(kind, set())]
+    if lost:
+        raise NoSite(f"no row can carry {', '.join(lost)}")
+    return {kind: found[z][kind] & ((1 << ROW_BITS) - 1) for z, kind in holder.items()}
 
 
 def inject_defects(tape: DataFrame, seed: int = 20260906, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The defective tape with new row numbers, and a manifest naming each planted row.
 
-    ``tape`` has source_row 1..n in file order. Row numbers move by the rows inserted or
-    deleted before them, a sum over the few sites.
+    ``tape`` has source_row 1..n in file order. Every defect asked for is planted once, or ``NoSite``
+    names those no row can carry. Row numbers move by the rows inserted or deleted before them.
     """
     kinds = [kind for kind, rule, _ in KINDS if rules is None or rule in rules]
-    if tape.limit(MIN_ROWS).count() < MIN_ROWS:
-        raise ValueError(f"injection needs at least {MIN_ROWS} rows")
-    sites = pick_sites(tape, seed, kinds).select("kind", F.col("source_row").alias("site"))
-    touched = sites.select(
-        "kind", "site", F.explode(F.when(F.col("kind") == "delete_5_consecutive_rows", F.sequence(F.lit(0), F.lit(RUN - 1)))
-                                  .when(F.col("kind") == "swap_adjacent_rows", F.array(F.lit(0), F.lit(1)))
-                                  .otherwise(F.array(F.lit(0)))).alias("step"))
-    touched = touched.select("kind", "step", (F.col("site") + F.col("step")).alias("source_row"))
-    marked = tape.join(small(touched), "source_row", "left")
+    if not kinds:
+        raise ValueError(f"no defect trips any of {rules}")
+    sites = pick_sites(tape, seed, kinds)
+    span = {DELETE: RUN, SWAP: 2}
+    touched = literal_table(tape.sparkSession, "kind string, step int, source_row bigint", [
+        (kind, step, site + step) for kind, site in sites.items() for step in range(span.get(kind, 1))])
+    marked = tape.join(F.broadcast(touched), "source_row", "left")
     kind = F.col("kind")
-    is_ = lambda name: F.coalesce(kind == name, F.lit(False))
-    edited = marked.filter(~is_("delete_5_consecutive_rows")).withColumns({
+    is_ = lambda *names: F.coalesce(kind.isin(*names), F.lit(False))
+    edited = marked.filter(~is_(DELETE)).withColumns({
         "volume": F.when(is_("negate_volume"), -F.col("volume")).otherwise(F.col("volume")),
         "high": F.when(is_("swap_high_and_low"), F.col("low")).otherwise(F.col("high")),
         "low": F.when(is_("swap_high_and_low"), F.col("high")).otherwise(F.col("low")),
@@ -81,26 +113,19 @@ def inject_defects(tape: DataFrame, seed: int = 20260906, rules: list[str] | Non
         .when(is_("blank_close"), F.lit(None)).when(is_("decimal_shift_10x"), F.round(F.col("close") * 10, 2))
         .otherwise(F.col("close")),
     })
-    copies = F.when(is_("repeat_row") | is_("conflicting_close_on_one_timestamp"), F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0)))
-    grown = edited.withColumn("copy", F.explode(copies)).withColumn(
-        "close", F.when(is_("conflicting_close_on_one_timestamp") & (F.col("copy") == 1), F.round(F.col("close") + 1.25, 2))
-        .otherwise(F.col("close")))
-    swapped = F.when(is_("swap_adjacent_rows"), F.when(F.col("step") == 0, 1).otherwise(-1)).otherwise(0)
-    moved = F.when(kind == "delete_5_consecutive_rows", -RUN).when(
-        kind.isin("repeat_row", "conflicting_close_on_one_timestamp"), 1).otherwise(0)
-    shifts = sites.select(F.col("site").alias("at"), moved.alias("by")).filter("by <> 0").agg(
-        F.collect_list(F.struct("at", "by"))).scalar()
-    before = F.aggregate("shifts", F.lit(0), lambda n, s: n + F.when(s["at"] < F.col("source_row"), s["by"]).otherwise(0))
-    out = grown.withColumn("shifts", shifts).withColumn(
-        "new_row", F.col("source_row") + F.col("copy") + swapped + before)
-    planted = sites.select("kind", "site", shifts.alias("shifts"), F.col("site").alias("source_row"))
-    row = F.col("site") + before + F.when(
-        kind.isin("repeat_row", "conflicting_close_on_one_timestamp", "swap_adjacent_rows"), 1).otherwise(0)
-    rule = F.element_at(F.create_map(*[F.lit(v) for k, r, _ in KINDS for v in (k, r)]), kind)
-    field = F.element_at(F.create_map(*[F.lit(v) for k, _, f in KINDS for v in (k, f or "")]), kind)
-    manifest = planted.select(
-        F.concat(F.lit("d_"), F.substring(F.sha1(F.concat_ws("|", rule, kind, F.col("site").cast("string"))), 1, 12))
-        .alias("defect_id"), rule.alias("rule_id"), "kind", row.cast("bigint").alias("source_row"),
-        F.nullif(field, F.lit("")).alias("field_name"), F.col("site").alias("original_row"))
+    grown = edited.withColumn("copy", F.explode(F.when(is_(*COPIED), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    grown = grown.withColumn("close", F.when(is_("conflicting_close_on_one_timestamp") & (F.col("copy") == 1),
+                                             F.round(F.col("close") + 1.25, 2)).otherwise(F.col("close")))
+    moves = {site: -RUN if name == DELETE else 1 for name, site in sites.items() if name == DELETE or name in COPIED}
+    moved = F.lit(0)
+    for site, by in moves.items():
+        moved = moved + F.when(F.col("source_row") > site, by).otherwise(0)
+    swapped = F.when(is_(SWAP), F.when(F.col("step") == 0, 1).otherwise(-1)).otherwise(0)
+    out = grown.withColumn("new_row", F.col("source_row") + F.col("copy") + swapped + moved)
+    about = {name: (rule, field) for name, rule, field in KINDS}
+    planted = literal_table(tape.sparkSession, "rule_id string, kind string, source_row bigint, field_name string, original_row bigint", [
+        (about[name][0], name, site + sum(by for at, by in moves.items() if at < site) + (name == SWAP or name in COPIED),
+         about[name][1], site) for name, site in sites.items()])
+    label = F.substring(F.sha1(F.concat_ws("|", "rule_id", "kind", F.col("original_row").cast("string"))), 1, 12)
+    manifest = planted.select(F.concat(F.lit("d_"), label).alias("defect_id"), *planted.columns)
     return out.select(*[c for c in tape.columns if c != "source_row"], F.col("new_row").cast("bigint").alias("source_row")), manifest

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import settle
 
 DATE_FORMAT, TIMESTAMP_FORMAT = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
 
@@ -16,15 +21,45 @@ def tape_to_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def write_replacing(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Idempotent write: partitions of ``keys`` present in ``df`` are replaced, others stay.
+def write_replacing(df: DataFrame, path: str, keys: list[str], scope: DataFrame) -> None:
+    """Idempotent write: the rows that ``scope`` names give way to ``df``, all others stay.
 
+    ``scope`` holds values of any columns of the table, partition columns among them or not; nulls match
+    nulls. A row of ``df`` outside it is refused. Only partitions that hold rows of the scope are rewritten;
+    one left without rows is removed, so nothing stale stays. A run that breaks off is mended by repeating it.
     A large partition is spread over several tasks and files.
     """
+    spark = df.sparkSession
+    scope = scope.distinct()
+
+    def matching(left: DataFrame, columns: list[str], how: str) -> DataFrame:
+        wanted = scope.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+        return left.join(wanted, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]), how)
+
+    fresh = settle(df, "fresh")
+    if not matching(fresh, scope.columns, "left_anti").isEmpty():
+        raise ValueError("rows to write lie outside the scope they replace")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, emptied = fresh, []
+    if files.exists(folder):
+        kinds = dict(fresh.dtypes)
+        old = spark.read.parquet(path)
+        held = old.select(*[F.col(c).cast(kinds[c]).alias(c) for c in fresh.columns],
+                          F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("_folder"))
+        shared = [c for c in keys if c in scope.columns]
+        touched = settle(matching(held, shared, "left_semi") if shared else held, "touched")
+        out = settle(matching(touched, scope.columns, "left_anti").drop("_folder").unionByName(fresh), "replaced")
+        left = out.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        # one row per partition that has lost all its rows
+        emptied = [r[0] for r in touched.select(*keys, "_folder").distinct().join(left, same, "left_anti").select("_folder").collect()]
     (
-        df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
+    for name in emptied:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)), True)
 
 
 def append_records(df: DataFrame, path: str, keys: tuple[str, ...] = ("frequency", "trade_date")) -> None:
