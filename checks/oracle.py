@@ -261,12 +261,12 @@ relation("q_dims", f"""
 SELECT contract_id, frequency, dimension, round(100.0 * {_share.format(w=_whole, back='0', aff='affected')} + 1e-9, 4) AS score,
   if({_whole}, expected, actual) AS denominator, if({_whole}, 'expected_records', 'actual_records') AS basis,
   affected, found, CASE WHEN {_whole} AND expected = 0
-    THEN 'no expected records for this slice, so completeness is undefined rather than perfect' END AS reason
+    THEN 'nothing is expected here, completeness has no value' END AS reason
 FROM q_affected
 UNION ALL
 SELECT s.contract_id, frequency, 'reconciliation', score, sessions, 'reconcilable_sessions', bad, found,
-  CASE WHEN sessions = 0 AND grains < 2 THEN 'only one frequency uploaded for this contract' WHEN sessions = 0 THEN
-    'both frequencies are held, but no session is present in both inside the window where they overlap, so there is nothing to reconcile' END
+  CASE WHEN sessions = 0 AND grains < 2 THEN 'one grain is held, there is no other to compare with' WHEN sessions = 0 THEN
+    'both grains are held without a session in common' END
 FROM q_slices s JOIN q_rec_score USING (contract_id)""")
 sql("SCR-02", f"""
 SELECT contract_id, frequency, dimension, {r6('score')} AS score, {n('denominator')} AS denominator, basis,
@@ -274,8 +274,8 @@ SELECT contract_id, frequency, dimension, {r6('score')} AS score, {n('denominato
 FROM q_dims JOIN q_weights USING (dimension)""")
 sql("SCR-03", f"""
 SELECT contract_id, {n('sessions')} AS reconcilable_sessions, {n('bad')} AS defect_sessions, {r6('score')} AS score,
-  CASE WHEN sessions = 0 AND grains < 2 THEN 'only one frequency uploaded for this contract' WHEN sessions = 0 THEN
-    'both frequencies are held, but no session is present in both inside the window where they overlap, so there is nothing to reconcile' END AS reason,
+  CASE WHEN sessions = 0 AND grains < 2 THEN 'one grain is held, there is no other to compare with' WHEN sessions = 0 THEN
+    'both grains are held without a session in common' END AS reason,
   {n('found')} AS finding_count FROM q_rec_score""")
 relation("q_scores", """
 SELECT contract_id, frequency, if(actual < 100, NULL, round(sum(weight * score) / nullif(sum(weight) FILTER (score IS NOT NULL), 0) + 1e-9, 4)) AS overall,
@@ -534,17 +534,17 @@ SELECT * FROM (
       t: 'ref.session_calendar', title: 'Suppress the ' || substr(bucket, 1, 5) || ':00-' || substr(bucket, 7, 5) || ':00 break for this root'}
     WHEN rule_id = 'CMP.SESSION_MISSING' AND dimension = 'trade_date' AND EXISTS (SELECT 1 FROM (SELECT contract_id, max(hi) AS last
         FROM q_slices GROUP BY 1) WHERE TRY_CAST(bucket AS DATE) BETWEEN last - 10 AND last) THEN {p: 2, k: 'rule', o: 'set_param',
-      t: 'dq.dq_rule', title: 'Widen the roll window so the final sessions stop reporting as missing'}
+      t: 'dq.dq_rule', title: 'Count the last sessions before expiry as part of the roll'}
     WHEN rule_id = 'UNQ.KEY_CONFLICT' AND dimension = 'batch' THEN {p: 3, k: 'rule', o: 'set_dedupe_policy', t: 'dq.dq_rule',
-      title: 'Adopt a dedupe tie-break for ' || bucket}
+      title: 'Settle conflicts by a fixed choice in ' || bucket}
     WHEN rule_id = 'VAL.OFF_TICK_PRICE' AND dimension = 'frequency' AND bucket = 'daily' THEN {p: 4, k: 'tick', o: 'mark_settlement_bearing',
-      t: 'ref.tick', title: 'Exempt the daily close for this root from the tick lattice'}
+      t: 'ref.tick', title: 'Let the daily close of this root lie between ticks'}
     WHEN rule_id = 'VAL.OFF_TICK_PRICE' AND dimension = 'frequency' THEN {p: 4, k: 'tick', o: 'correct_tick_reference', t: 'ref.tick',
       title: 'Review the ' || bucket || ' tick for this root'}
     WHEN rule_id = 'REC.CLOSE_CONVENTION' AND dimension = 'frequency' THEN {p: 5, k: 'ingest', o: 'set_close_convention',
-      t: 'stage.ingest_batch', title: 'Record the vendor close as a settlement for this source'}
+      t: 'stage.ingest_batch', title: 'Treat this source''s close as a settlement price'}
     WHEN rule_id = 'REC.VOLUME_SHORTFALL' AND dimension = 'trade_date' THEN {p: 6, k: 'rule', o: 'suppress_on_dates', t: 'dq.dq_rule',
-      title: 'Stop checking the volume shortfall on ' || bucket} END AS s
+      title: 'Leave daily volume unchecked on ' || bucket} END AS s
   FROM q_patterns) WHERE s IS NOT NULL"""
 relation("q_proposed", _proposed)
 relation("q_even_proposed", _proposed.replace("q_patterns", "q_even_patterns"))
@@ -624,17 +624,17 @@ unnest([
     || ' · ' || (coalesce(dups, 0) - coalesce(exact, 0)) || if(coalesce(dups, 0) - coalesce(exact, 0) = 1, ' key conflict', ' key conflicts')}},
   {{f: 'invalid', l: 'Invalid values', n: coalesce(bad, 0), u: 'rows', t: (coalesce(bad, 0) - coalesce(vols, 0)) || if(coalesce(bad, 0) - coalesce(vols, 0) = 1, ' price', ' prices')
     || ' · ' || coalesce(vols, 0) || if(coalesce(vols, 0) = 1, ' volume', ' volumes')}},
-  {{f: 'patterns', l: 'Recurring patterns', n: coalesce(pats, 0), u: 'standing', t: coalesce(top, 'No standing pattern in this window')}}]) w(u)""")
+  {{f: 'patterns', l: 'Recurring patterns', n: coalesce(pats, 0), u: 'standing', t: coalesce(top, 'Nothing recurs here')}}]) w(u)""")
 sql("RPT-10", "SELECT * FROM q_cards")
 sql("RPT-11", f"""
-SELECT contract_id, frequency, family, label AS what, days, {n('records')} AS records, coalesce(did, 'Flagged; not auto-dropped') AS what_we_did
+SELECT contract_id, frequency, family, label AS what, days, {n('records')} AS records, coalesce(did, 'Marked, left in place') AS what_we_did
 FROM (SELECT contract_id, frequency, family, rule_id, label, count(DISTINCT trade_date) AS days, sum(affected_rows) AS records
       FROM q_ff WHERE family <> 'off_strip' GROUP BY ALL)
 LEFT JOIN (SELECT contract_id, frequency, rule_id, string_agg(if(action = 'exclude', 'excluded ', 'dropped ') || n || if(n = 1, ' record', ' records'), '; ') AS did
            FROM (SELECT contract_id, frequency, rule_id, action, CAST(sum(records) AS BIGINT) AS n FROM q_log GROUP BY ALL) GROUP BY ALL)
   USING (contract_id, frequency, rule_id)
 UNION ALL
-SELECT c, g, 'patterns', narrative, distinct_days, support, 'Reported; not applied' FROM q_slice_patterns""")
+SELECT c, g, 'patterns', narrative, distinct_days, support, 'Shown only' FROM q_slice_patterns""")
 relation("q_bardays", "SELECT DISTINCT contract_id, source_frequency AS frequency, trade_date, 1 AS bar FROM q_bars_clean")
 relation("q_marked", f"""
 SELECT f.contract_id, f.frequency, f.trade_date, any_value(bar) AS bar,
@@ -642,9 +642,9 @@ SELECT f.contract_id, f.frequency, f.trade_date, any_value(bar) AS bar,
   bool_or(family = 'duplicates') AS duplicate, bool_or(family = 'invalid') AS invalid,
   bool_or(family = 'invalid' AND (f.{_volume} OR coalesce(field = 'volume', FALSE))) AS invalid_volume,
   bool_or(p.rule_id IS NOT NULL) AS pattern_member,
-  list(CASE WHEN f.rule_id = 'CMP.SESSION_MISSING' AND bar IS NULL THEN 'Settlement never arrived'
+  list(CASE WHEN f.rule_id = 'CMP.SESSION_MISSING' AND bar IS NULL THEN 'No settled bar'
     WHEN family = 'gaps' THEN coalesce(missing_slots, affected_rows) || ' missing slots at session open'
-    WHEN family = 'duplicates' THEN 'Kept duplicate at this timestamp'
+    WHEN family = 'duplicates' THEN 'One of several copies was kept'
     WHEN f.{_volume} OR field = 'volume' THEN 'Volume defect' ELSE f.label END ORDER BY f.rule_id, t0 NULLS FIRST, finding_id)
     FILTER (family <> 'off_strip')[1] AS caption
 FROM q_ff f LEFT JOIN q_bardays b ON b.contract_id = f.contract_id AND b.frequency = f.frequency AND b.trade_date = f.trade_date

@@ -431,8 +431,7 @@ def _(e: Env) -> DataFrame:
 
 @query("INS-08")
 def _(e: Env) -> DataFrame:
-    return X.compare_vwap(vwap_15m(e.weekdays, "raw"), vwap_15m(e.weekdays, "clean", e.actions)).withColumn(
-        "differs", F.coalesce(F.abs("delta") > 1e-9, F.lit(False)))
+    return X.compare_vwap(vwap_15m(e.weekdays, "raw"), vwap_15m(e.weekdays, "clean", e.actions))
 
 
 def _sides(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -641,7 +640,7 @@ def _drop(e: Env) -> str:
         cols = ["contract", "timestamp", "open", "high", "low", "close", "volume"]
         line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cols])
         line = F.when(F.col("record_id") % 233 == 0, F.concat_ws(",", "contract", "timestamp")).otherwise(line)
-        lines = _vendor_text(e).select("record_id", line.alias("value")).repartitionByRange(4, "record_id")
+        lines = _vendor_text(e).select("record_id", line.alias("value")).repartitionByRange("record_id")
         lines.sortWithinPartitions("record_id").select("value").write.option(
             "lineSep", "\n").text(e._drop_path)
     return e._drop_path

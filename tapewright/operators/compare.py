@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from .bars import BAR, bar_struct
 
 POINT = ["contract_id", "trade_date", "ts_utc"]
+#: Two sums of the same ticks in another order stay within this.
+SAME_VWAP = 1e-9
 
 
 def compare_vwap(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Both lines on each timestamp, their difference and whether they differ."""
+    """Both lines on each timestamp, their difference and whether it is more than float noise."""
     def line(points: DataFrame, name: str) -> DataFrame:
         # points of one timestamp share one value
         return points.groupBy(*POINT).agg(F.max("vwap_15m").alias(name))
 
     delta = F.col("clean_vwap") - F.col("raw_vwap")
     return line(raw, "raw_vwap").join(line(clean, "clean_vwap"), POINT, "full_outer").withColumn(
-        "delta", delta).withColumn("differs", F.coalesce(F.col("delta") != 0, F.lit(False)))
+        "delta", delta).withColumn("differs", F.coalesce(F.abs("delta") > SAME_VWAP, F.lit(False)))
 
 
 def _pair(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

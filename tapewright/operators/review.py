@@ -55,7 +55,7 @@ def family_cards(slices: DataFrame, findings: DataFrame, patterns: DataFrame) ->
                                _plural(F.col("conflicts"), "key conflict", "key conflicts")),
         "invalid": F.concat(_plural(prices, "price", "prices"), dot,
                             _plural(F.col("volumes"), "volume", "volumes")),
-        "patterns": F.coalesce("narrative", F.lit("No standing pattern in this window")),
+        "patterns": F.coalesce("narrative", F.lit("Nothing recurs here")),
     }
     cards = F.array(*[F.struct(
         F.lit(name).alias("family"), F.lit(FAMILY_LABELS[name][0]).alias("label"), F.col(name).alias("count"),
@@ -73,11 +73,11 @@ def issues(findings: DataFrame, patterns: DataFrame, changelog: DataFrame) -> Da
         F.count_distinct("trade_date").alias("days"), F.sum("affected_rows").alias("records")
     ).filter("family <> 'off_strip'").join(done, [*SLICE, "rule_id"], "left").select(
         *SLICE, "family", F.col("label").alias("what"), "days", "records",
-        F.coalesce("did", F.lit("Flagged; not auto-dropped")).alias("what_we_did"))
+        F.coalesce("did", F.lit("Marked, left in place")).alias("what_we_did"))
     standing = patterns.select(
         *SLICE, F.lit("patterns").alias("family"), F.col("narrative").alias("what"),
         F.col("distinct_days").alias("days"), F.col("support").alias("records"),
-        F.lit("Reported; not applied").alias("what_we_did"))
+        F.lit("Shown only").alias("what_we_did"))
     return by_rule.unionByName(standing)
 
 
@@ -98,9 +98,9 @@ def overlay(findings: DataFrame, bars: DataFrame, patterns: DataFrame, basis: st
     gap = (family == "gaps") & ~absent
     volume = (family == "invalid") & (rule.isin(VOLUME_RULES) | F.coalesce(F.col("field") == "volume", F.lit(False)))
     slots = F.coalesce(F.get_json_object("details", "$.missing_slots"), F.col("affected_rows").cast("string"))
-    caption = F.when(absent, "Settlement never arrived").when(
+    caption = F.when(absent, "No settled bar").when(
         gap, F.concat(slots, F.lit(" missing slots at session open"))).when(
-        family == "duplicates", "Kept duplicate at this timestamp").when(volume, "Volume defect").when(
+        family == "duplicates", "One of several copies was kept").when(volume, "Volume defect").when(
         family == "invalid", F.col("label"))
     marks = f.groupBy(*day).agg(
         F.bool_or(gap).alias("partial_gap"), F.bool_or(family == "duplicates").alias("duplicate"),
@@ -170,7 +170,7 @@ def gap_evidence(findings: DataFrame, records: DataFrame, bars: DataFrame, basis
         _bar_days(bars, basis), [*SLICE, "trade_date"], "left_anti").join(pick.select(*SLICE), SLICE, "left_anti")
     absent = _first(gone, [F.col("trade_date"), F.col("finding_id")]).select(
         *SLICE, F.lit("absent_session").alias("kind"), "trade_date",
-        F.concat(F.lit("Settlement never arrived on "), F.col("trade_date").cast("string"), F.lit(".")).alias("caption"), *none)
+        F.concat(F.lit("No settled bar on "), F.col("trade_date").cast("string"), F.lit(".")).alias("caption"), *none)
     rest = f.join(pick.select(*SLICE), SLICE, "left_anti").join(absent.select(*SLICE), SLICE, "left_anti")
     other = _first(rest, [F.col("trade_date"), F.col("rule_id"), F.col("finding_id")]).select(
         *SLICE, F.lit("gaps_ribbon").alias("kind"), "trade_date", F.col("label").alias("caption"), *none)

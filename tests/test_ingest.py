@@ -159,7 +159,7 @@ def test_landing_refuses_known_and_repeated_bytes(spark, tmp_path):
     assert [r["name"] for r in landing.verify_checksums(spark, str(tmp_path), manifest).collect()] == ["d.csv"]
 
 
-@pytest.mark.parametrize("n", [40, 60, 160])
+@pytest.mark.parametrize("n", [40, 60])
 def test_injected_defects_are_found_where_the_manifest_says(spark, n):
     lines = [f"ESZ25,2025-09-15 {9 + i // 60:02d}:{i % 60:02d}:00,{6600 + i % 7},{6603 + i % 7},{6597 + i % 7},{6601 + i % 7},{100 + i % 9}"
              for i in range(n)]

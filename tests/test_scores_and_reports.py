@@ -67,7 +67,7 @@ def test_scores_renormalise_and_name_their_scope(run):
     want = sum(d["weight"] * d["score"] for d in dims.values()) / 1.2
     assert rows["ESZ25", "minute"]["overall"] == pytest.approx(want, abs=1e-4)
     reason = run.dimensions.filter("contract_id = 'ZCZ25' and dimension = 'reconciliation'").first()["reason"]
-    assert reason == "only one frequency uploaded for this contract"
+    assert reason == "one grain is held, there is no other to compare with"
 
 
 def test_a_record_counts_once_per_dimension(run):
@@ -231,8 +231,8 @@ def test_early_close_becomes_a_closure(spark):
         [("p_1", "CMP.SESSION_MISSING", "trade_date", "2025-07-04"), ("p_2", "CMP.SESSION_MISSING", "trade_date", "2025-12-15"),
          ("p_3", "CMP.SESSION_MISSING", "trade_date", "2025-08-15")], "pattern_id string, rule_id string, dimension string, bucket string")
     got = {(r["pattern_id"], r["operation"], r["title"]) for r in SG.proposals(patterns, facts, calendar).collect()}
-    assert got == {("p_1", "add_holiday", "Record 2025-07-04 as a full closure for ES"),
-                   ("p_2", "set_param", "Widen the roll window so the final sessions stop reporting as missing")}
+    assert got == {("p_1", "add_holiday", "Mark 2025-07-04 as closed all day for ES"),
+                   ("p_2", "set_param", "Count the last sessions before expiry as part of the roll")}
 
 
 def test_review_relations(run, actions, spark):
@@ -241,12 +241,12 @@ def test_review_relations(run, actions, spark):
     cards = {(r["frequency"], r["family"]): r for r in RV.family_cards(run.scope.sessions, run.findings, none).filter(
         "contract_id = 'ESZ25'").collect()}
     assert len(cards) == 8 and cards["minute", "duplicates"]["detail"] == "3 exact copies · 6 key conflicts"
-    assert cards["minute", "patterns"]["detail"] == "No standing pattern in this window"
+    assert cards["minute", "patterns"]["detail"] == "Nothing recurs here"
     log = changelog(actions, run.scope.tables.records, F.broadcast(spark.createDataFrame(
         [("UNQ.EXACT_DUPLICATE", "Exact duplicate row")], "rule_id string, name string")))
     issues = {(r["frequency"], r["what"]): r for r in RV.issues(run.findings, none, log).collect()}
     assert issues["minute", "Exact duplicate row"]["what_we_did"] == "dropped 3 records"
-    assert issues["minute", "Missing grid slots"]["what_we_did"] == "Flagged; not auto-dropped"
+    assert issues["minute", "Missing grid slots"]["what_we_did"] == "Marked, left in place"
     kept = RV.duplicate_evidence(run.findings, run.scope.tables.records).filter("frequency = 'minute'").collect()
     assert {r["which"] for r in kept} == {"kept", "dropped"}
     rows = contract_rows(run.scores, run.findings).collect()
