@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalogue import RULES_BY_ID, lookup, severity_name, severity_rank
@@ -26,16 +27,32 @@ def _tally() -> list[Column]:
     ]
 
 
-def _wildcards(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each row once per way its keys can be matched: by value, or by a finding's null."""
+def _wildcards(df: DataFrame, names: list[str], own: bool | None = None) -> DataFrame:
+    """Each row once per way its keys can be matched: by value, or by a finding's null.
+
+    ``own`` keeps only the ways that name the first key, or only those that do not.
+    """
     ways = [
         F.struct(*[(F.col(n) if keep else F.lit(None)).cast(df.schema[n].dataType).alias(f"k_{n}")
                    for n, keep in zip(names, flags)])
-        for flags in product([True, False], repeat=len(names))
+        for flags in product([True, False], repeat=len(names)) if own is None or flags[0] == own
     ]
     return df.withColumn("way", F.explode(F.array(*ways))).select("*", "way.*").drop("way")
 
 
+def _meet(sessions: DataFrame, tallies: DataFrame, names: list[str]) -> DataFrame:
+    """Sessions beside the tallies whose keys they carry, a tally's null matching any value.
+
+    Without this split all sessions would meet in the few keys of findings that name no contract. Those
+    tallies are at most one per grain and date, so they are broadcast; the rest meet by contract.
+    """
+    same = [F.col(f"k_{n}").eqNullSafe(F.col(f"f_{n}")) for n in names]
+    keyed = sessions.select(*SESSION)
+    by_contract = _wildcards(keyed, names, True).join(tallies.filter(F.col(f"f_{names[0]}").isNotNull()), same)
+    everywhere = _wildcards(keyed, names, False).join(F.broadcast(tallies.filter(F.col(f"f_{names[0]}").isNull())), same)
+    return by_contract.unionByName(everywhere)
+
+
 def session_quality(sessions: DataFrame, findings: DataFrame) -> DataFrame:
     """Open findings meeting each session: how many count on it, how bad, and what blocks it.
 
@@ -48,9 +65,7 @@ def session_quality(sessions: DataFrame, findings: DataFrame) -> DataFrame:
 
     def matched(part: DataFrame, names: list[str], counted: bool) -> DataFrame:
         tallies = part.groupBy(*[F.col(n).alias(f"f_{n}") for n in names]).agg(*_tally())
-        same = [F.col(f"k_{n}").eqNullSafe(F.col(f"f_{n}")) for n in names]
-        hits = _wildcards(sessions.select(*SESSION), names).join(tallies, same)
-        return hits.select(*SESSION, (F.col("n") if counted else F.lit(0)).alias("n"), "rank", "blocking")
+        return _meet(sessions, tallies, names).select(*SESSION, (F.col("n") if counted else F.lit(0)).alias("n"), "rank", "blocking")
 
     local = matched(opened.filter("scope in ('record', 'session')"), SESSION, True)
     series = matched(opened.filter("scope = 'series'"), ["contract_id", "frequency"], False)
@@ -69,15 +84,23 @@ def _file_matches(sessions: DataFrame, files: DataFrame) -> DataFrame:
     undated = files.filter("ts_start_utc is null")
     tallies = undated.groupBy(*[F.col(n).alias(f"f_{n}") for n in names]).agg(*_tally())
     same = [F.col(f"k_{n}").eqNullSafe(F.col(f"f_{n}")) for n in names]
-    always = _wildcards(sessions.select(*SESSION), names).join(tallies, same).select(
+    always = _meet(sessions, tallies, names).select(
         *SESSION, F.lit(0).cast("bigint").alias("n"), "rank", "blocking")
 
     def days(first: str, last: str) -> Column:
         return F.explode(F.sequence(F.to_date(first), F.to_date(last)))
 
-    spans = files.filter("ts_start_utc is not null and ts_end_utc >= ts_start_utc").select(
+    # only the worst severity and the rules count here, so spans of one rule that overlap are one span
+    kind = [*[f"f_{n}" for n in names], "rule_id", "severity"]
+    raw = files.filter("ts_start_utc is not null and ts_end_utc >= ts_start_utc").select(
         *[F.col(n).alias(f"f_{n}") for n in names], "rule_id", "severity",
-        F.col("ts_start_utc").alias("lo"), F.col("ts_end_utc").alias("hi"), days("ts_start_utc", "ts_end_utc").alias("day"))
+        F.col("ts_start_utc").alias("lo"), F.col("ts_end_utc").alias("hi")).groupBy(*kind, "lo").agg(F.max("hi").alias("hi"))
+    order = W.partitionBy(*kind).orderBy("lo")
+    reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    parted = raw.withColumn("fresh", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int"))
+    merged = parted.withColumn("island", F.sum("fresh").over(order)).groupBy(*kind, "island").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    spans = merged.withColumn("day", days("lo", "hi"))
     held = sessions.select(*SESSION, "first_ts_utc", "last_ts_utc", days("first_ts_utc", "last_ts_utc").alias("day"))
     overlap = _wildcards(held, names).join(spans, [*same, held["day"] == spans["day"]]).filter(
         (F.col("lo") <= F.col("last_ts_utc")) & (F.col("hi") >= F.col("first_ts_utc")))
