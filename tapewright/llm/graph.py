@@ -50,6 +50,48 @@ def forest(links: Iterable[tuple[int, int]], nodes: int) -> list[tuple[int, int]
     return kept
 
 
+def stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that join the same nodes as ``links``: each node with the smallest one reachable."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in root if top(x) != x]
+
+
+def link_batches(found: Iterable[list[tuple[int, int]]], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Links of one task as ``(a, b)``; what meets in the task is joined there, ``most`` links and one list more at a time."""
+    held: list[tuple[int, int]] = []
+
+    def batch() -> pa.RecordBatch:
+        joined = stars(held)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in joined], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for links in found:
+        held += links
+        if len(held) > most:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges (a, b)`` hangs on one other that hangs on none."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("n").agg((F.sum("up") + F.max("down")).alias("ends"), F.max("up").alias("up")).where("up = 1 and ends > 1")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node of ``links (a, b)``; comp is the smallest node reachable.
 
@@ -59,19 +101,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = settle(links.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    before = None
-    while True:
+    while not all_stars(edges):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("m", "a").alias("m"))
         wide = both.join(least, a == F.col("n")).where(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        wide = settle(wide.where("a <> b").distinct(), "large-star")
+        wide = settle(wide.where("a <> b"), "large-star")
         lowest = wide.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         near = wide.join(lowest, a == F.col("n"))
         edges = settle(
             near.select(b.alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("n").alias("a"), F.col("m").alias("b")))
             .where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "small-star")
-        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(xxhash64(b, a) as decimal(38))"))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(a.alias("node"), b.alias("comp")).unionByName(edges.select(b.alias("node"), b.alias("comp")).distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.graph import components, forest, key_runs
+from tapewright.llm.graph import components, forest, key_runs, link_batches
 from tapewright.llm.words import mix, shingles, slices, utf8, words_of
 from tapewright.session import settle, small
 
@@ -113,21 +113,19 @@ def blocks(rows: DataFrame, key: str, size: str, width: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, bands: DataFrame, floor: float) -> DataFrame:
-    """Links ``(a, b)`` that join all nodes sharing a bucket whose estimate is ``floor`` or more."""
+    """``(a, b)`` that connect all nodes sharing a bucket whose estimate is ``floor`` or more."""
     exploded = bands.select("node", F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").count().where(F.col("count") > 1)
     shared = exploded.join(buckets.withColumnRenamed("band", "bucket"), F.col("band") == F.col("bucket")).select("node", "band", "count")
     rows = shared.join(nodes.select(F.col("node").alias("n"), "low"), F.col("node") == F.col("n")).select("node", "band", "count", "low")
     met = blocks(rows, "band", "count", BLOCK).select("k", "side", "cross", "node", "low")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
         for t in key_runs(batches):
             node = t.column("node").to_numpy()
             low = np.frombuffer(b"".join(t.column("low").to_pylist()), "<u8").reshape(len(node), -1)
             side = t.column("side").to_numpy()
             cross = t.column("cross").to_numpy()
-            out: list[tuple[int, int]] = []
             left = np.flatnonzero(~cross | (side == 0))
             right = np.flatnonzero(~cross | (side == 1))
             pairs: list[tuple[int, int]] = []
@@ -136,17 +134,9 @@ def candidates(nodes: DataFrame, bands: DataFrame, floor: float) -> DataFrame:
                 a, b = left[rows + i], right[cols]
                 real = (a != b) & ((a < b) | cross[a])
                 pairs = forest(chain_pairs(pairs, a[real], b[real]), len(node))
-            for a, b in pairs:
-                link = (int(node[a]), int(node[b]))
-                if link not in seen:
-                    seen.add(link)
-                    out.append(link)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            yield [(int(node[a]), int(node[b])) for a, b in pairs]
 
-    return met.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("k").sortWithinPartitions("k").mapInArrow(lambda batches: link_batches(found(batches)), "a long, b long")
 
 
 def chain_pairs(kept: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -176,7 +166,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """True links ``(a, b)`` inside ``groups (doc_id, node, comp, size)``, enough to connect what is linked."""
+    """``(a, b)`` that connect what true links connect inside ``groups (doc_id, node, comp, size)``."""
     wanted = small(settle(groups.select(F.col("doc_id").alias("id"), "node", "comp", "size"), "groups"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select(
         "text", "node", "comp", "size")
@@ -194,7 +184,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     held = texts.mapInArrow(sets_of, "node long, comp long, size long, members binary").dropDuplicates(["node"])
     met = blocks(held, "comp", "size", EXACT_BLOCK).select("k", "side", "cross", "node", "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
         for t in key_runs(batches):
             node = t.column("node").to_numpy()
             members = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
@@ -210,11 +200,9 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             a, b = left[rows], right[cols]
             real = (a != b) if cross else (a < b)
             links = forest(zip(a[real].tolist(), b[real].tolist(), strict=True), len(node))
-            if links:
-                x, y = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+            yield [(int(node[x]), int(node[y])) for x, y in links]
 
-    return met.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("k").sortWithinPartitions("k").mapInArrow(lambda batches: link_batches(found(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -21,7 +21,7 @@ from tapewright.llm import (
     chat, decontaminate, language_id, minhash, nearest, packing, quality, queries, sharding, substring_dedup,
     url_filters, words,
 )
-from tapewright.llm.graph import components
+from tapewright.llm.graph import all_stars, components, link_batches, stars
 from tapewright.llm.shipping import ship
 
 SF = "/root/testdata/sf0.001"
@@ -298,6 +298,21 @@ class TestMinHash:
         out = dict(components(links).collect())
         assert set(out.values()) == {0, 100} and len(out) == 63
 
+    def test_links_of_a_task_become_stars(self):
+        rng = random.Random(3)
+        lists = [[(rng.randrange(300), rng.randrange(300)) for _ in range(9)] for _ in range(20)]
+        whole = dict(stars([link for links in lists for link in links]))
+        for most in (4, 1000):
+            cut = [link for b in link_batches(lists, most) for link in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert dict(stars(cut)) == whole
+        assert all(a > b and b not in whole for a, b in whole.items())
+        assert list(link_batches([])) == []
+
+    @pytest.mark.parametrize(("links", "done"), [
+        ([], True), ([(2, 1), (3, 1), (9, 8)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)])
+    def test_stars_are_recognised(self, spark, links, done):
+        assert all_stars(spark.createDataFrame(links, "a long, b long")) == done
+
 
 class TestDecontamination:
     def test_equals_brute_force(self, spark):
