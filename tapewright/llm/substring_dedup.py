@@ -200,8 +200,12 @@ def windows(contexts: DataFrame) -> DataFrame:
 
 
 def later(rows: DataFrame, key: str) -> DataFrame:
-    """Rows ``(key, doc_id, lo, …)`` whose key also has an earlier place."""
+    """Rows ``(key, doc_id, lo, …)`` whose key also has an earlier place.
+
+    First places are written before the join: a common key on plain exchanges can be split at run time.
+    """
     first = rows.groupBy(F.col(key).alias("g")).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("first")).where("times > 1")
+    first = settle(first, "first")
     return rows.join(first, F.col(key) == F.col("g")).where(~F.struct("doc_id", "lo").eqNullSafe(F.col("first")))
 
 
@@ -243,9 +247,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = occurrences(ids)
     first = F.min(F.struct("doc_id", "lo"))
-    shared = rows.groupBy(F.col("h").alias("g")).agg(
+    shared = settle(rows.groupBy(F.col("h").alias("g")).agg(
         F.count("*").alias("times"), F.min("c").alias("c0"), F.max("c").alias("c1"), first.alias("first")).where("times > 1").select(
-        "g", "first", (F.col("c0") == F.col("c1")).alias("alike"), (F.col("times") > HOT).alias("hot"))
+        "g", "first", (F.col("c0") == F.col("c1")).alias("alike"), (F.col("times") > HOT).alias("hot")), "shared")
     met = settle(rows.select("h", "doc_id", "lo", "n").join(shared, F.col("h") == F.col("g")).select(
         "h", "doc_id", "lo", "n", "alike", "hot", F.struct("doc_id", "lo").eqNullSafe(F.col("first")).alias("leads")), "anchors")
     plain = met.where("alike and not leads").select("doc_id", "lo", "n")
