@@ -1,13 +1,15 @@
 """b-bit MinHash near-duplicates with exact confirmation.
 
 Of every document's shingle set ``HASHES`` minima are taken. Bands of whole minima make buckets; inside a
-bucket the low two bits of all minima, packed in 64 bytes, give a similarity estimate by bit counts,
-corrected for chance agreement. A bucket yields a spanning forest of the pairs that may be similar, never
-all of them. The resulting groups hold every link; their full sets then meet in square blocks of bounded
-size, where exact intersections come from one matrix product, and each block again yields a spanning
-forest, now of true links. Texts with equal sets are one node throughout.
-
-The miss probability of a pair at the threshold is (1 - 0.85^5)^40 = 7e-11 for the bands and 3e-6 for the estimate.
+bucket two bits of every minimum, mixed first so that they follow no class of shingles, are packed in 64
+bytes and give a similarity estimate by bit counts, corrected for chance agreement. A bucket yields a
+spanning forest of the pairs that may be similar, never all of them. The resulting groups hold every link;
+their full sets then meet in square blocks of bounded size, where exact intersections come from one matrix
+product, and each block again yields a spanning forest, now of true links. Texts with equal sets are one
+node throughout.
+
+The miss probability of a pair at the threshold is (1 - 0.85^5)^40 = 7e-11 for the bands and 4.4e-9 for the
+estimate: the binomial tail below the floor of ``SIGMAS``, with minima taken as independent.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BITS = 2
 #: Nodes of one bucket or group in one block.
 BLOCK = 2048
 EXACT_BLOCK = 256
+#: Deviations that the estimate of a pair at the threshold may fall short of it.
+SIGMAS = 6.5
 #: Shingles in one matrix product.
 COLUMNS = 4096
 _random = np.random.default_rng(20_231)
@@ -58,8 +62,8 @@ def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def packed(signatures: np.ndarray) -> np.ndarray:
-    """Low bits of all minima in 64-bit words."""
-    low = (signatures & np.uint32(2 ** BITS - 1)).astype(np.uint64).reshape(len(signatures), -1, 64 // BITS)
+    """Bits of all mixed minima in 64-bit words."""
+    low = (mix(signatures.astype(np.uint64)) >> np.uint64(64 - BITS)).reshape(len(signatures), -1, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
@@ -73,6 +77,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((HASHES - other) / HASHES - chance) / (1 - chance)
 
 
+def floor_of(percent: int) -> float:
+    """The least estimate of a pair that is checked exactly for ``percent``."""
+    chance = 1 / 2 ** BITS
+    same = chance + (1 - chance) * percent / 100
+    return percent / 100 - SIGMAS * (same * (1 - same) / HASHES) ** 0.5 / (1 - chance)
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """``(doc_id, n, node, low, bands)`` of every row: set size, set hash (null if empty), packed bits, band keys."""
 
@@ -217,8 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     signed = settle(sign(docs), "signed")
     nodes = settle(signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("bands").alias("bands")), "nodes")
-    floor = percent / 100 - 4.5 * ((percent / 100 * 0.75 + 0.25) * (0.75 - percent / 100 * 0.75) / HASHES) ** 0.5 / 0.75
-    maybe = components(candidates(nodes, nodes, floor))
+    maybe = components(candidates(nodes, nodes, floor_of(percent)))
     maybe = settle(maybe, "maybe")
     sized = maybe.join(maybe.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size")), F.col("comp") == F.col("c"))
     groups = sized.select(F.col("node").alias("n"), "comp", "size").join(nodes, F.col("n") == F.col("node")).select(

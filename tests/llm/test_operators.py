@@ -293,6 +293,24 @@ class TestMinHash:
         low = minhash.packed(minhash.minima(np.concatenate((a, b)), np.array([0, 1000, 2000])))
         assert abs(minhash.estimate(low[:1], low[1:])[0, 0] - 900 / 1100) < 0.1
 
+    @pytest.mark.parametrize(("small", "large"), [(6, 7), (17, 20)])
+    def test_estimate_keeps_links_of_short_texts(self, small, large):
+        """Pairs of which one set holds the other, all at 0.85 or more: none may fall below the floor."""
+        n = 20_000
+        sets = np.random.default_rng(5).integers(0, 1 << 63, (n, large)).astype(np.uint64)
+        a, b = (minhash.packed(minhash.minima(sets[:, :w].ravel(), np.arange(n + 1) * w)) for w in (small, large))
+        near = np.concatenate([np.diag(minhash.estimate(a[i:i + 250], b[i:i + 250])) for i in range(0, n, 250)])
+        assert near.min() >= minhash.floor_of(85)
+
+    def test_kept_bits_follow_no_class_of_shingles(self):
+        """Sets of 6 and 7 sharing 6: the spread of the estimate is the binomial one."""
+        n = 4000
+        sets = np.random.default_rng(6).integers(0, 1 << 63, (n, 7)).astype(np.uint64)
+        a, b = (minhash.packed(minhash.minima(sets[:, :w].ravel(), np.arange(n + 1) * w)) for w in (6, 7))
+        near = np.concatenate([np.diag(minhash.estimate(a[i:i + 250], b[i:i + 250])) for i in range(0, n, 250)])
+        same = 0.25 + 0.75 * 6 / 7
+        assert near.std() < 1.15 * (same * (1 - same) / 256) ** 0.5 / 0.75
+
     def test_long_chain_is_one_component(self, spark):
         links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
         out = dict(components(links).collect())
