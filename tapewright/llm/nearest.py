@@ -4,7 +4,7 @@ The forest is fitted on a bounded sample and indexes every vector. A query walks
 priority queue, ordered by how far it lies from the splits it crosses, until it has met enough leaves.
 Vectors and queries of a leaf meet in blocks of bounded size, where cosines are exact; the best of all
 blocks are ranked. Equal vectors are one candidate that lists its smallest ids, since only those can be
-among the nearest.
+among the nearest. Vectors of every length have a forest of their own.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,20 +122,23 @@ def matrix(column: pd.Series) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = PROBE_SHARE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for every query row, itself left out.
 
-    ``vectors``: vec_id and embedding; ``is_query`` is a condition on vec_id. Rows that ``usable`` refuses,
-    rows without an id and rows whose dimension is not the most frequent one take no part. Ties go to the smaller
+    ``vectors``: vec_id and embedding; ``is_query`` is a condition on vec_id. Rows that ``usable`` refuses and
+    rows without an id take no part; neighbours are of the query's own length. Ties go to the smaller
     id; repeated ids are rows of their own but never neighbours of their own id. An empty table gives no rows; fewer candidates than k give
     as many rows as there are. Other columns are not read.
     """
-    spark = vectors.sparkSession
     real = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sizes = real.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], out)
-    dim, rows = sizes[0][0], sizes[0][1]
-    real = real.where(F.size("v") == dim)
+    sizes = real.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
+    found = [of_length(real.where(F.size("v") == d), is_query, k, share if rows > LEAF else 1.0, rows) for d, rows in sizes if rows > 1]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def of_length(real: DataFrame, is_query: Column, k: int, share: float, rows: int) -> DataFrame:
+    """``search`` among ``rows`` usable vectors of one length."""
+    spark = real.sparkSession
     rank = Window.partitionBy("v").orderBy("vec_id")
     few = real.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k + 1)
     classes = settle(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(

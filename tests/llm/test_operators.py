@@ -394,6 +394,22 @@ class TestNearest:
         few = nearest.search(table.where("vec_id in (0, 3, 4)"), F.col("vec_id") % 50 == 0).count()
         assert few == 2
 
+    def test_every_length_has_its_own_neighbours(self, spark):
+        rng = np.random.default_rng(4)
+        groups = {16: range(300), 8: range(1000, 1040), 4: range(2000, 2002), 3: range(3000, 3001)}
+        rows = {i: rng.normal(size=d).astype(np.float32) for d, ids in groups.items() for i in ids}
+        table = ship(spark).createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<float>")
+        got = defaultdict(list)
+        for r in nearest.search(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        want = {}
+        for ids in groups.values():
+            unit = {i: rows[i].astype(np.float64) / np.linalg.norm(rows[i].astype(np.float64)) for i in ids}
+            for q in ids:
+                if q % 20 == 0 and len(ids) > 1:
+                    want[q] = sorted((i for i in ids if i != q), key=lambda i: (-float(unit[i] @ unit[q]), i))[:5]
+        assert dict(got) == want
+
 
 class TestUrlFilters:
     def test_equals_brute_force(self, spark):
