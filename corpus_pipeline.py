@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near duplicates."""
+    """The document of the smallest id of every group of near duplicates: links from a similarity of 0.85, as in op7_minhash."""
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
     return docs.select(COLUMNS).join(small(settle(gone, "copies")), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
 
