@@ -3,7 +3,8 @@
 Each task packs the documents of its own input partition, so nothing is shuffled and no key can be hot. A
 pool of remainders is held; the open sequence takes the remainder with the largest dot product of what it
 needs and what the sequence has left, both relative to the limits. When none fits whole, the best one is
-cut to fill the gap. Only the last sequences of a partition stay short.
+cut to fill the gap. The last sequences of a partition stay short, and so does every sequence that reaches its
+limit of segments first: where all documents average fewer than 16 tokens, 256 of them do not fill 4096.
 """
 
 from __future__ import annotations
