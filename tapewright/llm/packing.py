@@ -21,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tapewright.llm.shipping import give_back
 from tapewright.llm.words import slices, utf8, words_of
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, "
           "sequence_id long, offset long")
 #: Remainders from which the next one is chosen; each is shorter than a sequence.
 POOL = 256
-#: Distinct words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 2_000_000
+#: Distinct words whose ids a worker remembers, and the bytes of text that it encodes at once.
+REMEMBERED = 50_000
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -59,44 +61,48 @@ class WordTokens:
         self.known = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.flat = np.zeros(0, np.uint32)
 
     def ids_of(self, word: str) -> list[int]:
         if PLAIN(word):
             return [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.spell))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [self.ids_of(w) for w in words]
+    def remember(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Keep ``ids`` of new words in the sorted table, as many as it has room for."""
+        room = REMEMBERED - len(self.known)
+        hashes, ids = hashes[:room], ids[:room]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used:self.used + len(new)] = new
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
-        self.begin = np.insert(self.begin, at, self.used + np.cumsum(length) - length)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(length) - length)
         self.length = np.insert(self.length, at, length)
-        self.used += len(new)
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """Ids of every text of a column; null counts as empty."""
+        """Ids of every text of a column; null counts as empty.
+
+        Words that come more than once in it are remembered while there is room, the others encoded anew each time.
+        """
         data, offsets = utf8(column)
         words = words_of(data, offsets, lower=True, cut=True)
-        distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.clear()
+        distinct, first, which, times = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        begin, length, flat = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.flat
+        begin[~new], length[~new] = self.begin[at[~new]], self.length[at[~new]]
         if new.any():
             raw = data.tobytes()
             spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in spans])
-        at = np.searchsorted(self.known, distinct)
-        begin, length = self.begin[at][which], self.length[at][which]
+            ids = [self.ids_of(raw[a:b].decode()) for a, b in spans]
+            length[new] = [len(own) for own in ids]
+            begin[new] = len(flat) + np.cumsum(length[new]) - length[new]
+            flat = np.concatenate((flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length[new].sum()))))
+            again = times[new] > 1
+            self.remember(distinct[new][again], [own for own, keep in zip(ids, again.tolist(), strict=True) if keep])
+        begin, length = begin[which], length[which]
         ends = np.concatenate(([0], np.cumsum(length)))
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
         out = [ids[a:b] for a, b in zip(ends[words.first[:-1]], ends[words.first[1:]], strict=True)]
         for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False).to_numpy(zero_copy_only=False)):
             whole = self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids
@@ -211,7 +217,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limits: Limits = L
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokens(tokenizer).encode
+        tokens = word_tokens(tokenizer)
+        encode = tokens.encode
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
@@ -223,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limits: Limits = L
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for a, b in slices(batch.column(batch.num_columns - 1)):
+            for a, b in slices(batch.column(batch.num_columns - 1), SLICE):
                 given = [encode(batch.column(c).slice(a, b - a)) for c in range(1, batch.num_columns)]
                 for doc_id, *ids in zip(batch.column(0).slice(a, b - a).to_pylist(), *given, strict=True):
                     whole = np.concatenate((*ids, end))
@@ -232,5 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limits: Limits = L
                         yield flush()
         packer.finish()
         yield flush()
+        tokens.clear()
+        give_back()
 
     return docs.select("doc_id", *([prompt] if prompt else []), "text").mapInArrow(run, SCHEMA)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chat, decontaminate, language_id, minhash, nearest, packing, quality, sharding, substring_dedup, url_filters
+from tapewright.llm import (
+    centroids, chat, decontaminate, language_id, minhash, nearest, packing, quality, sharding, substring_dedup, toxicity, url_filters,
+    whitening,
+)
 from tapewright.llm.shipping import ship
 from tapewright.session import configure, settle
 
@@ -125,6 +128,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(captures_of(pages), lists_of(pages))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs.where(~held_out(5, 0)), table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -136,8 +154,29 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_url_filters": op10_url_filters,
+    "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
 }
 
+def rounds_sql(rounds: int) -> str:
+    """Relations a1, c1, a2, ... of the centroid rounds; the last assignment is a<rounds + 1>."""
+    steps = []
+    for r in range(1, rounds + 2):
+        steps.append(f"""a{r} AS (
+  SELECT i, min(d * 64 + c) AS best FROM (
+    SELECT i, c, list_sum(list_transform(list_zip(kept.x, m.x), lambda z: ((z[1] - z[2]) * (z[1] - z[2]))::HUGEINT)) AS d
+    FROM kept CROSS JOIN c{r - 1} AS m) GROUP BY i)""")
+        if r <= rounds:
+            steps.append(f"""s{r} AS (
+  SELECT c, pos, sum(v) AS s, count(*) AS n FROM (
+    SELECT (best % 64)::BIGINT AS c, unnest(x) AS v, unnest(range(1, 65)) AS pos FROM a{r} JOIN kept USING (i)) GROUP BY c, pos),
+c{r} AS (
+  SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY pos) AS x FROM s{r} GROUP BY c
+  UNION ALL SELECT c, x FROM c{r - 1} WHERE c NOT IN (SELECT c FROM s{r}))""")
+    return ",\n".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "op8_decontamination": """
 WITH words AS (
@@ -185,5 +224,20 @@ hits AS (
     AND (until IS NULL OR fetched < until))
 SELECT h.page_id, h.host, h.fetched, coalesce(action, 'none') AS decision, domain AS matched, since AS listed_since
 FROM hosts h LEFT JOIN hits ON hits.page_id = h.page_id AND r = 1
+""",
+    "op13_centroids": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY c < {centroids.CENTROIDS}),
+{rounds_sql(centroids.ROUNDS)},
+met AS (
+  SELECT vec_id, (best % 64)::INTEGER AS cluster, (best // 64)::BIGINT AS distance FROM a{centroids.ROUNDS + 1} JOIN kept USING (i)),
+total AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM met GROUP BY cluster)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM met) AS inertia,
+  sha256(array_to_string(c{centroids.ROUNDS}.x, ',')) AS centroid_sha256
+FROM met JOIN total USING (cluster) JOIN c{centroids.ROUNDS} ON c{centroids.ROUNDS}.c = cluster
 """,
 }
