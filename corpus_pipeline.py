@@ -2,7 +2,9 @@
 
 Each stage gets what the one before kept and returns the columns of ``documents``; the last returns the pieces
 of packed sequences. Stages are written as Parquet and read again, so a lost executor costs one stage at
-most. Null texts and ids pass through as the operators define; empty tables give empty results.
+most. Null texts pass through as the operators define; empty tables give empty results. A row is judged by its own
+text whatever its id: where ids are null or repeated, rows get keys in the order of id (null last) and text, and no row goes
+because another of the same id does. Of rows that are near duplicates, equal ones among them, the first in that order stays.
 """
 
 from __future__ import annotations
@@ -24,22 +26,47 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs.select(COLUMNS), model).where("score >= 0.5").drop("score")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``key``: doc_id, or if some are null or repeated, a number of its own for every row.
+
+    Numbers follow doc_id, then the text's hash; copies of a row are parted by their place, so no partition takes them all.
+    """
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("place")]
+    placed = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(placed.drop("place").withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """``rows`` whose key is not among the doc_id of ``gone``."""
+    keys = small(settle(gone.select(F.col("doc_id").alias("id")).distinct(), label))
+    return rows.join(keys, F.col("key") == F.col("id"), "left_anti").select(COLUMNS)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """What an operator judges: the text under its key."""
+    return rows.select(F.col("key").alias("doc_id"), "text")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near duplicates: links from a similarity of 0.85, as in op7_minhash."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.select(COLUMNS).join(small(settle(gone, "copies")), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    """The first row of every group of near duplicates: links from a similarity of 0.8."""
+    rows = keyed(docs.select(COLUMNS))
+    return without(rows, minhash.near_duplicates(by_key(rows), percent=80).where("not kept"), "copies")
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start earlier in the corpus; n_chars follows the text."""
-    kept = substring_dedup.deduplicate(docs.select(COLUMNS))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    rows = keyed(docs.select(COLUMNS)).withColumnsRenamed({"doc_id": "own_id", "key": "doc_id"})
+    kept = substring_dedup.deduplicate(rows)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(F.col("own_id").alias("doc_id"), *COLUMNS[1:])
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontaminate.contained(docs, queries.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id")).distinct()
-    return docs.select(COLUMNS).join(small(settle(leaks, "leaks")), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    rows = keyed(docs.select(COLUMNS))
+    return without(rows, decontaminate.contained(by_key(rows), queries.table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
