@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cleaning import clean_records
+from ..catalogue import lookup
+from ..functions import order
+from ..session import small
+from .cleaning import clean_records, removed_ids
 
 SOURCES = {"derived": ("minute", "last_trade"), "vendor": ("daily", "settlement")}
 BAR = ["contract_id", "trade_date"]
@@ -18,19 +21,53 @@ def basis_records(records: DataFrame, basis: str, actions: DataFrame | None = No
     return records if basis == "raw" or actions is None else clean_records(records, actions)
 
 
-def aggregate_bars(records: DataFrame, source: str) -> DataFrame:
-    """One bar per contract and session; edge values keep their nulls, open interest does not."""
-    frequency, convention = SOURCES[source]
-    order = F.struct("ts_utc", "source_row", "record_id")
-    interest = F.max(F.when(F.col("open_interest").isNotNull(), F.struct("ts_utc", "source_row", "open_interest")))
-    return records.filter(F.col("frequency") == frequency).groupBy(*BAR).agg(
-        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"),
-        interest["open_interest"].alias("open_interest"),
-        F.min("ts_utc").alias("first_ts_utc"), F.max("ts_utc").alias("last_ts_utc"),
-        F.count("*").alias("record_count"), F.count_if(F.col("volume").isNull()).alias("volume_null_count"),
-    ).withColumns({
-        "source": F.lit(source), "source_frequency": F.lit(frequency), "close_convention": F.lit(convention)})
+def _sides(basis: str, kept: Column) -> list[Column]:
+    """Aggregates of one basis over the records of a session that ``kept`` marks."""
+    key = F.when(kept, order.in_session())
+
+    def held(name: str) -> Column:
+        return F.when(kept, F.col(name))
+
+    columns = {
+        "open": F.min_by("open", key), "high": F.max(held("high")), "low": F.min(held("low")), "close": F.max_by("close", key),
+        "volume": F.sum(held("volume")),
+        "open_interest": F.max_by("open_interest", F.when(F.col("open_interest").isNotNull(), key)),
+        "first_ts_utc": F.min(held("ts_utc")), "last_ts_utc": F.max(held("ts_utc")), "record_count": F.count_if(kept),
+        "volume_null_count": F.count_if(kept & F.col("volume").isNull()),
+    }
+    return [c.alias(f"{basis}_{name}") for name, c in columns.items()]
+
+
+VALUES = ["open", "high", "low", "close", "volume", "open_interest", "first_ts_utc", "last_ts_utc", "record_count", "volume_null_count"]
+
+
+def bars_of(
+    records: DataFrame, actions: DataFrame | None = None, bases: tuple[str, ...] = ("raw", "clean"),
+    sources: tuple[str, ...] = ("derived", "vendor"),
+) -> DataFrame:
+    """One bar per contract, session, source and basis; edge values keep their nulls, open interest does not.
+
+    Every basis of both grains comes from one scan and one hash aggregate: a record that a decision removed counts for the
+    raw basis alone. A session whose records are all removed has no clean bar.
+    """
+    for basis in bases:
+        if basis not in ("raw", "clean"):
+            raise ValueError(f"unknown basis {basis!r}")
+    grains = {SOURCES[source][0]: source for source in sources}
+    rows = records.filter(F.col("frequency").isin(*grains))
+    kept = F.lit(True)
+    if actions is not None and "clean" in bases:
+        rows = rows.join(small(removed_ids(actions).withColumn("gone", F.lit(True))), "record_id", "left")
+        kept = F.col("gone").isNull()
+    sides = [c for basis in bases for c in _sides(basis, kept if basis == "clean" else F.lit(True))]
+    wide = rows.groupBy(*BAR, "frequency").agg(*sides)
+    each = F.explode(F.array(*[
+        F.struct(*[F.col(f"{basis}_{name}").alias(name) for name in VALUES], F.lit(basis).alias("basis")) for basis in bases]))
+    bar = wide.select(*BAR, F.col("frequency").alias("source_frequency"), each.alias("bar")).filter("bar.record_count > 0")
+    return bar.select(
+        *BAR, *[F.col(f"bar.{name}") for name in VALUES], lookup({f: s for f, s in grains.items()}, F.col("source_frequency")).alias("source"),
+        "source_frequency", lookup({f: SOURCES[s][1] for f, s in grains.items()}, F.col("source_frequency")).alias("close_convention"),
+        F.col("bar.basis").alias("basis"))
 
 
 def bar_provenance(bars: DataFrame, contracts: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -61,21 +98,17 @@ def annotate_bars(bars: DataFrame, quality: DataFrame) -> DataFrame:
 
 def daily_bars(records: DataFrame, basis: str = "clean", actions: DataFrame | None = None) -> DataFrame:
     """Bars derived from the minute tape."""
-    return aggregate_bars(basis_records(records, basis, actions), "derived").withColumn("basis", F.lit(basis))
+    return bars_of(records, actions, (basis,), ("derived",))
 
 
 def vendor_bars(records: DataFrame, basis: str = "clean", actions: DataFrame | None = None) -> DataFrame:
     """Bars from supplied daily rows."""
-    return aggregate_bars(basis_records(records, basis, actions), "vendor").withColumn("basis", F.lit(basis))
+    return bars_of(records, actions, (basis,), ("vendor",))
 
 
 def build_bars(records: DataFrame, actions: DataFrame | None = None, bases: tuple[str, ...] = ("raw", "clean")) -> DataFrame:
     """Every basis and source in one relation, keyed contract, date, basis, source."""
-    parts = [build(records, basis, actions) for basis in bases for build in (daily_bars, vendor_bars)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return bars_of(records, actions, bases)
 
 
 def read_bars(
