@@ -2,7 +2,8 @@
 
 A series is cut into contiguous chunks: a UTC day each, and a day that holds too many rows is
 cut further by timestamp and record block. Work inside a chunk is an ordinary window; what
-crosses a chunk border travels in a table of one row per chunk.
+crosses a chunk border travels in a table of one row per chunk. Records are laid out by chunk once,
+as a bucketed table: every window or aggregate within chunks then reads them where they lie.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import scratch_path, small
 
 #: Rows of one series and UTC day above which the day is cut further.
 HOT_DAY_ROWS = 1 << 20
 BLOCK_BITS = 20
+MOST_BUCKETS = 100_000
 CHUNK = ["chunk_day", "chunk_ts", "chunk_block"]
 
 
@@ -44,6 +46,38 @@ def with_chunks(df: DataFrame, keys: list[str], hot: DataFrame | None, block: st
     )
 
 
+def lay_out(df: DataFrame, keys: list[str], hot: DataFrame | None, label: str) -> DataFrame:
+    """``df`` with its chunk columns, exchanged once and written in buckets of whole chunks.
+
+    Spark knows the buckets: partitioning by series and chunk, with any further column, needs no exchange any more.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    name = "tapewright_" + path.rsplit("/", 1)[1].replace("-", "_")
+    by = [*keys, *CHUNK]
+    with_chunks(df, keys, hot).repartition(buckets, *by).write.bucketBy(buckets, *by).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def borders(
+    rows: DataFrame, keys: list[str], at: Column, last: dict[str, Column], carried: dict[str, Column] | None = None,
+    chunk: list[str] = CHUNK,
+) -> DataFrame:
+    """One row per chunk: what it inherits from the chunks before it, records ordered by the number ``at``.
+
+    ``last``: values of the last record before the chunk; ``carried``: the last ones that are not null.
+    """
+    carried = carried or {}
+    tails = rows.groupBy(*keys, *chunk).agg(
+        *[F.max_by(value, at).alias(name) for name, value in last.items()],
+        *[F.max_by(value, F.when(value.isNotNull(), at)).alias(name) for name, value in carried.items()])
+    before = W.partitionBy(*keys).orderBy(*chunk)
+    return tails.select(
+        *keys, *chunk, *[F.lag(name).over(before).alias(name) for name in last],
+        *[F.last(name, ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)).alias(name) for name in carried])
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: list[str] = CHUNK,
     name: str = "prev",

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import rule_params
-from ..functions import series
+from ..functions import order, series
 from ..session import settle, shared_once, small
 from ..sources.reference import calendar_for_loaded, tick_dim
 
 SLICE = ["contract_id", "frequency"]
+#: What the laid-out records carry.
+LAID_OUT = [
+    "record_id", *SLICE, "root", "trade_date", "ts_utc", "batch_id", "source_row", "open", "high", "low", "close", "volume", "open_interest"]
 
 
 @dataclass
@@ -150,6 +153,25 @@ class Scope:
     def hot_days(self) -> DataFrame | None:
         return series.hot_days(self.days, SLICE)
 
+    @shared_once
+    def layout(self) -> DataFrame:
+        """Records laid out by chunk of their series: the one exchange that rules on neighbours share."""
+        return series.lay_out(self.records.select(*LAID_OUT), SLICE, self.hot_days, "layout")
+
+    @shared_once
+    def borders(self) -> DataFrame:
+        """The last record and the last positive close before every chunk, one row each."""
+        last = {f"before_{name}": F.col(name) for name in ("open", "high", "low", "close", "volume")}
+        positive = F.when(F.col("close") > 0, F.col("close"))
+        return small(settle(series.borders(self.layout, SLICE, order.in_day(), last, {"before_positive": positive}), "borders"))
+
+    @property
+    def slots(self) -> DataFrame:
+        """Distinct minutes of each minute session and chunk, counted where the records lie."""
+        held = self.layout.filter("frequency = 'minute' and root is not null")
+        return held.groupBy(*SLICE, "root", "trade_date", *series.CHUNK, F.date_trunc("minute", "ts_utc").alias("slot")).agg(
+            F.lit(1).alias("held")).drop("held")
+
     @shared_once
     def calendar(self) -> DataFrame:
         """Settled calendar, hinted for broadcast when its count allows."""
@@ -158,6 +180,27 @@ class Scope:
             calendar = calendar_for_loaded(self.sessions, self.tables.contracts)
         return small(settle(calendar, "calendar"))
 
+    @shared_once
+    def open_days(self) -> DataFrame:
+        """Ranked open days of every root, one row each: a calendar's length."""
+        from .expected import open_days
+
+        return small(settle(open_days(self.calendar), "open-days"))
+
+    @shared_once
+    def rank_index(self) -> DataFrame:
+        """One row per root."""
+        from .expected import rank_index
+
+        return small(settle(rank_index(self.open_days), "rank-index"))
+
+    @shared_once
+    def expected_spans(self) -> DataFrame:
+        """Ranges of open days that each slice should hold, two rows a slice at most."""
+        from .expected import expected_spans
+
+        return small(settle(expected_spans(self), "expected-spans"))
+
     @shared_once
     def all_windows(self) -> DataFrame:
         roll = self.params("ROL.THIN_NEAR_EXPIRY")

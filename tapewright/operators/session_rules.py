@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import series
+from ..session import small
+from .expected import absent_days
 from .findings import findings
 from .scope import SLICE, Scope, outside_roll
 
@@ -26,22 +29,9 @@ def _in_window() -> Column:
     return day.between(F.col("start_date"), F.col("end_date")) & outside_roll(day)
 
 
-def expected_sessions(scope: Scope) -> DataFrame:
-    """Calendar sessions each rooted slice should hold: in its window, not closed, not rolling."""
-    slices = scope.sessions.filter("root is not null").select(*SLICE, "root").distinct()
-    return (
-        slices.join(scope.windows, SLICE)
-        .join(scope.calendar, "root")
-        .filter(_in_window() & ~F.col("is_holiday"))
-        .withColumn("expected", F.when(F.col("frequency") == "minute", F.col("expected_slots_1m")).otherwise(1))
-    )
-
-
 def session_missing(scope: Scope) -> DataFrame:
     require_calendar(scope)
-    held = scope.sessions.select(*SLICE, "trade_date")
-    absent = expected_sessions(scope).join(held, [*SLICE, "trade_date"], "left_anti")
-    absent = absent.withColumn("expected", F.coalesce("expected", F.lit(0)))
+    absent = absent_days(scope).withColumn("expected", F.coalesce("expected", F.lit(0)))
     return findings(absent, "CMP.SESSION_MISSING", {
         "window_basis": F.col("basis"), "expected_records": F.col("expected")}, affected=F.col("expected"))
 
@@ -57,15 +47,6 @@ def judged_sessions(scope: Scope) -> DataFrame:
     )
 
 
-def present_slots(scope: Scope) -> DataFrame:
-    """Distinct minutes of each minute session; copies collapse before they are shuffled."""
-    return (
-        scope.records.filter("frequency = 'minute' and root is not null")
-        .groupBy(*SESSION, F.date_trunc("minute", "ts_utc").alias("slot")).agg(F.lit(1).alias("held"))
-        .drop("held")
-    )
-
-
 def _halted_before(instant: Column) -> Column:
     """Halted minutes of the session that lie before ``instant``."""
     return F.aggregate(
@@ -91,7 +72,8 @@ def missing_timestamp(scope: Scope) -> DataFrame:
     """Runs of open slots without a record, found between neighbours, not on a generated grid.
 
     Every present minute becomes its number among the session's open slots; a jump in that
-    number is a run. Two sentinels close the session at both ends.
+    number is a run. Neighbours are compared inside a chunk of the series; then the first and last
+    number of each chunk, with a sentinel at both ends of the session, are compared in turn.
     """
     require_calendar(scope)
     minimum = scope.params("CMP.MISSING_TIMESTAMP")["min_run_slots"]
@@ -105,16 +87,16 @@ def missing_timestamp(scope: Scope) -> DataFrame:
     def number(instant: Column) -> Column:
         return F.floor((F.unix_seconds(instant) - F.unix_seconds("session_open_utc")) / 60) - _halted_before(instant)
 
-    held = present_slots(scope).join(sessions, SESSION).filter(inside).select(*key, number(slot).alias("no"))
+    held = scope.slots.join(small(sessions), SESSION).filter(inside).select(*key, *series.CHUNK, number(slot).alias("no"))
+    spans = held.groupBy(*key, *series.CHUNK).agg(F.min("no").alias("lowest"), F.max("no").alias("no")).select(*key, "lowest", "no")
     ends = sessions.select(*key, F.explode(F.array(
-        F.lit(-1).cast("bigint"), number(F.col("session_close_utc")))).alias("no"))
-    gaps = (
-        held.unionByName(ends)
-        .withColumn("before", F.lag("no").over(W.partitionBy(*key).orderBy("no")))
-        .withColumn("slots", F.col("no") - F.col("before") - 1)
-        .filter(F.col("slots") >= F.greatest(F.lit(1), F.lit(minimum)))
-        .join(sessions, key)
-    )
+        F.lit(-1).cast("bigint"), number(F.col("session_close_utc")))).alias("no")).select(*key, F.col("no").alias("lowest"), "no")
+    at = W.partitionBy(*key)
+    inner = held.withColumn("before", F.lag("no").over(W.partitionBy(*key, *series.CHUNK).orderBy("no"))).select(*key, "before", "no")
+    outer = spans.unionByName(ends).withColumn("before", F.lag("no").over(at.orderBy("lowest", "no"))).select(
+        *key, "before", F.col("lowest").alias("no"))
+    gaps = inner.unionByName(outer).withColumn("slots", F.col("no") - F.col("before") - 1).filter(
+        F.col("slots") >= F.greatest(F.lit(1), F.lit(minimum))).join(sessions, key)
     return findings(gaps, "CMP.MISSING_TIMESTAMP", {"missing_slots": F.col("slots")},
                     start=_slot_instant(F.col("before") + 1), end=_slot_instant(F.col("no") - 1),
                     affected=F.col("slots"))
@@ -123,7 +105,8 @@ def missing_timestamp(scope: Scope) -> DataFrame:
 def partial_session(scope: Scope) -> DataFrame:
     require_calendar(scope)
     threshold = float(scope.params("CMP.PARTIAL_SESSION")["threshold"])
-    slots = present_slots(scope).groupBy(*SESSION).agg(F.count("*").alias("slots"))
+    counted = F.count("*") if scope.hot_days is None else F.count_distinct("slot")
+    slots = scope.slots.groupBy(*SESSION).agg(counted.alias("slots"))
     share = F.col("slots") / F.col("expected_slots_1m")
     short = judged_sessions(scope).filter("expected_slots_1m > 0").join(slots, SESSION).filter(share < threshold)
     return findings(short, "CMP.PARTIAL_SESSION", {
