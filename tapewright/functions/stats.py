@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
+
+#: Parts that a range of values is cut into by one pass.
 BUCKETS = 4096
+#: Values of a group that are put in order in one task; a range with more is cut again.
+MOST = 1 << 16
+_LOWEST, _HIGHEST = -(2047 << 52), 2047 << 52
 
 
 def rounded(value: Column | str, places: int) -> Column:
@@ -16,46 +22,101 @@ def rounded(value: Column | str, places: int) -> Column:
     return F.round(F.round(value, 9), places)
 
 
+def image(value: Column) -> Column:
+    """A 64-bit integer in the order of a double: sign, exponent and fraction, found by exact arithmetic.
+
+    Zeros of both signs are one value. NaN and infinities come last, as the largest number does.
+    """
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    size = F.when(finite, F.abs(value)).otherwise(0.0)
+    guess = F.greatest(F.lit(-1022), F.floor(F.log2(F.greatest(size, F.lit(2.0**-1022)))).cast("int"))
+    power = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(
+        (guess < 1023) & (F.pow(F.lit(2.0), guess + 1) <= size), guess + 1).otherwise(guess)
+    power = F.greatest(F.lit(-1022), power)
+    # below 2^-1022 there is no leading one; 2^1074 is beyond doubles, so the scaling goes in two steps
+    fraction = F.when(size < 2.0**-1022, size * 2.0**537 * 2.0**537).otherwise((size / F.pow(F.lit(2.0), power) - 1) * 2.0**52)
+    exponent = F.when(size < 2.0**-1022, F.lit(0).cast("bigint")).otherwise((power + 1023).cast("bigint"))
+    whole = exponent * F.lit(1 << 52) + fraction.cast("bigint")
+    beyond = F.when(~F.isnan(value) & (value < 0), F.lit(-(2047 << 52))).otherwise(F.lit(2047 << 52))
+    return F.when(~finite, beyond).when(value < 0, -whole).otherwise(whole)
+
+
 def exact_median(
     df: DataFrame, keys: list[str], value: str, out: str, per_group: Callable[[DataFrame], DataFrame] = lambda d: d
 ) -> DataFrame:
     """``keys, n, out``: the exact median of ``value`` per group, never one group in one task.
 
-    A sketch brackets the middle, bucket counts locate the bucket that holds the middle ranks,
-    and only that bucket's distinct values are put in order. ``per_group`` is applied to the
-    sides that hold a row or two per group; a caller that has counted its groups passes
-    ``broadcast``, and the values are then never shuffled by group.
+    A sketch brackets the middle; then a range that holds the middle ranks is cut into ``BUCKETS`` parts, of which counts
+    choose the next one, until it holds ``MOST`` values at most or a single one. Ranges are of 64-bit images of the doubles,
+    so that six cuts always suffice, however the values clump. ``per_group`` is applied to the
+    sides that hold a row per group; a caller that has counted its groups passes ``broadcast``, and the values are then
+    never shuffled by group.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("i", image(F.col("v")))
+    state = settle(rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.percentile_approx("v", [0.49, 0.51], 1000).alias("q")).select(
+        *keys, "n", F.lit(_LOWEST).alias("low"), F.lit(_HIGHEST).alias("high"), image(F.col("q")[0]).alias("from"),
+        image(F.col("q")[1]).alias("to"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held"),
+        F.lit(None).cast("bigint").alias("cut")), "median-range")
+    while not state.filter(_pending()).isEmpty():
+        state = settle(_narrowed(rows, keys, state, per_group), "median-range")
+    return _settled_median(rows, keys, state, out, per_group)
+
+
+def _pending() -> Column:
+    return F.col("cut").isNull() & (F.col("held") > MOST) & (F.col("low") < F.col("high"))
+
+
+def _ranks() -> tuple[Column, Column]:
+    return F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+
+
+def _wide(name: str) -> Column:
+    """A 64-bit number where sums of two of them fit."""
+    return F.col(name).cast("decimal(20,0)")
+
+
+def _narrowed(rows: DataFrame, keys: list[str], state: DataFrame, per_group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """State after one cut of every pending range ``low..high``: parts of ``from..to``, and what lies on both sides of it.
+
+    Where the two middle ranks fall into different parts, ``cut`` is the end of the lower one and the range needs no
+    more narrowing.
     """
-    rows = df.select(*keys, F.col(value).alias("v")).filter("v is not null")
-    bracket = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("v", [0.49, 0.51], 1000).alias("q"),
-    ).select(*keys, "n", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1"))
-    placed = rows.join(per_group(bracket), keys).withColumn(
-        "bucket",
-        F.when(F.col("v") < F.col("q0"), 0)
-        .when(F.col("v") > F.col("q1"), BUCKETS + 1)
-        .when(F.col("q0") == F.col("q1"), 1)
-        .otherwise(F.least(F.width_bucket("v", "q0", "q1", F.lit(BUCKETS)), F.lit(BUCKETS))),
-    )
-    ranks = (F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
-    upto = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    middle = (
-        placed.groupBy(*keys, "n", "bucket").agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(upto))
-        .filter((F.col("upto") >= ranks[0]) & (F.col("upto") - F.col("c") < ranks[1]))
-        .select(*keys, "bucket", (F.col("upto") - F.col("c")).alias("below"))
-    )
-    ordered = W.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        placed.join(per_group(middle), [*keys, "bucket"])
-        .groupBy(*keys, "n", "bucket", "below", "v").agg(F.count("*").alias("c"))
-        .withColumn("upto", F.col("below") + F.sum("c").over(ordered))
-        .withColumn("from", F.col("upto") - F.col("c"))
-        .groupBy(*keys, "n")
-        .agg(
-            F.min(F.when(F.col("upto") >= ranks[0], F.col("v"))).alias("lo"),
-            F.min(F.when(F.col("upto") >= ranks[1], F.col("v"))).alias("hi"),
-        )
-        .select(*keys, "n", ((F.col("lo") + F.col("hi")) / 2).alias(out))
-    )
+    pending = state.filter(_pending())
+    span = _wide("to") - _wide("from") + 1
+    step = F.greatest(F.lit(1).cast("bigint"), F.ceil(span / BUCKETS).cast("bigint"))
+    part = F.when(F.col("i") < F.col("from"), F.lit(0).cast("bigint")).when(F.col("i") > F.col("to"), F.lit(BUCKETS + 1).cast("bigint")).otherwise(
+        F.floor((_wide("i") - _wide("from")) / _wide("step")).cast("bigint") + 1)
+    inside = rows.join(per_group(pending.withColumn("step", step)), keys).filter(F.col("i").between(F.col("low"), F.col("high")))
+    group = [*keys, "n", "low", "high", "from", "to", "below", "step"]
+    counts = inside.groupBy(*group, part.alias("part")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.col("below") + F.sum("c").over(
+        W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, 0)))
+    first, last = _ranks()
+    start = F.when(F.col("part") == 0, F.col("low")).when(F.col("part") > BUCKETS, F.col("to") + 1).otherwise(
+        (_wide("from") + (_wide("part") - 1) * _wide("step")).cast("bigint"))
+    end = F.when(F.col("part") == 0, F.col("from") - 1).when(F.col("part") > BUCKETS, F.col("high")).otherwise(
+        F.least(_wide("to"), _wide("from") + _wide("part") * _wide("step") - 1).cast("bigint"))
+    middle = upto.filter((F.col("upto") >= first) & (F.col("upto") - F.col("c") < last)).select(
+        *keys, "n", start.alias("low"), end.alias("high"), (F.col("upto") - F.col("c")).alias("below"), "c")
+    chosen = middle.groupBy(*keys, "n").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("below").alias("below"), F.sum("c").alias("held"),
+        F.when(F.count("*") > 1, F.min("high")).alias("cut"))
+    return state.filter(~_pending()).unionByName(chosen.select(
+        *keys, "n", "low", "high", F.col("low").alias("from"), F.col("high").alias("to"), "below", "held", "cut"))
+
+
+def _settled_median(
+    rows: DataFrame, keys: list[str], state: DataFrame, out: str, per_group: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Median from ranges that are small, hold a single value, or are cut between the two middle ranks."""
+    first, last = _ranks()
+    inside = rows.join(per_group(state.select(*keys, "n", "low", "high", "below", "cut")), keys).filter(
+        F.col("i").between(F.col("low"), F.col("high")))
+    values = inside.groupBy(*keys, "n", "below", "cut", "v").agg(F.count("*").alias("c"), F.min("i").alias("i"))
+    apart = values.filter("cut is not null").groupBy(*keys, "n").agg(
+        F.max(F.when(F.col("i") <= F.col("cut"), F.col("v"))).alias("lo"), F.min(F.when(F.col("i") > F.col("cut"), F.col("v"))).alias("hi"))
+    along = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    together = values.filter("cut is null").withColumn("upto", F.col("below") + F.sum("c").over(along)).groupBy(*keys, "n").agg(
+        F.min(F.when(F.col("upto") >= first, F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") >= last, F.col("v"))).alias("hi"))
+    return apart.unionByName(together).select(*keys, "n", ((F.col("lo") + F.col("hi")) / 2).alias(out))
