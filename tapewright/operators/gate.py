@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalogue import RULES_BY_ID, lookup, severity_name, severity_rank
+from ..session import settle, small
 
 SESSION = ["contract_id", "frequency", "trade_date"]
 
@@ -44,12 +45,12 @@ def _meet(sessions: DataFrame, tallies: DataFrame, names: list[str]) -> DataFram
     """Sessions beside the tallies whose keys they carry, a tally's null matching any value.
 
     Without this split all sessions would meet in the few keys of findings that name no contract. Those
-    tallies are at most one per grain and date, so they are broadcast; the rest meet by contract.
+    tallies, one per grain and date at most, are broadcast once counted; the rest meet by contract.
     """
     same = [F.col(f"k_{n}").eqNullSafe(F.col(f"f_{n}")) for n in names]
     keyed = sessions.select(*SESSION)
     by_contract = _wildcards(keyed, names, True).join(tallies.filter(F.col(f"f_{names[0]}").isNotNull()), same)
-    everywhere = _wildcards(keyed, names, False).join(F.broadcast(tallies.filter(F.col(f"f_{names[0]}").isNull())), same)
+    everywhere = _wildcards(keyed, names, False).join(small(tallies.filter(F.col(f"f_{names[0]}").isNull())), same)
     return by_contract.unionByName(everywhere)
 
 
@@ -79,6 +80,26 @@ def session_quality(sessions: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce("blocking_rule_ids", F.array().cast("array<string>")).alias("blocking_rule_ids"))
 
 
+def disjoint(spans: DataFrame, kind: list[str]) -> DataFrame:
+    """``(kind, lo, hi)``: disjoint spans that cover what the spans of each kind cover, closed at both ends.
+
+    Spans are merged inside the UTC day on which they begin; what an earlier day still covers is one instant per day, carried
+    along the kind. No kind is ordered in one task but for its days.
+    """
+    chunk = [*kind, "chunk"]
+    rows = spans.withColumn("chunk", F.to_date("lo"))
+    inside = W.partitionBy(*chunk).orderBy("lo", "hi")
+    carried = rows.groupBy(*chunk).agg(F.max("hi").alias("reach")).select(
+        *chunk, F.max("reach").over(W.partitionBy(*kind).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
+    c = carried.select(*[F.col(k).alias(f"c_{k}") for k in chunk], "carry")
+    reach = F.max("hi").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    parted = rows.withColumn("reach", reach).join(c, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in chunk]).withColumn(
+        "fresh", F.coalesce(F.col("lo") > F.greatest("reach", "carry"), F.lit(True)).cast("int"))
+    islands = parted.withColumn("island", F.sum("fresh").over(inside)).groupBy(*chunk, "island", "carry").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("carry").isNull() | (F.col("hi") > F.col("carry")))
+    return islands.select(*kind, F.greatest("lo", "carry").alias("lo"), "hi")
+
+
 def _file_matches(sessions: DataFrame, files: DataFrame) -> DataFrame:
     names = ["contract_id", "frequency"]
     undated = files.filter("ts_start_utc is null")
@@ -95,15 +116,18 @@ def _file_matches(sessions: DataFrame, files: DataFrame) -> DataFrame:
     raw = files.filter("ts_start_utc is not null and ts_end_utc >= ts_start_utc").select(
         *[F.col(n).alias(f"f_{n}") for n in names], "rule_id", "severity",
         F.col("ts_start_utc").alias("lo"), F.col("ts_end_utc").alias("hi")).groupBy(*kind, "lo").agg(F.max("hi").alias("hi"))
-    order = W.partitionBy(*kind).orderBy("lo")
-    reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
-    parted = raw.withColumn("fresh", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int"))
-    merged = parted.withColumn("island", F.sum("fresh").over(order)).groupBy(*kind, "island").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
-    spans = merged.withColumn("day", days("lo", "hi"))
+    spans = settle(disjoint(raw, kind).withColumn("day", days("lo", "hi")), "file-spans")
     held = sessions.select(*SESSION, "first_ts_utc", "last_ts_utc", days("first_ts_utc", "last_ts_utc").alias("day"))
-    overlap = _wildcards(held, names).join(spans, [*same, held["day"] == spans["day"]]).filter(
-        (F.col("lo") <= F.col("last_ts_utc")) & (F.col("hi") >= F.col("first_ts_utc")))
+    touch = (F.col("lo") <= F.col("last_ts_utc")) & (F.col("hi") >= F.col("first_ts_utc"))
+
+    def met(own: bool) -> DataFrame:
+        """Spans that name a contract meet its sessions by key; the others, a few a day once they are disjoint, are broadcast."""
+        named = F.col(f"f_{names[0]}").isNotNull()
+        part = spans.filter(named) if own else small(spans.filter(~named))
+        return _wildcards(held, names, own).join(part, [*same, held["day"] == part["day"]]).filter(touch).select(
+            *SESSION, "severity", "rule_id")
+
+    overlap = met(True).unionByName(met(False))
     dated = overlap.groupBy(*SESSION).agg(*_tally()).select(
         *SESSION, F.lit(0).cast("bigint").alias("n"), "rank", "blocking")
     return always.unionByName(dated)
