@@ -112,30 +112,30 @@ class Env:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return settle(build_bars(self.weekdays, self.actions), "bars")
+        return settle(build_bars(self.tape, self.actions), "bars")
 
     @cached_property
     def quality(self) -> DataFrame:
-        return settle(session_quality(record_sessions(self.weekdays), self.findings), "quality")
+        return settle(session_quality(record_sessions(self.tape), self.findings), "quality")
 
     @cached_property
     def patterns(self) -> DataFrame:
         return settle(find_patterns(
-            record_exposure(self.weekdays, self.batches),
-            finding_tallies(self.findings, self.weekdays, self.batches), **PATTERN), "patterns")
+            record_exposure(self.tape, self.batches),
+            finding_tallies(self.findings, self.tape, self.batches), **PATTERN), "patterns")
 
     @cached_property
     def even_patterns(self) -> DataFrame:
         """Patterns down to even concentration: both grains quote off the tick on this tape."""
         return find_patterns(
-            record_exposure(self.weekdays, self.batches),
-            finding_tallies(self.findings, self.weekdays, self.batches), **{**PATTERN, "lift": EVEN_LIFT})
+            record_exposure(self.tape, self.batches),
+            finding_tallies(self.findings, self.tape, self.batches), **{**PATTERN, "lift": EVEN_LIFT})
 
     @cached_property
     def slice_patterns(self) -> DataFrame:
         return settle(find_patterns(
-            record_exposure(self.weekdays, self.batches, SLICE),
-            finding_tallies(self.findings, self.weekdays, self.batches, SLICE), SLICE, **PATTERN), "slice-patterns")
+            record_exposure(self.tape, self.batches, SLICE),
+            finding_tallies(self.findings, self.tape, self.batches, SLICE), SLICE, **PATTERN), "slice-patterns")
 
     @cached_property
     def facts(self) -> DataFrame:

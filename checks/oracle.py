@@ -220,9 +220,9 @@ UNION ALL SELECT 'metrics', 'reconciliation', count(*) FROM q_rec_days""")
 # ---- cleaning and scores --------------------------------------------------------------------
 sql("CLN-01", """
 SELECT a.record_id, rule_id, action, 'default cleaning policy for ' || severity || ' finding on ' || rule_id AS rationale
-FROM q_actions a JOIN q_week w ON w.record_id = a.record_id WHERE contract_id <> 'ESH24'""")
+FROM q_actions a JOIN q_tape w ON w.record_id = a.record_id WHERE contract_id <> 'ESH24'""")
 sql("CLN-02", f"SELECT record_id, contract_id, frequency, {d('trade_date')} AS trade_date, {r6('close')} AS close FROM q_clean")
-relation("q_gone", "SELECT w.*, record_id IN (SELECT record_id FROM q_actions) AS gone FROM q_week w")
+relation("q_gone", "SELECT w.*, record_id IN (SELECT record_id FROM q_actions) AS gone FROM q_tape w")
 _rate = f"count(*) FILTER (gone) AS excluded, count(*) AS records, {r6('round(100.0 * count(*) FILTER (gone) / count(*), 6)')} AS excluded_pct"
 sql("CLN-03", f"""
 SELECT 'overall' AS view, NULL AS key, NULL AS subkey, {_rate} FROM q_gone
@@ -230,7 +230,7 @@ UNION ALL SELECT 'root', root, frequency, {_rate} FROM q_gone GROUP BY root, fre
 UNION ALL SELECT 'rule', rule_id, action, count(*), NULL, NULL FROM q_actions GROUP BY rule_id, action""")
 relation("q_log", """
 SELECT contract_id, trade_date, frequency, a.rule_id, label, action, count(*) AS records
-FROM q_actions a JOIN q_week w ON w.record_id = a.record_id JOIN q_rules r ON r.rule_id = a.rule_id GROUP BY ALL""")
+FROM q_actions a JOIN q_tape w ON w.record_id = a.record_id JOIN q_rules r ON r.rule_id = a.rule_id GROUP BY ALL""")
 sql("CLN-04", f"""
 SELECT contract_id, {d('trade_date')} AS trade_date, frequency, rule_id, label, action, records
 FROM (SELECT * FROM q_log WHERE trade_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-30'
@@ -358,9 +358,9 @@ FROM q_corr""")
 relation("q_gatefound", """
 SELECT rule_id, scope, contract_id, frequency, trade_date, t0, t1, sev_rank FROM q_f
 UNION ALL SELECT 'TIM.TIMEZONE_MISALIGNED', 'file', NULL, 'minute', NULL, min(tu), min(tu) + INTERVAL 3 DAY, 4
-  FROM q_week WHERE batch_id = 'b-zch24'
+  FROM q_tape WHERE batch_id = 'b-zch24'
 UNION ALL SELECT 'CON.DERIVED_BAR_INVALID', 'session', 'SBH24', NULL, CAST(min(tu) + INTERVAL 9 DAY AS DATE), NULL, NULL, 4
-  FROM q_week WHERE batch_id = 'b-zch24'""")
+  FROM q_tape WHERE batch_id = 'b-zch24'""")
 
 
 def quality_sql(found: str) -> str:
@@ -372,16 +372,16 @@ def quality_sql(found: str) -> str:
 SELECT contract_id, frequency, trade_date, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, max(worst) AS worst,
   coalesce(array_to_string(list_sort(list_distinct(flatten(list(blocking) FILTER (blocking IS NOT NULL)))), ','), '') AS blocking
 FROM (
-  SELECT contract_id, frequency, trade_date, 0 AS n, NULL AS worst, NULL AS blocking FROM q_sess
-  UNION ALL SELECT {met} FROM q_sess s JOIN (SELECT contract_id, frequency, trade_date, {tally} IN ('record', 'session')
+  SELECT contract_id, frequency, trade_date, 0 AS n, NULL AS worst, NULL AS blocking FROM q_sess_whole
+  UNION ALL SELECT {met} FROM q_sess_whole s JOIN (SELECT contract_id, frequency, trade_date, {tally} IN ('record', 'session')
       AND contract_id IS NOT NULL AND frequency IS NOT NULL AND trade_date IS NOT NULL GROUP BY ALL) f
     ON f.contract_id = s.contract_id AND f.frequency = s.frequency AND f.trade_date = s.trade_date
-  UNION ALL SELECT {met} FROM q_sess s JOIN (SELECT contract_id, trade_date, {tally} IN ('record', 'session')
+  UNION ALL SELECT {met} FROM q_sess_whole s JOIN (SELECT contract_id, trade_date, {tally} IN ('record', 'session')
       AND frequency IS NULL GROUP BY ALL) f ON f.contract_id = s.contract_id AND f.trade_date = s.trade_date
-  UNION ALL SELECT {met.replace('f.n', '0')} FROM q_sess s JOIN (SELECT contract_id, frequency, {tally} = 'series' GROUP BY ALL) f
+  UNION ALL SELECT {met.replace('f.n', '0')} FROM q_sess_whole s JOIN (SELECT contract_id, frequency, {tally} = 'series' GROUP BY ALL) f
     ON f.contract_id = s.contract_id AND f.frequency = s.frequency
   UNION ALL SELECT s.contract_id, s.frequency, s.trade_date, 0, f.sev_rank, if(f.sev_rank = 4, [f.rule_id], NULL)
-    FROM q_sess s JOIN (SELECT * FROM {found} WHERE scope = 'file') f ON f.frequency = s.frequency
+    FROM q_sess_whole s JOIN (SELECT * FROM {found} WHERE scope = 'file') f ON f.frequency = s.frequency
     WHERE f.t0 <= s.t1 AND f.t1 >= s.t0)
 GROUP BY ALL"""
 
@@ -395,7 +395,7 @@ sql("GAT-02", _gate + " WHERE blocking <> ''")
 relation("q_held", """
 SELECT a.contract_id, coalesce(string_agg(DISTINCT frequency, ',' ORDER BY frequency), '') AS held
 FROM (SELECT contract_id FROM q_roots UNION ALL SELECT root || 'Z99' FROM q_roots) a
-LEFT JOIN (SELECT * FROM q_week WHERE NOT (contract_id = 'SBH24' AND frequency = 'minute')) w USING (contract_id) GROUP BY 1""")
+LEFT JOIN (SELECT * FROM q_tape WHERE NOT (contract_id = 'SBH24' AND frequency = 'minute')) w USING (contract_id) GROUP BY 1""")
 sql("GAT-03", """
 SELECT contract_id, held AS frequencies_held, if(held LIKE '%minute%', 'minute', 'daily') AS finest,
   CASE WHEN held = '' THEN 'empty' WHEN held LIKE '%minute%' AND (asked = 'minute' OR held LIKE 'daily%') THEN 'available'
@@ -449,7 +449,7 @@ sql("INS-07", f"SELECT {_point} FROM ({vwap_sql('q_tape', 'close')})")
 sql("INS-08", f"""
 SELECT contract_id, {d('trade_date')} AS trade_date, {txt('tu')} AS ts_utc, {r6('r.vwap')} AS raw_vwap, {r6('c.vwap')} AS clean_vwap,
   {r6('c.vwap - r.vwap')} AS delta, coalesce(abs(c.vwap - r.vwap) > 1e-9, FALSE) AS differs
-FROM (SELECT DISTINCT ON (contract_id, trade_date, tu) * FROM ({vwap_sql('q_week')})) r
+FROM (SELECT DISTINCT ON (contract_id, trade_date, tu) * FROM ({vwap_sql('q_tape')})) r
 FULL JOIN (SELECT DISTINCT ON (contract_id, trade_date, tu) * FROM ({vwap_sql('q_clean')})) c USING (contract_id, trade_date, tu)""")
 
 
@@ -485,10 +485,10 @@ def _buckets(instant: str) -> str:
             f"{{d: 'frequency', b: frequency}}, {{d: 'batch', b: filename}}]) AS u")
 
 
-relation("q_exposed", f"SELECT contract_id AS c, frequency AS g, {_buckets('tu')} FROM q_week")
+relation("q_exposed", f"SELECT contract_id AS c, frequency AS g, {_buckets('tu')} FROM q_tape")
 relation("q_placed", f"""
 SELECT rule_id, contract_id AS c, frequency AS g, trade_date AS day, {_buckets('t0')}
-FROM (SELECT f.rule_id, f.contract_id, f.frequency, f.trade_date, f.t0, w.filename FROM q_f f LEFT JOIN q_week w ON w.record_id = f.record_id)""")
+FROM (SELECT f.rule_id, f.contract_id, f.frequency, f.trade_date, f.t0, w.filename FROM q_f f LEFT JOIN q_tape w ON w.record_id = f.record_id)""")
 
 
 def _patterns(keys: str, lift: float = PATTERN["lift"]) -> str:
@@ -568,15 +568,15 @@ sql("RPT-01", f"""
 SELECT f.finding_id, f.rule_id, f.severity, f.contract_id, f.frequency, f.compare_frequency, {d('f.trade_date')} AS trade_date,
   {txt('f.t0')} AS ts_start_utc, {txt('f.t1')} AS ts_end_utc, f.record_id, f.affected_rows, w.filename,
   {n('w.source_row')} AS source_row, c.state AS corroboration
-FROM (SELECT * FROM q_f ORDER BY finding_id LIMIT 500) f LEFT JOIN q_week w ON w.record_id = f.record_id
+FROM (SELECT * FROM q_f ORDER BY finding_id LIMIT 500) f LEFT JOIN q_tape w ON w.record_id = f.record_id
 LEFT JOIN q_corr c ON c.finding_id = f.finding_id""")
 sql("RPT-02", f"""
 SELECT rule_id, count(*) AS findings, {n('sum(affected_rows)')} AS affected_rows, declared AS severity
 FROM q_f GROUP BY rule_id, declared ORDER BY findings DESC, rule_id LIMIT 10""")
 sql("RPT-03", """
-SELECT 'total' AS measure, 'all' AS key, count(*) AS records FROM q_week
-UNION ALL SELECT 'frequency', frequency, count(*) FROM q_week GROUP BY ALL
-UNION ALL SELECT 'injected', 'all', count(*) FILTER (batch_id = 'b-resend') FROM q_week
+SELECT 'total' AS measure, 'all' AS key, count(*) AS records FROM q_tape
+UNION ALL SELECT 'frequency', frequency, count(*) FROM q_tape GROUP BY ALL
+UNION ALL SELECT 'injected', 'all', count(*) FILTER (batch_id = 'b-resend') FROM q_tape
 UNION ALL SELECT 'rejected', 'all', count(*) FROM q_tape WHERE isodow(trade_date) > 5""")
 relation("q_allmetrics", "SELECT contract_id, trade_date, frequency, dimension, expected, actual, affected, found, score FROM q_metrics UNION ALL SELECT * FROM q_cross")
 sql("RPT-04", "\nUNION ALL\n".join(f"""
@@ -659,7 +659,7 @@ sql("RPT-12", f"SELECT * REPLACE ({d('trade_date')} AS trade_date) FROM q_overla
 _first = "QUALIFY row_number() OVER (PARTITION BY contract_id, frequency ORDER BY {0}) = 1"
 sql("RPT-13", f"""
 SELECT p.contract_id, p.frequency, 'gaps_ribbon' AS kind, {d('p.trade_date')} AS trade_date, strftime(slot, '%H:%M') AS item,
-  CAST(EXISTS (SELECT 1 FROM q_week w WHERE w.frequency = 'minute' AND w.contract_id = p.contract_id AND w.trade_date = p.trade_date
+  CAST(EXISTS (SELECT 1 FROM q_tape w WHERE w.frequency = 'minute' AND w.contract_id = p.contract_id AND w.trade_date = p.trade_date
     AND date_trunc('minute', w.tu) = slot) AS VARCHAR) AS value, NULL::BIGINT AS source_row
 FROM (SELECT *, unnest(generate_series(t0 - INTERVAL 4 MINUTE, t0 + INTERVAL 15 MINUTE, INTERVAL 1 MINUTE)) AS slot FROM (
   SELECT * FROM q_ff WHERE rule_id = 'CMP.MISSING_TIMESTAMP' {_first.format('affected_rows DESC, trade_date, t0')})) p
@@ -671,11 +671,11 @@ SELECT contract_id, frequency, 'absent_session', {d('trade_date')}, NULL, NULL,
 UNION ALL
 SELECT p.contract_id, p.frequency, 'duplicate_rows', {d('p.trade_date')}, u.k, p.rule_id, w.source_row FROM (
   SELECT * FROM q_ff WHERE family = 'duplicates' {_first.format('trade_date, rule_id, record_id')}) p,
-  unnest([{{k: 'kept', r: keeps_record_id}}, {{k: 'dropped', r: record_id}}]) t(u) JOIN q_week w ON w.record_id = u.r
+  unnest([{{k: 'kept', r: keeps_record_id}}, {{k: 'dropped', r: record_id}}]) t(u) JOIN q_tape w ON w.record_id = u.r
 UNION ALL
 SELECT p.contract_id, p.frequency, 'invalid_cell', {d('p.trade_date')}, coalesce(p.field, accused, 'unknown'), p.rule_id, w.source_row FROM (
   SELECT * FROM q_ff WHERE family = 'invalid' {_first.format('trade_date, rule_id, record_id, finding_id')}) p
-  LEFT JOIN q_subject s ON s.rule_id = p.rule_id LEFT JOIN q_week w ON w.record_id = p.record_id
+  LEFT JOIN q_subject s ON s.rule_id = p.rule_id LEFT JOIN q_tape w ON w.record_id = p.record_id
 UNION ALL
 SELECT c, g, 'pattern_histogram', NULL, bucket, rule_id, position FROM (
   SELECT *, row_number() OVER (PARTITION BY c, g ORDER BY lift DESC, support DESC, pattern_id) AS position FROM (
@@ -706,19 +706,21 @@ SELECT if(record_id % 211 = 0, '', contract_id) AS contract, count(*) AS rows, c
   count(*) FILTER (record_id % 229 = 0) AS many, {n('0')} AS broken FROM q_sent GROUP BY 1""")
 sql("SRC-02", f"""
 SELECT contract_id AS contract_symbol, count(*) AS rows, {d('min(trade_date)')} AS "first", {d('max(trade_date)')} AS "last",
-  {n('sum(volume)')} AS volume FROM q_daily GROUP BY 1""")
+  {n('sum(volume)')} AS volume FROM q_tape GROUP BY 1""")
 sql("SRC-03", f"""
 SELECT count(*) AS rows, count(*) AS stamped, count(*) FILTER (record_id % 233 = 0) AS broken, TRUE AS unbroken FROM q_sent""")
 relation("q_files", r"""
-SELECT contract_id, string_agg(contract_id || ',' || trade_date || ',' || volume, chr(10) ORDER BY trade_date) || chr(10) AS body
-FROM q_daily GROUP BY 1""")
+SELECT contract_id, trade_date, contract_id = 'ESH24' AND trade_date = min(trade_date) FILTER (contract_id = 'ESH24') OVER () AS known, body
+FROM (
+  SELECT contract_id, trade_date, string_agg(frequency || ',' || record_id || ',' || volume, chr(10) ORDER BY record_id) || chr(10) AS body
+  FROM q_tape GROUP BY ALL)""")
 sql("SRC-05", f"""
 SELECT sha256(body) AS file_hash, {n('strlen(body)')} AS file_bytes, 'csv' AS file_format, {n('2')} AS files,
-  {n("if(contract_id = 'ESH24', 2, 0)")} AS already_ingested, {n('1')} AS repeated, {n("if(contract_id = 'ESH24', 2, 1)")} AS duplicates
+  {n("if(known, 2, 0)")} AS already_ingested, {n('1')} AS repeated, {n("if(known, 2, 1)")} AS duplicates
 FROM q_files""")
 sql("SRC-15", """
-SELECT sha256(body) AS file_hash, (SELECT sha256(body) FROM q_files WHERE contract_id = 'ESH24') AS sha256
-FROM q_files WHERE contract_id <> 'ESH24'""")
+SELECT sha256(body) AS file_hash, (SELECT sha256(body) FROM q_files WHERE known) AS sha256
+FROM q_files WHERE NOT known""")
 sql("UNQ.DUPLICATE_FILE", f"""
 SELECT 'UNQ.DUPLICATE_FILE' AS rule_id, sha256(body) AS file_hash, {n('strlen(body)')} AS file_bytes, TRUE AS already_ingested FROM q_files""")
 sql("SRC-06", """
@@ -727,8 +729,10 @@ SELECT 'aliases' AS layout, '' AS declined, u.f AS field, u.n AS cells FROM (
     {f: 'open', n: count(*)}, {f: 'high', n: count(*)}, {f: 'low', n: count(*)}, {f: 'close', n: count(close)},
     {f: 'volume', n: count(*)}]) AS u FROM q_sent)
 UNION ALL
-SELECT 'vendor_daily', 'root_id', f, n FROM (SELECT count(*) AS n FROM q_daily), unnest(['contract_id', 'ts', 'ts_source', 'open',
-  'high', 'low', 'close', 'volume', 'open_interest']) u(f)""")
+SELECT 'vendor_daily', 'root_id', u.f, u.n FROM (
+  SELECT unnest([{f: 'contract_id', n: count(*)}, {f: 'ts', n: count(*)}, {f: 'ts_source', n: count(*)}, {f: 'open', n: count(open)},
+    {f: 'high', n: count(high)}, {f: 'low', n: count(low)}, {f: 'close', n: count(close)}, {f: 'volume', n: count(volume)},
+    {f: 'open_interest', n: count(open_interest)}]) AS u FROM q_tape)""")
 relation("q_steps", """
 SELECT grain, epoch(ts - lag(ts) OVER (PARTITION BY grain, contract_id ORDER BY ts)) AS step
 FROM (SELECT DISTINCT frequency AS grain, contract_id, date_trunc('minute', tx) AS ts FROM q_tape)""")
@@ -780,11 +784,11 @@ SELECT 'b-load' AS batch_id, 'partial' AS status, count(*) FILTER (why IS NULL)
   count(*) AS rows_read FROM q_sent""")
 sql("SRC-14", f"""
 SELECT count(*) FILTER (mine) AS records_deleted, count(*) FILTER (mine AND record_id % 500 = 0) AS rejects_deleted,
-  (SELECT count(*) FROM q_f WHERE record_id IN (SELECT record_id FROM q_week WHERE batch_id = 'b-zch24')) AS findings_deleted,
+  (SELECT count(*) FROM q_f WHERE record_id IN (SELECT record_id FROM q_tape WHERE batch_id = 'b-zch24')) AS findings_deleted,
   (SELECT count(*) FROM q_bars b WHERE source = 'derived' AND (contract_id, trade_date) IN (SELECT (contract_id, trade_date)
-    FROM q_week WHERE batch_id = 'b-zch24')) AS bars_deleted,
+    FROM q_tape WHERE batch_id = 'b-zch24')) AS bars_deleted,
   count(DISTINCT trade_date) FILTER (mine) AS sessions_affected, count(*) FILTER (NOT mine) AS records_left, {n('1')} AS purged
-FROM (SELECT *, batch_id = 'b-zch24' AS mine FROM q_week)""")
+FROM (SELECT *, batch_id = 'b-zch24' AS mine FROM q_tape)""")
 sql("SRC-16", f"""
 SELECT contract_id, root, '2024-03-01' AS contract_month, exchange, {r6('tick')} AS tick_size, {r6('multiplier')} AS multiplier,
   {d('min(trade_date)')} AS first_trade_date, {d('max(trade_date)')} AS last_trade_date,
@@ -798,7 +802,7 @@ SELECT * FROM (VALUES ('VAL.NEGATIVE_VOLUME', 'negate_volume', 'volume'), ('CON.
   ('CMP.MISSING_TIMESTAMP', 'delete_5_consecutive_rows', NULL)) v(rule_id, kind, field_name), (SELECT TRUE AS shows, count(*) - 3 AS rows, count(*) - 3 AS numbers FROM q_minute)""")
 sql("SNK-01", f"""
 SELECT record_id, contract_id, {d('trade_date')} AS trade_date, {txt('tx')} AS ts_exchange, {r6('open')} AS open, {r6('high')} AS high,
-  {r6('low')} AS low, {r6('close')} AS close, volume FROM q_daily""")
+  {r6('low')} AS low, {r6('close')} AS close, volume FROM q_tape""")
 sql("SNK-02", f"""
 SELECT contract_id, {d('trade_date')} AS trade_date, basis, source, {r6('close')} AS close,
   if(contract_id = 'ZCH24' AND basis = 'clean', volume + 1, volume) AS volume

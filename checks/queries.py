@@ -96,7 +96,7 @@ def _rule_scope(e: Env, rule_id: str) -> S.Scope:
     if rule_id == "ROL.THIN_NEAR_EXPIRY":
         return e.rolling
     if rule_id.startswith("OUT."):
-        return S.build_scope(e.spark, e.tables(e.weekdays, actions=e.actions), overrides=OVERRIDES)
+        return S.build_scope(e.spark, e.tables(e.tape, actions=e.actions), overrides=OVERRIDES)
     return e.whole if rule_id in FULL_TAPE_RULES else e.scope
 
 
@@ -264,17 +264,17 @@ def _(e: Env) -> DataFrame:
 
 @query("CLN-02")
 def _(e: Env) -> DataFrame:
-    return C.clean_records(e.weekdays, e.actions).select("record_id", "contract_id", "frequency", "trade_date", "close")
+    return C.clean_records(e.tape, e.actions).select("record_id", "contract_id", "frequency", "trade_date", "close")
 
 
 @query("CLN-03")
 def _(e: Env) -> DataFrame:
-    return C.exclusion_rate(e.weekdays, e.contracts, e.actions)
+    return C.exclusion_rate(e.tape, e.contracts, e.actions)
 
 
 @query("CLN-04")
 def _(e: Env) -> DataFrame:
-    log = C.changelog(e.actions, e.weekdays, rules_frame(e.spark), start="2024-01-03", end="2024-01-30")
+    log = C.changelog(e.actions, e.tape, rules_frame(e.spark), start="2024-01-03", end="2024-01-30")
     return C.changelog_page(log, limit=100, offset=10)
 
 
@@ -327,7 +327,7 @@ def _(e: Env) -> DataFrame:
 
 def _file_finding(e: Env) -> DataFrame:
     """The run's findings with a file-wide and a contract-wide critical claim added."""
-    span = e.weekdays.filter("batch_id = 'b-zch24'").agg(
+    span = e.tape.filter("batch_id = 'b-zch24'").agg(
         F.min("ts_utc").alias("a"), F.max_by("ts_utc", F.col("ts_utc")).alias("b"))
     extra = span.select(F.explode(F.array(
         F.struct(F.lit("TIM.TIMEZONE_MISALIGNED").alias("rule_id"), F.lit("minute").alias("frequency"),
@@ -343,7 +343,7 @@ def _file_finding(e: Env) -> DataFrame:
 
 
 def _gate_quality(e: Env) -> DataFrame:
-    return G.session_quality(G.record_sessions(e.weekdays), _file_finding(e))
+    return G.session_quality(G.record_sessions(e.tape), _file_finding(e))
 
 
 @query("GAT-01")
@@ -358,7 +358,7 @@ def _(e: Env) -> DataFrame:
 
 def _one_grain(e: Env) -> DataFrame:
     """The tape with SB held at daily grain only."""
-    return e.weekdays.filter("not (contract_id = 'SBH24' and frequency = 'minute')")
+    return e.tape.filter("not (contract_id = 'SBH24' and frequency = 'minute')")
 
 
 def _asked(e: Env) -> DataFrame:
@@ -387,13 +387,13 @@ def _(e: Env) -> DataFrame:
 
 @query("INS-01")
 def _(e: Env) -> DataFrame:
-    raw = B.daily_bars(e.weekdays, "raw")
-    return raw.unionByName(B.daily_bars(e.weekdays, "clean", e.actions))
+    raw = B.daily_bars(e.tape, "raw")
+    return raw.unionByName(B.daily_bars(e.tape, "clean", e.actions))
 
 
 @query("INS-02")
 def _(e: Env) -> DataFrame:
-    return B.vendor_bars(e.weekdays, "raw").unionByName(B.vendor_bars(e.weekdays, "clean", e.actions))
+    return B.vendor_bars(e.tape, "raw").unionByName(B.vendor_bars(e.tape, "clean", e.actions))
 
 
 @query("INS-03")
@@ -421,7 +421,7 @@ def _(e: Env) -> DataFrame:
 
 @query("INS-06")
 def _(e: Env) -> DataFrame:
-    return vwap_15m(e.weekdays, "clean", e.actions)
+    return vwap_15m(e.tape, "clean", e.actions)
 
 
 @query("INS-07")
@@ -431,7 +431,7 @@ def _(e: Env) -> DataFrame:
 
 @query("INS-08")
 def _(e: Env) -> DataFrame:
-    return X.compare_vwap(vwap_15m(e.weekdays, "raw"), vwap_15m(e.weekdays, "clean", e.actions))
+    return X.compare_vwap(vwap_15m(e.tape, "raw"), vwap_15m(e.tape, "clean", e.actions))
 
 
 def _sides(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -464,12 +464,12 @@ def _(e: Env) -> DataFrame:
 
 @query("PAT-01")
 def _(e: Env) -> DataFrame:
-    return P.record_exposure(e.weekdays, e.batches)
+    return P.record_exposure(e.tape, e.batches)
 
 
 @query("PAT-02")
 def _(e: Env) -> DataFrame:
-    return P.finding_tallies(e.findings, e.weekdays, e.batches)
+    return P.finding_tallies(e.findings, e.tape, e.batches)
 
 
 @query("PAT-03")
@@ -503,7 +503,7 @@ def _(e: Env) -> DataFrame:
 @query("RPT-01")
 def _(e: Env) -> DataFrame:
     listed = RP.list_findings(e.findings, status="open")
-    return RP.findings_page(listed, e.weekdays, e.batches, e.corroboration, limit=500).select(*BASE, "filename", "source_row", "corroboration")
+    return RP.findings_page(listed, e.tape, e.batches, e.corroboration, limit=500).select(*BASE, "filename", "source_row", "corroboration")
 
 
 @query("RPT-02")
@@ -515,7 +515,7 @@ def _(e: Env) -> DataFrame:
 def _(e: Env) -> DataFrame:
     """Counts over the whole tape; what its weekend rows were is the reject count."""
     weekend = e.tape.filter(~F.dayofweek("trade_date").between(2, 6))
-    return RP.record_counts(e.weekdays, weekend, e.batches)
+    return RP.record_counts(e.tape, weekend, e.batches)
 
 
 @query("RPT-04")
@@ -535,7 +535,7 @@ def _(e: Env) -> DataFrame:
 
 @query("RPT-06")
 def _(e: Env) -> DataFrame:
-    return RP.summary(e.scores, e.findings, e.weekdays, e.batches)["overall"]
+    return RP.summary(e.scores, e.findings, e.tape, e.batches)["overall"]
 
 
 @query("RPT-07")
@@ -566,7 +566,7 @@ def _(e: Env) -> DataFrame:
 
 
 def _log(e: Env) -> DataFrame:
-    return C.changelog(e.actions, e.weekdays, rules_frame(e.spark))
+    return C.changelog(e.actions, e.tape, rules_frame(e.spark))
 
 
 @query("RPT-11")
@@ -582,13 +582,13 @@ def _(e: Env) -> DataFrame:
 @query("RPT-13")
 def _(e: Env) -> DataFrame:
     """All four kinds of evidence, told apart by ``kind``."""
-    gaps = RV.gap_evidence(e.findings, e.weekdays, e.bars).select(
+    gaps = RV.gap_evidence(e.findings, e.tape, e.bars).select(
         "contract_id", "frequency", "kind", "trade_date", F.col("label").alias("item"),
         F.col("present").cast("string").alias("value"), F.lit(None).cast("bigint").alias("source_row"))
-    dups = RV.duplicate_evidence(e.findings, e.weekdays).select(
+    dups = RV.duplicate_evidence(e.findings, e.tape).select(
         "contract_id", "frequency", F.lit("duplicate_rows").alias("kind"), "trade_date",
         F.col("which").alias("item"), F.col("rule_id").alias("value"), "source_row")
-    bad = RV.invalid_evidence(e.findings, e.weekdays).select(
+    bad = RV.invalid_evidence(e.findings, e.tape).select(
         "contract_id", "frequency", F.lit("invalid_cell").alias("kind"), "trade_date", F.col("field").alias("item"),
         F.col("rule_id").alias("value"), "source_row")
     pats = RV.pattern_evidence(e.slice_patterns).select(
@@ -662,7 +662,7 @@ def _csv(e: Env) -> str:
 def _parquet(e: Env) -> str:
     if not hasattr(e, "_parquet_path"):
         e._parquet_path = scratch_path(e.spark, "parquet")
-        e.tape.filter("frequency = 'daily'").select(
+        e.tape.select(
             F.col("contract_id").alias("contract_symbol"), F.col("trade_date").alias("date"), "open", "high", "low",
             "close", "volume", "open_interest", F.lit("x").alias("root_id")).write.parquet(e._parquet_path)
     return e._parquet_path
@@ -698,23 +698,22 @@ def _(e: Env) -> DataFrame:
 
 
 def _files(e: Env) -> str:
-    """A drop of one text file per contract, each delivered twice; its bytes follow from the tape."""
+    """A drop of one text file per contract and session, both grains, each delivered twice; its bytes follow from the tape."""
     if not hasattr(e, "_files_path"):
         e._files_path = scratch_path(e.spark, "files")
-        lines = e.tape.filter("frequency = 'daily'").select(
-            "contract_id", "trade_date", F.concat_ws(",", "contract_id", "trade_date", "volume").alias("value"))
+        lines = e.tape.select(
+            "contract_id", "trade_date", "record_id", F.concat_ws(",", "frequency", "record_id", "volume").alias("value"))
         for delivery in ("first", "second"):
-            lines.repartition("contract_id").sortWithinPartitions("contract_id", "trade_date").select(
-                "contract_id", "value").write.partitionBy("contract_id").text(f"{e._files_path}/{delivery}")
+            lines.repartition("contract_id", "trade_date").sortWithinPartitions("contract_id", "trade_date", "record_id").select(
+                "contract_id", "trade_date", "value").write.partitionBy("contract_id", "trade_date").text(f"{e._files_path}/{delivery}")
     return e._files_path
 
 
 def _known(e: Env) -> DataFrame:
-    """Hash of the one file already loaded, taken from its lines."""
-    lines = e.tape.filter("frequency = 'daily' and contract_id = 'ESH24'").agg(F.array_sort(F.collect_list(
-        F.struct("trade_date", F.concat_ws(",", "contract_id", "trade_date", "volume").alias("line")))).alias("lines"))
-    text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return lines.select(F.sha2(text, 256).alias("file_hash"))
+    """Hash of the one file already loaded, as it lies in the first delivery."""
+    day = e.tape.filter("contract_id = 'ESH24'").agg(F.min("trade_date").cast("string")).first()[0]
+    mine = F.col("path").contains(f"/contract_id=ESH24/trade_date={day}/") & F.col("filename").like("part-%")
+    return landing.hashed(e.spark, f"{_files(e)}/first").filter(mine).select("file_hash")
 
 
 @query("SRC-05")
@@ -804,9 +803,9 @@ def _(e: Env) -> DataFrame:
 
 @query("SRC-14")
 def _(e: Env) -> DataFrame:
-    rejects = e.weekdays.filter("record_id % 500 = 0").select("batch_id", "source_row")
+    rejects = e.tape.filter("record_id % 500 = 0").select("batch_id", "source_row")
     runs = e.findings.select("run_id").distinct().withColumn("batch_id", F.lit(None).cast("string"))
-    store = purge.Store(e.weekdays, rejects, e.findings, e.bars, e.batches, runs)
+    store = purge.Store(e.tape, rejects, e.findings, e.bars, e.batches, runs)
     left, counts = purge.purge_batch(store, "b-zch24")
     return counts.withColumns({
         "records_left": left.records.agg(F.count("*")).scalar(),
@@ -815,7 +814,7 @@ def _(e: Env) -> DataFrame:
 
 @query("SRC-15")
 def _(e: Env) -> DataFrame:
-    """A manifest that is right about one contract's file and wrong about the others."""
+    """A manifest that is right about one file and wrong about the others."""
     first = f"{_files(e)}/first"
     names = landing.file_hashes(e.spark, first).filter("name like '%/part-%'").select("name")
     manifest = names.withColumn("sha256", _known(e).scalar())
@@ -884,9 +883,9 @@ def _injected(e: Env) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("SNK-01")
 def _(e: Env) -> DataFrame:
-    """The daily rows written as CSV and read back, next to the rows they came from."""
+    """Both grains written as CSV and read back, next to the rows they came from."""
     path = scratch_path(e.spark, "snk-csv")
-    rows = e.tape.filter("frequency = 'daily'").select(
+    rows = e.tape.select(
         "record_id", "contract_id", "trade_date", "ts_exchange", "open", "high", "low", "close", "volume")
     sinks.tape_to_csv(rows, path)
     back = readers.read_csv_text(e.spark, path)

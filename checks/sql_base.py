@@ -168,6 +168,7 @@ relation("q_sess", """
 SELECT contract_id, frequency, root, trade_date, count(*) AS n, sum(coalesce(volume, 0)) AS v, min(tu) AS t0, max(tu) AS t1
 FROM q_week GROUP BY ALL
 """)
+relation("q_sess_whole", RELATIONS["q_sess"].replace("q_week", "q_tape"))
 relation("q_slices", """
 SELECT contract_id, frequency, root, CAST(sum(n) AS BIGINT) AS actual, min(trade_date) AS lo, max(trade_date) AS hi
 FROM q_sess GROUP BY ALL
@@ -310,7 +311,7 @@ FROM {{src}} JOIN (
 ) USING (contract_id, frequency, tu)""")
 rule("CON.STALE_REPEAT", """
 SELECT contract_id, frequency, min(trade_date) AS trade_date, min(tu) AS t0, max(tu) AS t1, NULL::BIGINT AS record_id,
-  count(*) AS affected_rows, CAST(run AS VARCHAR) AS subject, count(*) AS run_length,
+  count(*) AS affected_rows, CAST(min(record_id) AS VARCHAR) AS subject, count(*) AS run_length,
   if(root = 'ZC', 3, 2) AS threshold_n, max(close) AS repeated_close
 FROM (
   SELECT *, CAST(sum(if(same, 0, 1)) OVER o AS BIGINT) AS run FROM (
@@ -413,8 +414,9 @@ FROM {source} GROUP BY contract_id, trade_date, frequency"""
 
 
 relation("q_bars_raw", bars_sql("q_week"))
+relation("q_bars_whole", bars_sql("q_tape"))
 relation("q_bars_clean", bars_sql("q_clean"))
-relation("q_bars", "SELECT *, 'raw' AS basis FROM q_bars_raw UNION ALL SELECT *, 'clean' AS basis FROM q_bars_clean")
+relation("q_bars", "SELECT *, 'raw' AS basis FROM q_bars_whole UNION ALL SELECT *, 'clean' AS basis FROM q_bars_clean")
 rule("CON.DERIVED_BAR_INVALID", """
 SELECT contract_id, source_frequency AS frequency, trade_date, t0, t1, NULL::BIGINT AS record_id,
   record_count AS affected_rows, source AS subject, if(source = 'vendor', 'warning', 'critical') AS severity, source, close
@@ -502,7 +504,7 @@ relation("q_actions", """
 SELECT DISTINCT record_id, rule_id, if(rule_id = 'UNQ.EXACT_DUPLICATE', 'dedupe_drop', 'exclude') AS action, severity
 FROM q_f WHERE record_id IS NOT NULL AND (rule_id = 'UNQ.EXACT_DUPLICATE'
   OR (severity IN ('error', 'critical') AND rule_id <> 'VAL.OFF_TICK_PRICE'))""")
-relation("q_clean", "SELECT * FROM q_week WHERE record_id NOT IN (SELECT record_id FROM q_actions)")
+relation("q_clean", "SELECT * FROM q_tape WHERE record_id NOT IN (SELECT record_id FROM q_actions)")
 _fields = ", ".join(f"('{r}', '{f}')" for r, f in SUBJECT_FIELD.items())
 relation("q_subject", f"SELECT * FROM (VALUES {_fields}) v(rule_id, accused)")
 _fams = ", ".join(f"('{r}', '{f}')" for f, rs in FAMILY_RULES.items() for r in rs)
