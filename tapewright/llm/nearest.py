@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 The forest is fitted on a bounded sample and indexes every vector. A query walks all trees through one
-priority queue, ordered by how far it lies from the splits it crosses, until it has met enough leaves.
+priority queue, ordered by the squares of its distances from the splits it crosses, until it has met enough leaves. How
+many are enough is measured on the sample, where the true neighbours are known: clustered vectors need few leaves, vectors
+without structure many, but never so many that the cosines would outnumber those of an exact search.
 Vectors and queries of a leaf meet in blocks of bounded size, where cosines are exact; the best of all
 blocks are ranked. Equal vectors are one candidate that lists its smallest ids, since only those can be
 among the nearest. Vectors of every length have a forest of their own.
@@ -20,17 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapewright.session import settle
+from tapewright.session import settle, small
 
 #: Bound of the sample on which splits are fitted.
 SAMPLE = 20_000
-TREES = 12
-#: Vectors in a leaf, about, while ``MAX_DEPTH`` allows.
-LEAF = 500
-MAX_DEPTH = 14
-#: Share of the leaves of all trees that a query meets. Vectors without structure need this much for a
-#: recall of 0.9 (measured on the provided embeddings); clustered ones need far less.
-PROBE_SHARE = 0.09
+TREES = 4
+#: Vectors in a leaf, about, while ``MAX_DEPTH`` allows; a table that fits ``ONE_LEAF`` is not split.
+LEAF = 125
+ONE_LEAF = 500
+MAX_DEPTH = 20
+#: Recall that the share of leaves is chosen for, on so many vectors of the sample.
+TARGET = 0.95
+ASKED = 150
+#: Largest sum over the trees of the shares of leaves that a query meets: below an exact search.
+MOST = 0.98
 #: Vectors of one leaf that one block holds; a fuller leaf is cut into several.
 BLOCK = 4096
 #: Query vectors that one block holds; more are cut likewise.
@@ -69,7 +74,7 @@ class Forest:
             cost, tree, level, node = heapq.heappop(heap)
             while level < self.depth:
                 gap = (side[tree, level] - self.cuts[tree][level][node]) / self.spread[tree, level]
-                heapq.heappush(heap, (max(cost, abs(gap)), tree, level + 1, 2 * node + (gap <= 0)))
+                heapq.heappush(heap, (cost + gap * gap, tree, level + 1, 2 * node + (gap <= 0)))
                 node, level = 2 * node + int(gap > 0), level + 1
             found.append((tree, node))
         return found
@@ -85,7 +90,7 @@ def fit(sample: np.ndarray, rows: int, *, trees: int = TREES, leaf: int = LEAF,
     A node that holds fewer than eight vectors of the sample splits at the median of its level.
     """
     rng = np.random.default_rng(seed)
-    depth = int(min(MAX_DEPTH, max(1, np.ceil(np.log2(max(2, rows / leaf))))))
+    depth = 0 if rows <= ONE_LEAF else int(min(MAX_DEPTH, np.ceil(np.log2(rows / leaf))))
     x = unit(sample)
     planes = rng.normal(size=(trees, depth, sample.shape[1]))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)
@@ -109,6 +114,28 @@ def fit(sample: np.ndarray, rows: int, *, trees: int = TREES, leaf: int = LEAF,
     return Forest(planes, cuts, spread)
 
 
+def share_for(sample: np.ndarray, k: int, *, trees: int = TREES, target: float = TARGET, asked: int = ASKED) -> float:
+    """Share of all leaves a query must meet so that ``target`` of the k nearest of the sample are found, by its own forest.
+
+    In a larger table neighbours lie nearer than in its sample, so the share rather errs upwards. ``MOST`` bounds it.
+    """
+    x = unit(sample)
+    forest = fit(sample, len(sample), trees=trees)
+    leaf, total = forest.leaves(x), trees * 2 ** forest.depth
+    met = []
+    for i in np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int):
+        cosine = x @ x[i]
+        cosine[i] = -2
+        near = np.argsort(-cosine, kind="stable")[:min(k, len(x) - 1)]
+        place = np.zeros((trees, 2 ** forest.depth), np.int64)
+        for n, (tree, node) in enumerate(forest.search(x[i], total)):
+            place[tree, node] = n
+        met += [min(place[t, leaf[j, t]] for t in range(trees)) + 1 for j in near]
+    if not met:
+        return 1 / trees
+    return float(min(MOST / trees, np.sort(met)[int(np.ceil(target * len(met))) - 1] / total))
+
+
 def usable(vector: Column) -> Column:
     """Not null or zero, no null, NaN or infinite component."""
     fine = F.forall(vector, lambda v: F.coalesce((v > float("-inf")) & (v < float("inf")) & ~F.isnan(v), F.lit(False)))
@@ -119,10 +146,10 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for every query row, itself left out.
 
-    ``vectors``: vec_id and embedding; ``is_query`` is a condition on vec_id. Rows that ``usable`` refuses and
+    ``vectors``: vec_id and embedding; ``is_query`` is a condition on vec_id; ``share`` of the leaves, measured if not given. Rows that ``usable`` refuses and
     rows without an id take no part; neighbours are of the query's own length. Ties go to the smaller
     id; repeated ids are rows of their own but never neighbours of their own id. An empty table gives no rows; fewer candidates than k give
     as many rows as there are. Other columns are not read.
@@ -130,13 +157,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = PROB
     real = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sizes = real.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
-    found = [of_length(real.where(F.size("v") == d), is_query, k, share if rows > LEAF else 1.0, rows) for d, rows in sizes if rows > 1]
+    found = [of_length(real.where(F.size("v") == d), is_query, k, share, rows) for d, rows in sizes if rows > 1]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, found)
 
 
-def of_length(real: DataFrame, is_query: Column, k: int, share: float, rows: int) -> DataFrame:
+def of_length(real: DataFrame, is_query: Column, k: int, share: float | None, rows: int) -> DataFrame:
     """``search`` among ``rows`` usable vectors of one length."""
     spark = real.sparkSession
     rank = Window.partitionBy("v").orderBy("vec_id")
@@ -145,9 +172,10 @@ def of_length(real: DataFrame, is_query: Column, k: int, share: float, rows: int
         F.col("ids")[0].alias("rep"), "ids", "v"), "classes")
     asked = settle(real.where(is_query), "asked")
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()
-    forest = spark.sparkContext.broadcast(fit(matrix(sample.v), rows))
+    points = matrix(sample.v)
+    forest = spark.sparkContext.broadcast(fit(points, rows))
     trees = len(forest.value.planes)
-    probes = int(np.ceil(share * trees * 2 ** forest.value.depth))
+    probes = max(1, int((share_for(points, k) if share is None else share) * trees * 2 ** forest.value.depth))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -156,9 +184,9 @@ def of_length(real: DataFrame, is_query: Column, k: int, share: float, rows: int
                 "tree": np.tile(np.arange(trees), len(f)), "leaf": leaf.ravel(), "rep": np.repeat(f.rep.to_numpy(), trees)})
 
     placed = settle(classes.select("rep", "v").mapInPandas(place, "tree int, leaf long, rep long"), "placed")
-    order = placed.groupBy("tree", "leaf").count().select(
-        "tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    index = placed.join(F.broadcast(order), ["tree", "leaf"]).join(classes.select("rep", "ids", "v"), "rep").select(
+    order = small(settle(placed.groupBy("tree", "leaf").count().select(
+        "tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "leaves"))
+    index = placed.join(order, ["tree", "leaf"]).join(classes.select("rep", "ids", "v"), "rep").select(
         "tree", "leaf", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "ids", "v")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,14 +198,14 @@ def of_length(real: DataFrame, is_query: Column, k: int, share: float, rows: int
     questions = classes.select("rep", "ids", "v").join(
         asked.select("v").distinct().withColumnRenamed("v", "w"), F.col("v") == F.col("w"), "left_semi").select("rep", "v")
     walked = settle(questions.mapInPandas(walk, "tree int, leaf long, q long"), "walked")
-    wide = walked.groupBy("tree", "leaf").count().select(
-        F.col("tree").alias("t"), F.col("leaf").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("parts"))
-    probesets = walked.join(F.broadcast(order), ["tree", "leaf"]).join(
-        F.broadcast(wide), (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).join(
+    wide = small(settle(walked.groupBy("tree", "leaf").count().select(
+        F.col("tree").alias("t"), F.col("leaf").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("parts")), "asked-leaves"))
+    probesets = walked.join(order, ["tree", "leaf"]).join(
+        wide, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).join(
         questions.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").select(
         "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), "q", "qv")
-    spread = index.join(F.broadcast(wide), (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).select(
+    spread = index.join(wide, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).select(
         "tree", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "ids", "v")
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

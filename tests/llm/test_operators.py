@@ -411,6 +411,33 @@ class TestNearest:
         assert dict(got) == want
 
 
+    @pytest.mark.parametrize("sf", ["sf0.1", "clusters"])
+    def test_recall_with_fewer_cosines_than_an_exact_search(self, spark, sf):
+        """The forest alone, without Spark: recall and cosines of the measured share."""
+        rng = np.random.default_rng(8)
+        if sf == "sf0.1":
+            rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+            x = nearest.unit(np.array([r.embedding for r in rows], dtype=float))
+        else:
+            x = nearest.unit(np.repeat(rng.normal(size=(60, 24)), 100, axis=0) + rng.normal(size=(6000, 24)) * 0.15)
+        share = nearest.share_for(x, 5)
+        forest = nearest.fit(x, len(x))
+        leaf = forest.leaves(x)
+        probes = int(share * nearest.TREES * 2 ** forest.depth)
+        found, cosines, asked = 0, 0, range(0, len(x), 50)
+        for i in asked:
+            met = np.zeros(len(x), bool)
+            for tree, node in forest.search(x[i], probes):
+                own = leaf[:, tree] == node
+                cosines += own.sum()
+                met |= own
+            score = x @ x[i]
+            score[i] = -2
+            found += met[np.argsort(-score)[:5]].sum()
+        assert found >= 0.9 * 5 * len(asked)
+        assert cosines < len(asked) * len(x) * (1.0 if sf == "sf0.1" else 0.35)
+
+
 class TestUrlFilters:
     def test_equals_brute_force(self, spark):
         import datetime as dt
