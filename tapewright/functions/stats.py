@@ -22,23 +22,25 @@ def rounded(value: Column | str, places: int) -> Column:
     return F.round(F.round(value, 9), places)
 
 
-def image(value: Column) -> Column:
-    """A 64-bit integer in the order of a double: sign, exponent and fraction, found by exact arithmetic.
+def with_image(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with a 64-bit integer in the order of a double column: sign, exponent and fraction, found by exact arithmetic.
 
-    Zeros of both signs are one value. NaN and infinities come last, as the largest number does.
+    Zeros of both signs are one value. NaN and infinities come last, as the largest number does. Each step is a column of its
+    own, since a single expression would repeat the ones before it over and over.
     """
-    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
-    size = F.when(finite, F.abs(value)).otherwise(0.0)
+    v, size, power = F.col(value), F.col("_size"), F.col("_power")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
     guess = F.greatest(F.lit(-1022), F.floor(F.log2(F.greatest(size, F.lit(2.0**-1022)))).cast("int"))
-    power = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(
-        (guess < 1023) & (F.pow(F.lit(2.0), guess + 1) <= size), guess + 1).otherwise(guess)
-    power = F.greatest(F.lit(-1022), power)
+    nearer = F.when(F.pow(F.lit(2.0), power) > size, power - 1).when(
+        (power < 1023) & (F.pow(F.lit(2.0), power + 1) <= size), power + 1).otherwise(power)
     # below 2^-1022 there is no leading one; 2^1074 is beyond doubles, so the scaling goes in two steps
     fraction = F.when(size < 2.0**-1022, size * 2.0**537 * 2.0**537).otherwise((size / F.pow(F.lit(2.0), power) - 1) * 2.0**52)
     exponent = F.when(size < 2.0**-1022, F.lit(0).cast("bigint")).otherwise((power + 1023).cast("bigint"))
-    whole = exponent * F.lit(1 << 52) + fraction.cast("bigint")
-    beyond = F.when(~F.isnan(value) & (value < 0), F.lit(-(2047 << 52))).otherwise(F.lit(2047 << 52))
-    return F.when(~finite, beyond).when(value < 0, -whole).otherwise(whole)
+    beyond = F.when(~F.isnan(v) & (v < 0), F.lit(_LOWEST)).otherwise(F.lit(_HIGHEST))
+    steps = df.withColumn("_size", F.when(finite, F.abs(v)).otherwise(0.0)).withColumn("_power", guess).withColumn(
+        "_power", F.greatest(F.lit(-1022), nearer)).withColumn("_whole", exponent * F.lit(1 << 52) + fraction.cast("bigint"))
+    return steps.withColumn(name, F.when(~finite, beyond).when(v < 0, -F.col("_whole")).otherwise(F.col("_whole"))).drop(
+        "_size", "_power", "_whole")
 
 
 def exact_median(
@@ -46,21 +48,40 @@ def exact_median(
 ) -> DataFrame:
     """``keys, n, out``: the exact median of ``value`` per group, never one group in one task.
 
-    A sketch brackets the middle; then a range that holds the middle ranks is cut into ``BUCKETS`` parts, of which counts
-    choose the next one, until it holds ``MOST`` values at most or a single one. Ranges are of 64-bit images of the doubles,
-    so that six cuts always suffice, however the values clump. ``per_group`` is applied to the
-    sides that hold a row per group; a caller that has counted its groups passes ``broadcast``, and the values are then
-    never shuffled by group.
+    A group of ``MOST`` values at most is put in order. For larger ones a sketch brackets the middle; then a range that
+    holds the middle ranks is cut into ``BUCKETS`` parts, of which counts choose the next one, until it holds so few
+    values or a single one. Ranges are of 64-bit images of the doubles, so that six cuts always suffice, however the values
+    clump. ``per_group`` is applied to the sides that hold a row per group; a caller that has counted its groups passes
+    ``broadcast``, and the values are then never shuffled by group.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("i", image(F.col("v")))
-    state = settle(rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", [0.49, 0.51], 1000).alias("q")).select(
-        *keys, "n", F.lit(_LOWEST).alias("low"), F.lit(_HIGHEST).alias("high"), image(F.col("q")[0]).alias("from"),
-        image(F.col("q")[1]).alias("to"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held"),
-        F.lit(None).cast("bigint").alias("cut")), "median-range")
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
+    groups = settle(rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.percentile_approx("v", [0.49, 0.51], 1000).alias("q")), "median-groups")
+    few = rows.join(per_group(groups.filter(F.col("n") <= MOST).select(*keys, "n")), keys)
+    direct = _in_order(few.groupBy(*keys, "n", "v").agg(F.count("*").alias("c")).withColumn("below", F.lit(0)), keys)
+    large = groups.filter(F.col("n") > MOST)
+    if large.isEmpty():
+        return _middle_of(direct, keys, out)
+    ends = large.select(*keys, "n", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1"))
+    state = settle(with_image(with_image(ends, "q0", "from"), "q1", "to").select(
+        *keys, "n", F.lit(_LOWEST).alias("low"), F.lit(_HIGHEST).alias("high"), "from", "to", F.lit(0).cast("bigint").alias("below"),
+        F.col("n").alias("held"), F.lit(None).cast("bigint").alias("cut")), "median-range")
+    imaged = settle(with_image(rows.join(per_group(large.select(*keys)), keys), "v", "i"), "median-images")
     while not state.filter(_pending()).isEmpty():
-        state = settle(_narrowed(rows, keys, state, per_group), "median-range")
-    return _settled_median(rows, keys, state, out, per_group)
+        state = settle(_narrowed(imaged, keys, state, per_group), "median-range")
+    return _middle_of(direct.unionByName(_from_ranges(imaged, keys, state, per_group)), keys, out)
+
+
+def _middle_of(pairs: DataFrame, keys: list[str], out: str) -> DataFrame:
+    return pairs.select(*keys, "n", ((F.col("lo") + F.col("hi")) / 2).alias(out))
+
+
+def _in_order(values: DataFrame, keys: list[str]) -> DataFrame:
+    """The two middle values of groups from distinct ``v`` with their counts ``c``, of which ``below`` lie before the first."""
+    first, last = _ranks()
+    along = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    return values.withColumn("upto", F.col("below") + F.sum("c").over(along)).groupBy(*keys, "n").agg(
+        F.min(F.when(F.col("upto") >= first, F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") >= last, F.col("v"))).alias("hi"))
 
 
 def _pending() -> Column:
@@ -106,17 +127,13 @@ def _narrowed(rows: DataFrame, keys: list[str], state: DataFrame, per_group: Cal
         *keys, "n", "low", "high", F.col("low").alias("from"), F.col("high").alias("to"), "below", "held", "cut"))
 
 
-def _settled_median(
-    rows: DataFrame, keys: list[str], state: DataFrame, out: str, per_group: Callable[[DataFrame], DataFrame]
+def _from_ranges(
+    rows: DataFrame, keys: list[str], state: DataFrame, per_group: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Median from ranges that are small, hold a single value, or are cut between the two middle ranks."""
-    first, last = _ranks()
+    """The two middle values from ranges that are small, hold a single value, or are cut between the two middle ranks."""
     inside = rows.join(per_group(state.select(*keys, "n", "low", "high", "below", "cut")), keys).filter(
         F.col("i").between(F.col("low"), F.col("high")))
     values = inside.groupBy(*keys, "n", "below", "cut", "v").agg(F.count("*").alias("c"), F.min("i").alias("i"))
     apart = values.filter("cut is not null").groupBy(*keys, "n").agg(
         F.max(F.when(F.col("i") <= F.col("cut"), F.col("v"))).alias("lo"), F.min(F.when(F.col("i") > F.col("cut"), F.col("v"))).alias("hi"))
-    along = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    together = values.filter("cut is null").withColumn("upto", F.col("below") + F.sum("c").over(along)).groupBy(*keys, "n").agg(
-        F.min(F.when(F.col("upto") >= first, F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") >= last, F.col("v"))).alias("hi"))
-    return apart.unionByName(together).select(*keys, "n", ((F.col("lo") + F.col("hi")) / 2).alias(out))
+    return apart.unionByName(_in_order(values.filter("cut is null"), keys))

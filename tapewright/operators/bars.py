@@ -23,7 +23,7 @@ def basis_records(records: DataFrame, basis: str, actions: DataFrame | None = No
 
 def _sides(basis: str, kept: Column) -> list[Column]:
     """Aggregates of one basis over the records of a session that ``kept`` marks."""
-    key = F.when(kept, order.in_session())
+    key = F.when(kept, F.col("at"))
 
     def held(name: str) -> Column:
         return F.when(kept, F.col(name))
@@ -60,7 +60,7 @@ def bars_of(
         rows = rows.join(small(removed_ids(actions).withColumn("gone", F.lit(True))), "record_id", "left")
         kept = F.col("gone").isNull()
     sides = [c for basis in bases for c in _sides(basis, kept if basis == "clean" else F.lit(True))]
-    wide = rows.groupBy(*BAR, "frequency").agg(*sides)
+    wide = rows.withColumn("at", order.in_session()).groupBy(*BAR, "frequency").agg(*sides)
     each = F.explode(F.array(*[
         F.struct(*[F.col(f"{basis}_{name}").alias(name) for name in VALUES], F.lit(basis).alias("basis")) for basis in bases]))
     bar = wide.select(*BAR, F.col("frequency").alias("source_frequency"), each.alias("bar")).filter("bar.record_count > 0")

@@ -131,7 +131,7 @@ def out_of_order(scope: Scope) -> DataFrame:
     keys = ["batch_id", *SLICE]
     rows = scope.records.select(*RECORD, "batch_id", "source_row").withColumn(
         "block", F.shiftright("source_row", series.BLOCK_BITS))
-    border = series.borders(rows, keys, order.packed((F.col("source_row"), 19), (F.col("record_id"), 19)), {"before": F.col("ts_utc")}, chunk=["block"])
+    border = series.borders(rows, keys, order.packed((F.col("source_row"), 18), (F.col("record_id"), 18)), {"before": F.col("ts_utc")}, chunk=["block"])
     inside = F.lag("ts_utc").over(W.partitionBy(*keys, "block").orderBy("source_row", "record_id"))
     rows = rows.withColumn("inside", inside).join(border, [*keys, "block"]).withColumn("previous", F.coalesce("inside", "before"))
     rows = rows.filter(F.col("ts_utc") < F.col("previous"))

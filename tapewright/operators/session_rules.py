@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..session import small
+from ..session import settle
 from .expected import absent_days
 from .findings import findings
 from .scope import SLICE, Scope, outside_roll
@@ -72,12 +72,12 @@ def missing_timestamp(scope: Scope) -> DataFrame:
     """Runs of open slots without a record, found between neighbours, not on a generated grid.
 
     Every present minute becomes its number among the session's open slots; a jump in that
-    number is a run. Neighbours are compared inside a chunk of the series; then the first and last
-    number of each chunk, with a sentinel at both ends of the session, are compared in turn.
+    number is a run. Neighbours are compared inside a chunk of the series, in one scan, of which only jumps and the first
+    and last number of each chunk are kept; those, with a sentinel at both ends of the session, are compared in turn.
     """
     require_calendar(scope)
     minimum = scope.params("CMP.MISSING_TIMESTAMP")["min_run_slots"]
-    sessions = judged_sessions(scope).filter("session_open_utc is not null").select(
+    sessions = scope.judged.filter("session_open_utc is not null").select(
         *SESSION, "session_open_utc", "session_close_utc", "halts_utc")
     key = ["contract_id", "frequency", "trade_date"]
     slot = F.col("slot")
@@ -87,16 +87,21 @@ def missing_timestamp(scope: Scope) -> DataFrame:
     def number(instant: Column) -> Column:
         return F.floor((F.unix_seconds(instant) - F.unix_seconds("session_open_utc")) / 60) - _halted_before(instant)
 
-    held = scope.slots.join(small(sessions), SESSION).filter(inside).select(*key, *series.CHUNK, number(slot).alias("no"))
-    spans = held.groupBy(*key, *series.CHUNK).agg(F.min("no").alias("lowest"), F.max("no").alias("no")).select(*key, "lowest", "no")
+    held = scope.slots.join(sessions, SESSION).filter(inside).select(*key, *series.CHUNK, number(slot).alias("no"))
+    along = W.partitionBy(*key, *series.CHUNK).orderBy("no")
+    least = F.greatest(F.lit(1), F.lit(minimum))
+    kept = settle(held.withColumns({"before": F.lag("no").over(along), "after": F.lead("no").over(along)}).filter(
+        F.col("before").isNull() | F.col("after").isNull() | (F.col("no") - F.col("before") - 1 >= least)).select(
+        *key, "before", "after", "no"), "slot-ends")
     ends = sessions.select(*key, F.explode(F.array(
-        F.lit(-1).cast("bigint"), number(F.col("session_close_utc")))).alias("no")).select(*key, F.col("no").alias("lowest"), "no")
-    at = W.partitionBy(*key)
-    inner = held.withColumn("before", F.lag("no").over(W.partitionBy(*key, *series.CHUNK).orderBy("no"))).select(*key, "before", "no")
-    outer = spans.unionByName(ends).withColumn("before", F.lag("no").over(at.orderBy("lowest", "no"))).select(
-        *key, "before", F.col("lowest").alias("no"))
+        F.struct(F.lit(-1).cast("bigint").alias("no"), F.lit(False).alias("meets")),
+        F.struct(number(F.col("session_close_utc")).alias("no"), F.lit(True).alias("meets")))).alias("end")).select(*key, "end.*")
+    # the first number of a chunk and the end of a session meet the last number before them
+    edges = kept.filter("before is null or after is null").select(*key, "no", F.col("before").isNull().alias("meets")).unionByName(ends)
+    outer = edges.withColumn("before", F.lag("no").over(W.partitionBy(*key).orderBy("no", "meets"))).filter("meets").select(*key, "before", "no")
+    inner = kept.filter("before is not null").select(*key, "before", "no")
     gaps = inner.unionByName(outer).withColumn("slots", F.col("no") - F.col("before") - 1).filter(
-        F.col("slots") >= F.greatest(F.lit(1), F.lit(minimum))).join(sessions, key)
+        F.col("slots") >= least).join(sessions, key)
     return findings(gaps, "CMP.MISSING_TIMESTAMP", {"missing_slots": F.col("slots")},
                     start=_slot_instant(F.col("before") + 1), end=_slot_instant(F.col("no") - 1),
                     affected=F.col("slots"))
@@ -108,7 +113,7 @@ def partial_session(scope: Scope) -> DataFrame:
     counted = F.count("*") if scope.hot_days is None else F.count_distinct("slot")
     slots = scope.slots.groupBy(*SESSION).agg(counted.alias("slots"))
     share = F.col("slots") / F.col("expected_slots_1m")
-    short = judged_sessions(scope).filter("expected_slots_1m > 0").join(slots, SESSION).filter(share < threshold)
+    short = scope.judged.filter("expected_slots_1m > 0").join(slots, SESSION).filter(share < threshold)
     return findings(short, "CMP.PARTIAL_SESSION", {
         "window_basis": F.col("basis"), "completeness_pct": F.round(share, 6), "threshold": F.lit(threshold),
         "actual_slots": F.col("slots"), "expected_slots": F.col("expected_slots_1m"),
