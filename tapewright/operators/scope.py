@@ -20,7 +20,10 @@ LAID_OUT = [
 
 @dataclass
 class Tables:
-    """Input tables of a pass; ``actions`` and ``bars`` come from earlier passes, if any."""
+    """Input tables of a pass; ``actions`` and ``bars`` come from earlier passes, if any.
+
+    ``products`` and ``ticks``, in the columns of ``product_dim`` and ``tick_dim``, replace the built-in dimensions.
+    """
 
     records: DataFrame
     contracts: DataFrame
@@ -28,6 +31,8 @@ class Tables:
     calendar: DataFrame | None = None
     actions: DataFrame | None = None
     bars: DataFrame | None = None
+    products: DataFrame | None = None
+    ticks: DataFrame | None = None
 
 
 def scope_records(
@@ -177,9 +182,16 @@ class Scope:
         """Settled calendar, hinted for broadcast when its count allows."""
         calendar = self.tables.calendar
         if calendar is None:
-            calendar = calendar_for_loaded(self.sessions, self.tables.contracts)
+            calendar = calendar_for_loaded(self.sessions, self.tables.contracts, self.tables.products)
         return small(settle(calendar, "calendar"))
 
+    @shared_once
+    def judged(self) -> DataFrame:
+        """Held minute sessions of known grid, one row each, written once."""
+        from .session_rules import judged_sessions
+
+        return small(settle(judged_sessions(self), "judged"))
+
     @shared_once
     def open_days(self) -> DataFrame:
         """Ranked open days of every root, one row each: a calendar's length."""
@@ -228,12 +240,13 @@ class Scope:
     @shared_once
     def ticks(self) -> DataFrame:
         """Tick per field side by side: one row per root and grain."""
-        lattice = tick_dim(self.spark).filter("not exempt and tick_size > 0")
+        given = self.tables.ticks
+        lattice = (tick_dim(self.spark, self.tables.products) if given is None else given).filter("not exempt and tick_size > 0")
         wide = lattice.groupBy("root", "frequency").agg(*[
             F.max(F.when(F.col("field") == name, F.col("tick_size"))).alias(f"tick_{name}")
             for name in ("open", "high", "low", "close")
         ])
-        return F.broadcast(wide)
+        return F.broadcast(wide) if given is None and self.tables.products is None else small(wide)
 
     @shared_once
     def refusal(self) -> str | None:

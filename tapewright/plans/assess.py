@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import ENGINE_RULES, MIN_RECORDS, RULES
+from ..catalogue import ENGINE_RULES, MIN_RECORDS, RULES, RULES_BY_ID, SEVERITY_RANK
 from ..operators.cleaning import cleaning_actions
 from ..operators.findings import FINDING_SCHEMA
 from ..operators.reconcile import RECONCILIATION_RULES
@@ -22,13 +22,28 @@ from ..session import literal_table, scratch_path, together
 SET_RULES = {**SERIES_RULES, **SESSION_RULES, **RECONCILIATION_RULES}
 
 
+def graded(found: DataFrame, scope: Scope, rule_ids: list[str]) -> DataFrame:
+    """Findings under the severities a deployment has set: ``severity`` among a rule's overrides replaces the declared one."""
+    for rule_id in rule_ids:
+        wanted = scope.params(rule_id).get("severity")
+        declared = RULES_BY_ID[rule_id].severity
+        if wanted is not None and wanted != declared:
+            if wanted not in SEVERITY_RANK:
+                raise ValueError(f"unknown severity {wanted!r} of {rule_id}")
+            own = (F.col("rule_id") == rule_id) & (F.col("severity") == declared)
+            found = found.withColumn("severity", F.when(own, wanted).otherwise(F.col("severity")))
+    return found
+
+
 def rule_findings(scope: Scope, rule_id: str) -> DataFrame:
     """Findings of one rule; raises RuleRefused when an input it needs is absent."""
     if rule_id in RECORD_RULES:
-        return record_findings(scope, [rule_id])
-    if rule_id in OUTLIER_RULES:
-        return outliers(scope, [rule_id])
-    return SET_RULES[rule_id](scope)
+        found = record_findings(scope, [rule_id])
+    elif rule_id in OUTLIER_RULES:
+        found = outliers(scope, [rule_id])
+    else:
+        found = SET_RULES[rule_id](scope)
+    return graded(found, scope, [rule_id])
 
 
 def run_rules(
@@ -49,10 +64,10 @@ def run_rules(
     for name, family, evaluate in (("outlier", OUTLIER_RULES, outliers), ("record", RECORD_RULES, record_findings)):
         members = [rule for rule in wanted if rule in family]
         if members:
-            builds[name] = lambda evaluate=evaluate, members=members: evaluate(scope, members)
+            builds[name] = lambda evaluate=evaluate, members=members: graded(evaluate(scope, members), scope, members)
     for rule in wanted:
         if rule in SET_RULES:
-            builds[rule] = lambda rule=rule: SET_RULES[rule](scope)
+            builds[rule] = lambda rule=rule: graded(SET_RULES[rule](scope), scope, [rule])
     path = scratch_path(scope.spark, "findings")
     stamp = {"run_id": F.lit(run_id), "status": F.lit("open"), "detected_at": F.lit(detected_at).cast("timestamp")}
 

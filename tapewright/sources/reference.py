@@ -55,11 +55,14 @@ def product_dim(spark: SparkSession) -> DataFrame:
     return table.withColumn("halts", halts).drop("halt_text")
 
 
-def tick_dim(spark: SparkSession) -> DataFrame:
-    """Tick per root, frequency and field; the daily close is a settlement and is exempt."""
+def tick_dim(spark: SparkSession, products: DataFrame | None = None) -> DataFrame:
+    """Tick per root, frequency and field; the daily close is a settlement and is exempt.
+
+    A caller with ticks of its own hands a table of these columns to the scope instead.
+    """
     exempt = (F.col("frequency") == "daily") & (F.col("field") == "close")
     fields = F.array(*[F.lit(name) for name in ("open", "high", "low", "close")])
-    return product_dim(spark).select(
+    return (product_dim(spark) if products is None else products).select(
         "root", "tick_size", F.explode(F.array(F.lit("minute"), F.lit("daily"))).alias("frequency")
     ).withColumn("field", F.explode(fields)).select(
         "root", "frequency", "field", F.when(~exempt, F.col("tick_size")).alias("tick_size"),
@@ -83,22 +86,30 @@ CONTRACT_COLUMNS = [
 ]
 
 
-def _with_product(contracts: DataFrame) -> DataFrame:
-    product = product_dim(contracts.sparkSession).select(
+def known_roots(products: DataFrame | None = None) -> list[str]:
+    """Roots that symbols may begin with: those of a product table, a dimension, or the eight built in."""
+    return KNOWN_ROOTS if products is None else sorted(r["root"] for r in products.select("root").distinct().collect())
+
+
+def _with_product(contracts: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    product = (product_dim(contracts.sparkSession) if products is None else products).select(
         "root", F.col("exchange").alias("p_exchange"), "timezone", "tick_size", "multiplier"
     )
     return contracts.join(F.broadcast(product), "root", "left")
 
 
-def contracts_from_symbols(symbols: DataFrame) -> DataFrame:
-    """Dimension rows for bare ``contract_id`` values; an unparsed id is its own root."""
-    parts = parse_symbol(F.col("contract_id"), KNOWN_ROOTS)
+def contracts_from_symbols(symbols: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Dimension rows for bare ``contract_id`` values; an unparsed id is its own root.
+
+    ``products``, in the columns of ``product_dim``, replaces the built-in products.
+    """
+    parts = parse_symbol(F.col("contract_id"), known_roots(products))
     rows = symbols.select("contract_id").distinct().select(
         "contract_id", *[c.alias(n) for n, c in parts.items()]
     )
     rows = rows.withColumn("root", F.coalesce("root", "contract_id"))
     none = F.lit(None).cast("date")
-    return _with_product(rows).select(
+    return _with_product(rows, products).select(
         "contract_id", "root", "month_code", "contract_month", F.col("p_exchange").alias("exchange"),
         "timezone", "tick_size", "multiplier", none.alias("first_trade_date"),
         none.alias("last_trade_date"), "parse_confidence", F.lit(True).alias("dates_inferred"),
@@ -136,9 +147,9 @@ def contracts_from_manifest(manifest: DataFrame) -> DataFrame:
     return _with_product(merged).withColumn("dates_inferred", F.lit(True)).select(*CONTRACT_COLUMNS)
 
 
-def session_calendar(spans: DataFrame) -> DataFrame:
-    """Weekday sessions of each ``root`` from ``start_date`` to ``end_date``."""
-    products = product_dim(spans.sparkSession).select(
+def session_calendar(spans: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Weekday sessions of each ``root`` from ``start_date`` to ``end_date``; ``products`` replaces the built-in ones."""
+    products = (product_dim(spans.sparkSession) if products is None else products).select(
         "root", "exchange", "timezone", "open_sec", "close_sec", "slots_1m", "halts"
     )
     days = (
@@ -172,7 +183,7 @@ def session_calendar(spans: DataFrame) -> DataFrame:
     )
 
 
-def calendar_for_loaded(records: DataFrame, contracts: DataFrame) -> DataFrame:
+def calendar_for_loaded(records: DataFrame, contracts: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Calendar over every root's loaded dates, padded five days on both sides."""
     per_contract = records.groupBy("contract_id").agg(
         F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")
@@ -185,7 +196,7 @@ def calendar_for_loaded(records: DataFrame, contracts: DataFrame) -> DataFrame:
             F.date_add(F.max("hi"), CALENDAR_PAD_DAYS).alias("end_date"),
         )
     )
-    return session_calendar(spans)
+    return session_calendar(spans, products)
 
 
 def read_calendar(calendar: DataFrame, root: str | None = None, start=None, end=None) -> DataFrame:
