@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from checks.env import OVERRIDES, Env  # noqa: E402
-from checks.queries import _drop, _read_lines  # noqa: E402
+from checks.queries import _drop  # noqa: E402
 from tapewright.operators import bars as B  # noqa: E402
 from tapewright.operators import compare as X  # noqa: E402
 from tapewright.operators import patterns as P  # noqa: E402
@@ -30,8 +30,9 @@ from tapewright.operators.scope import build_scope  # noqa: E402
 from tapewright.operators.scoring import all_metrics, dimension_scores, overall_score  # noqa: E402
 from tapewright.operators.vwap import vwap_15m  # noqa: E402
 from tapewright.plans.assess import run_rules  # noqa: E402
+from tapewright.plans.load import load_lines  # noqa: E402
 from tapewright.session import configure, settle  # noqa: E402
-from tapewright.sources import ingest  # noqa: E402
+from tapewright.sources.readers import text_lines  # noqa: E402
 
 
 def run(df: DataFrame) -> None:
@@ -53,10 +54,10 @@ def stages(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         return out
 
     def load() -> None:
-        lines = _read_lines(e)
-        rows = ingest.to_targets(lines, ingest.resolve_columns(lines.columns))
-        settle(ingest.type_records(rows, F.lit("b"), "minute"), "bench-records")
-        settle(ingest.route_rejects(rows, F.lit("b")), "bench-rejects")
+        names = ["contract", "timestamp", "open", "high", "low", "close", "volume"]
+        loaded = load_lines([text_lines(spark, _drop(e), names, header=False)], "b", "minute")
+        run(loaded.records)
+        run(loaded.rejects)
 
     timed("load_csv", load)
     scope = build_scope(spark, e.tables(records, bars=e.first_bars), overrides=OVERRIDES)
@@ -81,7 +82,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     configure(spark)

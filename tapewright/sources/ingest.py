@@ -70,10 +70,13 @@ class Layout:
         return next((s for s, t in self.mapping.items() if t == target), None)
 
 
-def resolve_columns(columns: list[str]) -> Layout:
-    """Vendor profile when its columns are present, else aliases by name, else a refusal."""
+def resolve_columns(columns: list[str], profiles: dict[str, dict] | None = None) -> Layout:
+    """Vendor profile when its columns are present, else aliases by name, else a refusal.
+
+    ``profiles``, in the form of ``PROFILES``, is looked through before the built-in ones.
+    """
     data = [c for c in columns if c not in (BASE, BROKEN, FILE, ROW)]
-    for name, profile in PROFILES.items():
+    for name, profile in {**(profiles or {}), **{k: v for k, v in PROFILES.items() if k not in (profiles or {})}}.items():
         if set(profile["needs"]) <= set(data):
             mapping = {s: t for s, t in profile["columns"].items() if s in data}
             return Layout(name, mapping, [c for c in data if c not in mapping])
@@ -141,8 +144,14 @@ def reject_reason() -> Column:
 
 def route_rejects(rows: DataFrame, batch_id: Column) -> DataFrame:
     """Rows that cannot load, with reason, detail and verbatim payload."""
+    return rows.withColumn("reason_code", reject_reason()).filter("reason_code is not null").select(
+        batch_id.alias("batch_id"), ROW, "reason_code", reject_detail().alias("reason_detail"), "raw_payload")
+
+
+def reject_detail() -> Column:
+    """What is wrong with a row, in words; reads its ``reason_code``."""
     # fixed values: detail texts
-    detail = (
+    return (
         F.when(F.col("broken").isNotNull(), "row does not split into the expected field count")
         .when(F.col("reason_code") == "STR.UNPARSEABLE_ROW", "no contract identifier on the row")
         .when(F.col("reason_code") == "STR.BAD_TIMESTAMP", F.concat(
@@ -150,8 +159,6 @@ def route_rejects(rows: DataFrame, batch_id: Column) -> DataFrame:
         .when(F.col("reason_code") == "STR.NON_NUMERIC_PRICE", "a price field is present but not numeric")
         .when(F.col("reason_code") == "STR.NON_NUMERIC_VOLUME", "volume is present but not numeric")
     )
-    return rows.withColumn("reason_code", reject_reason()).filter("reason_code is not null").select(
-        batch_id.alias("batch_id"), ROW, "reason_code", detail.alias("reason_detail"), "raw_payload")
 
 
 def type_records(
@@ -167,21 +174,25 @@ def type_records(
     if isinstance(first_id, int):
         rows = rows if BASE in rows.columns else with_file_base(rows)
         first_id = F.lit(first_id) + F.col(BASE)
+    return rows.filter(reject_reason().isNull()).select(
+        (first_id + F.col(ROW)).cast("bigint").alias("record_id"), batch_id.alias("batch_id"), ROW,
+        *typed_columns(frequency, timezone, ingested_at))
+
+
+def typed_columns(frequency: str, timezone: str = clock.CHICAGO, ingested_at: Column | None = None) -> list[Column]:
+    """The fields of a record from its text, but for its ids."""
     ts = wall_clock()
     amount = _number("volume")
     root = parse_symbol(F.col("contract_id"), KNOWN_ROOTS)["root"]
     day = F.to_date(ts) if frequency == "daily" else clock.trade_date(ts, open_second(root))
-    good = rows.filter(reject_reason().isNull())
-    return good.select(
-        (first_id + F.col(ROW)).cast("bigint").alias("record_id"),
-        batch_id.alias("batch_id"), ROW, "contract_id",
-        F.lit(frequency).alias("frequency"), "ts_source", ts.alias("ts_exchange"),
+    return [
+        F.col("contract_id"), F.lit(frequency).alias("frequency"), F.col("ts_source"), ts.alias("ts_exchange"),
         F.to_utc_timestamp(ts, timezone).alias("ts_utc"), day.alias("trade_date"),
         *[_number(name).alias(name) for name in PRICES],
         _whole_number("volume").alias("volume"),
         F.when(amount != F.floor(amount), F.col("volume")).alias("volume_source"),
         _whole_number("open_interest").alias("open_interest"),
-        (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"))
+        (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at")]
 
 
 def batch_summary(

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 STALE_NAMES = ["README.md", "dataset.json"]
 #: Bytes read at once.
 PIECE = 8 << 20
+HEAD = 1 << 14
 #: Tasks that share the files, each about the same number of bytes.
 TASKS_PER_CORE = 4
 #: Schemes that tasks can open themselves, as Arrow names them; others go through Spark's own reader, up to 2 GB a file.
@@ -71,6 +72,37 @@ def _by_address(files: DataFrame, piece: int) -> DataFrame:
         "path", "filename", "file_bytes", "file_hash", F.col("head").cast("string").alias("magic"))
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, header)``: the first line of every file below ``path``, of which a task reads no more than it needs."""
+    schemes, piece = dict(OPENED), HEAD
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re as patterns
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for frame in frames:
+            lines = []
+            for address in frame["path"]:
+                scheme, rest = patterns.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", address).groups()
+                scheme = schemes[(scheme or "").lower()]
+                if scheme == "file":
+                    store, where = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    store, where = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+                held = b""
+                with store.open_input_stream(where) as stream:
+                    while b"\n" not in held and (part := stream.read(piece)):
+                        held += part
+                lines.append(held.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace"))
+            yield frame.assign(header=lines)[["path", "header"]]
+
+    files = listed(spark, path)
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return dealt(files, tasks).select("path").mapInPandas(read, "path string, header string")
+
+
 def hashed(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
     """``(path, filename, file_bytes, file_hash, magic)`` of every file below ``path``."""
     files = listed(spark, path)

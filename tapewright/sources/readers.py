@@ -25,7 +25,7 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return with_source_row(text_lines(spark, path, names, header=True))
 
 
-def text_lines(spark: SparkSession, path: str, names: list[str], header: bool) -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str], names: list[str], header: bool) -> DataFrame:
     """CSV cells as text under agreed names, with the split each line was read from.
 
     Pruning is off in the parser: with it, a line is only as wide as the columns a query asks
@@ -64,13 +64,17 @@ def with_source_row(df: DataFrame) -> DataFrame:
     the rows of the file's earlier splits; only the per-split counts are ever put in order.
     """
     marked = df.withColumn("_id", F.monotonically_increasing_id())
+    return marked.join(small(split_offsets(marked)), [FILE, "_block"]).withColumn(
+        ROW, F.col("_id") - F.col("_first") + F.col("_offset") + 1
+    ).drop("_id", "_first", "_offset", "_block")
+
+
+def split_offsets(marked: DataFrame) -> DataFrame:
+    """Per split of rows ``(file, _block, _id)``: its first id, the rows of the file's earlier splits and of earlier files."""
     splits = marked.groupBy(FILE, "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(FILE).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     overall = W.orderBy(FILE, "_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select(
+    return splits.select(
         FILE, "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.coalesce(F.sum("_n").over(overall), F.lit(0)).alias("_before")
     ).withColumn(BASE, F.col("_before") - F.col("_offset")).drop("_before")
-    return marked.join(small(offsets), [FILE, "_block"]).withColumn(
-        ROW, F.col("_id") - F.col("_first") + F.col("_offset") + 1
-    ).drop("_id", "_first", "_offset", "_block")
