@@ -529,7 +529,7 @@ _pattern = f"""pattern_id, rule_id, dimension, bucket, {r6('share_of_findings')}
 sql("PAT-03", f"SELECT {_pattern} FROM q_patterns")
 _proposed = """
 SELECT * FROM (
-  SELECT pattern_id, CASE
+  SELECT *, CASE
     WHEN rule_id = 'CMP.MISSING_TIMESTAMP' AND dimension = 'hour_of_day' THEN {p: 1, k: 'calendar', o: 'add_halt_window',
       t: 'ref.session_calendar', title: 'Suppress the ' || substr(bucket, 1, 5) || ':00-' || substr(bucket, 7, 5) || ':00 break for this root'}
     WHEN rule_id = 'CMP.SESSION_MISSING' AND dimension = 'trade_date' AND EXISTS (SELECT 1 FROM (SELECT contract_id, max(hi) AS last
@@ -548,18 +548,37 @@ SELECT * FROM (
   FROM q_patterns) WHERE s IS NOT NULL"""
 relation("q_proposed", _proposed)
 relation("q_even_proposed", _proposed.replace("q_patterns", "q_even_patterns"))
+_params = """CASE s.o
+    WHEN 'add_halt_window' THEN '{"start_local":"' || substr(bucket, 1, 5) || ':00","end_local":"' || substr(bucket, 7, 5) || ':00"}'
+    WHEN 'set_param' THEN '{"rule_id":"ROL.THIN_NEAR_EXPIRY","param":"days","at_least":10}'
+    WHEN 'set_dedupe_policy' THEN '{"rule_id":"UNQ.KEY_CONFLICT","source":"' || bucket || '","tie_break":"lowest_source_row"}'
+    WHEN 'mark_settlement_bearing' THEN '{"frequency":"daily","field":"close","exempt":true}'
+    WHEN 'correct_tick_reference' THEN '{"frequency":"' || bucket || '"}'
+    WHEN 'set_close_convention' THEN '{"close_convention":"settlement","bucket":"' || bucket || '"}'
+    WHEN 'suppress_on_dates' THEN '{"rule_id":"REC.VOLUME_SHORTFALL","suppress_dates":["' || bucket || '"]}' END"""
+_rationale = """CASE s.o
+    WHEN 'add_halt_window' THEN 'Slots that are absent in the same hour day after day point to a break in trading, not to lost records.'
+    WHEN 'set_param' THEN 'Sessions that are absent just before a contract''s last one belong to its roll.'
+    WHEN 'set_dedupe_policy' THEN 'One file brings the conflicting rows, so one choice settles them all.'
+    WHEN 'mark_settlement_bearing' THEN 'A daily close may be a settlement price, which need not lie on a tick.'
+    WHEN 'correct_tick_reference' THEN 'Prices of one grain alone miss the tick, so its reference is in doubt before they are.'
+    WHEN 'set_close_convention' THEN 'Closes of one grain alone differ, and they sit at the settlement mark.'
+    WHEN 'suppress_on_dates' THEN 'On this date the tape is short of volume across sessions, which trading near a roll explains.' END || ' Seen: ' || support || ' findings of ' || rule_id ||
+  ' on ' || distinct_days || ' days in ' || bucket || ', ' || CAST(floor(share_of_findings * 100 + 1e-9) AS BIGINT) || '% of them where ' ||
+  CAST(floor(share_of_records * 100 + 1e-9) AS BIGINT) || '% of the records lie.'"""
 for _i in range(1, 7):
     sql(f"SUG-0{_i}", f"""
-SELECT pattern_id, {n('s.p')} AS priority, s.k AS kind, s.o AS operation, s.t AS target, s.title AS title
+SELECT pattern_id, {n('s.p')} AS priority, s.k AS kind, s.o AS operation, s.t AS target, s.title AS title,
+  {_params} AS params, {_rationale} AS rationale
 FROM {'q_even_proposed' if _i == 4 else 'q_proposed'} WHERE s.p = {_i}""")
 sql("SUG-07", f"""
 SELECT 's_' || substr(sha1(pattern_id || '|' || s.o), 1, 16) AS suggestion_id, pattern_id AS from_pattern, s.k AS kind,
-  s.title AS title, s.t AS target, s.o AS operation, rule_id, bucket, support AS findings_suppressed, distinct_days AS sessions,
+  s.title AS title, {_rationale} AS rationale, s.t AS target, s.o AS operation, {_params} AS params, rule_id, bucket, support AS findings_suppressed, distinct_days AS sessions,
   {r6('lift')} AS lift, {r6('share_of_findings')} AS share_of_findings, {r6('share_of_records')} AS share_of_records,
   {n('back')} AS records_recovered, if(declared = 'info', 'none: an info rule enters no score', NULL) AS score_impact,
   {r6("if(declared <> 'info' AND q_rules.dimension = 'completeness', round(100.0 * back / total + 1e-9, 2), NULL)")} AS completeness_delta_pct,
   {r6('round(0.5 + 0.5 * (least(1.0, lift / 20.0) + least(1.0, support / 200.0)) / 2 + 1e-9, 2)')} AS confidence
-FROM (SELECT q.*, s, round_even(rows * share_of_findings, 0) AS back FROM q_patterns q JOIN q_proposed USING (pattern_id)
+FROM (SELECT q.*, s, round_even(rows * share_of_findings, 0) AS back FROM q_patterns q JOIN (SELECT pattern_id, s FROM q_proposed) USING (pattern_id)
       JOIN (SELECT rule_id, sum(affected_rows) AS rows FROM q_f GROUP BY 1) USING (rule_id))
 JOIN q_rules USING (rule_id), (SELECT sum(expected) AS total FROM q_metrics WHERE dimension = 'completeness')""")
 

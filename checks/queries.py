@@ -23,6 +23,7 @@ from tapewright.operators import scoring as SC
 from tapewright.operators import suggestions as SG
 from tapewright.operators.vwap import vwap_15m
 from tapewright.plans.assess import rule_counts, rule_findings, run_rules
+from tapewright.plans.load import load_lines
 from tapewright.session import scratch_path, settle
 from tapewright.sources import inference, ingest, inject, landing, purge, readers, reference, sinks
 
@@ -490,12 +491,12 @@ SUGGESTION_GENERATORS: dict[str, Callable[[Env], DataFrame]] = {
     "SUG-06": lambda e: SG.shortfall_on_roll(_rooted(e)),
 }
 for _name, _fn in SUGGESTION_GENERATORS.items():
-    query(_name)(lambda e, fn=_fn: fn(e).drop("params"))
+    query(_name)(lambda e, fn=_fn: fn(e))
 
 
 @query("SUG-07")
 def _(e: Env) -> DataFrame:
-    return SG.suggest(e.patterns, e.findings, e.metrics, e.facts, e.scope.calendar).drop("params")
+    return SG.suggest(e.patterns, e.findings, e.metrics, e.facts, e.scope.calendar)
 
 
 # ---- reports --------------------------------------------------------------------------------
@@ -773,11 +774,11 @@ def _(e: Env) -> DataFrame:
 
 
 def _loaded(e: Env) -> tuple[DataFrame, DataFrame]:
-    lines = _read_lines(e)
-    rows = ingest.to_targets(lines, ingest.resolve_columns(lines.columns))
-    batch = F.lit("b-load")
-    return (ingest.type_records(rows, batch, "minute", ingested_at=F.lit("2024-02-01").cast("timestamp")),
-            ingest.route_rejects(rows, batch))
+    """The drop loaded in one scan under the header it was agreed to have."""
+    if not hasattr(e, "_load"):
+        names = ["contract", "timestamp", "open", "high", "low", "close", "volume"]
+        e._load = load_lines([readers.text_lines(e.spark, _drop(e), names, header=False)], "b-load", "minute", ingested_at="2024-02-01")
+    return e._load.records, e._load.rejects
 
 
 @query("SRC-10")
@@ -797,7 +798,7 @@ def _(e: Env) -> DataFrame:
 @query("SRC-12")
 def _(e: Env) -> DataFrame:
     records, rejects = _loaded(e)
-    batches = e.batches.limit(1).select(F.lit("b-load").alias("batch_id"), F.lit("running").alias("status"))
+    batches = e._load.batch.select("batch_id", F.lit("running").alias("status"))
     return ingest.batch_summary(records, rejects, batches)
 
 
@@ -903,7 +904,7 @@ def _(e: Env) -> DataFrame:
     corn = bars.filter("contract_id = 'ZCH24' and basis = 'clean'")
     sinks.write_replacing(corn.filter("source = 'derived'").withColumn("volume", F.col("volume") + 1), path, keys, corn.select(*keys))
     sinks.write_replacing(bars.limit(0), path, keys, bars.filter("contract_id = 'ESH24' and basis = 'clean'").select(*keys))
-    return e.spark.read.parquet(path).select(*cols)
+    return sinks.read_replaced(e.spark, path).select(*cols)
 
 
 @query("SNK-03")

@@ -249,3 +249,51 @@ def test_replacing_write_replaces_its_scope_and_nothing_else(spark, tmp_path):
     assert write(df.limit(0), df.select("d").filter("d = 2").distinct()) == [("a", 1, 10)]
     with pytest.raises(ValueError):
         write(df, df.filter("k = 'a'").select("k"))
+
+
+class TestLoad:
+    """One call from files to records, rejects and a batch row."""
+
+    def test_two_layouts_in_one_folder(self, spark, tmp_path):
+        from tapewright.plans.load import load_csv
+
+        (tmp_path / "a.csv").write_text("contract,timestamp,open,high,low,close,volume\nESZ25,2025-09-15 09:00:00,1,2,0.5,1.5,10\n"
+                                        "ESZ25,never,1,2,0.5,1.5,10\nshort,row\nESZ25,2025-09-15 09:01:00,1,2,0.5,x,10\n")
+        (tmp_path / "b.csv").write_text("close,low,high,open,volume,symbol,datetime\r\n7,5,9,6,3.5,ZCZ25,2025-09-15 10:00:00\r\n")
+        loaded = load_csv(spark, str(tmp_path), "b7", "minute", ingested_at="2025-10-01", first_id=100)
+        rows = {r.contract_id: r for r in loaded.records.collect()}
+        assert (rows["ESZ25"].open, rows["ESZ25"].close, rows["ESZ25"].source_row) == (1.0, 1.5, 1)
+        assert (rows["ZCZ25"].open, rows["ZCZ25"].high, rows["ZCZ25"].close, rows["ZCZ25"].volume, rows["ZCZ25"].volume_source) == (6.0, 9.0, 7.0, 4, "3.5")
+        assert sorted(r.record_id for r in rows.values()) == [101, 105]
+        assert sorted((r.source_row, r.reason_code) for r in loaded.rejects.collect()) == [
+            (2, "STR.BAD_TIMESTAMP"), (3, "STR.UNPARSEABLE_ROW"), (4, "STR.NON_NUMERIC_PRICE")]
+        batch = loaded.batch.first()
+        assert (batch.rows_read, batch.rows_accepted, batch.rows_rejected, batch.status) == (5, 2, 3, "partial") and len(loaded.layouts) == 2
+
+    def test_equals_the_single_steps(self, spark, tmp_path):
+        from tapewright.plans.load import load_csv
+
+        lines = [f"ESZ25,2025-09-15 {9 + i // 60:02d}:{i % 60:02d}:00,1,2,0.5,{'x' if i % 7 == 0 else 1 + i},{i}" for i in range(200)]
+        for k in range(3):
+            (tmp_path / f"f{k}.csv").write_text("contract,timestamp,open,high,low,close,volume\n" + "\n".join(lines[k * 60:k * 60 + 60 + k]) + "\n")
+        loaded = load_csv(spark, str(tmp_path), "b1", "minute", ingested_at="2025-10-01")
+        text = readers.read_csv_text(spark, str(tmp_path))
+        rows = ingest.to_targets(text, ingest.resolve_columns(text.columns))
+        stamp = F.lit("2025-10-01").cast("timestamp")
+        plain = ingest.type_records(rows, F.lit("b1"), "minute", ingested_at=stamp)
+        assert sorted(map(str, loaded.records.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        bad = ingest.route_rejects(rows, F.lit("b1"))
+        assert sorted(map(str, loaded.rejects.select(*bad.columns).collect())) == sorted(map(str, bad.collect()))
+
+    def test_own_profile_and_refusals(self, spark, tmp_path):
+        from tapewright.plans.load import load_csv
+
+        (tmp_path / "a.csv").write_text("sym;when\n".replace(";", ",") + "ESZ25,2025-09-15\n")
+        with pytest.raises(ingest.MissingColumns):
+            load_csv(spark, str(tmp_path), "b", "daily")
+        mine = {"own": {"needs": ["sym", "when"], "columns": {"sym": "contract_id", "when": "ts"}, "session_boundary": "own"}}
+        loaded = load_csv(spark, str(tmp_path), "b", "daily", profiles=mine)
+        assert loaded.layouts[0].profile == "own" and loaded.records.first().contract_id == "ESZ25"
+        (tmp_path / "none").mkdir()
+        with pytest.raises(FileNotFoundError):
+            load_csv(spark, str(tmp_path / "none"), "b", "daily")

@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 
 import tapewright.functions.stats as stats
 import tapewright.operators.vwap as vwap_module
+from tapewright.catalogue import RULES_BY_ID
 from tapewright.functions import order, series
 from tapewright.operators.bars import build_bars
 from tapewright.operators.expected import absent_days
 from tapewright.operators.gate import disjoint
 from tapewright.operators.reconcile import session_frame
+from tapewright.operators.scope import build_scope
+from tapewright.operators.scoring import worklist
 from tapewright.operators.series_rules import SERIES_RULES
 from tapewright.operators.session_rules import missing_timestamp
 from tapewright.operators.vwap import vwap_15m
+from tapewright.plans.assess import run_rules
 from tapewright.session import settle
-from tapewright.sources import landing
+from tapewright.sources import landing, sinks
+from tapewright.sources.reference import contracts_from_symbols, product_dim, tick_dim
 
-from .helpers import fire, minutes, records, scope
+from .helpers import fire, minutes, records, scope, tables
 
 
 def plan(df) -> str:
@@ -37,7 +42,7 @@ class TestOrder:
     def test_keys_sort_like_structs(self, spark):
         rng = random.Random(2)
         day = dt.datetime(2025, 9, 15, tzinfo=dt.timezone.utc)
-        rows = [(i, day + dt.timedelta(microseconds=rng.choice([-1, 0, 3, 86_400_000_000, -10**11])), rng.choice([None, 0, 7, 10**9]), day.date()) for i in range(200)]
+        rows = [(i, day + dt.timedelta(microseconds=rng.choice([-1, 0, 3, 86_400_000_000, -10**11])), rng.choice([None, 0, 7, 9 * 10**9]), day.date()) for i in range(200)]
         df = spark.createDataFrame(rows, "record_id bigint, ts_utc timestamp, source_row bigint, trade_date date")
         keyed = df.withColumn("key", order.in_session())
         by_key = [r.record_id for r in keyed.orderBy("key").collect()]
@@ -212,7 +217,7 @@ class TestMedians:
         values = [0.0, -0.0, tiny, -tiny, 2.0**-1022, 2.0**-1022 - tiny, 1.0, 1.0 - 2**-53, 1.0 + 2**-52, 1.7976931348623157e308, -1.7976931348623157e308, 2.0, 0.5]
         values += [rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-1070, 1020) for _ in range(3000)] + [2.0**k for k in range(-1074, 1024, 7)]
         values += [math.nextafter(2.0**k, 0) for k in range(-1000, 1024, 13)] + [math.nextafter(2.0**k, math.inf) for k in range(-1000, 1020, 13)]
-        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", stats.image(F.col("v")).alias("i")).collect()
+        rows = stats.with_image(spark.createDataFrame([(v,) for v in values], "v double"), "v", "i").collect()
         rows.sort(key=lambda r: r.v)
         for a, b in zip(rows, rows[1:], strict=False):
             assert (a.i < b.i) if a.v < b.v else (a.i == b.i)
@@ -332,5 +337,69 @@ class TestHashing:
         assert [(r.file_bytes, r.file_hash) for r in landing.hashed(spark, str(tmp_path)).collect()] == [(size, total.hexdigest())]
 
 
+class TestReplacing:
+    def test_a_run_that_breaks_off_leaves_the_old_table_or_the_new(self, spark, tmp_path, monkeypatch):
+        path = str(tmp_path / "t")
+        old = [("a", 1), ("b c%", 2), (None, 3)]
+        new = [("a", 10), ("d", 40)]
+        frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+        scope = frame(old + new).select("k")
+        held = lambda: sorted((str(r.k), r.v) for r in spark.read.parquet(path).collect())
+        sinks.write_replacing(frame(old), path, ["k"], scope)
+        before = held()
+
+        with monkeypatch.context() as patch:
+            patch.setattr(sinks, "_decide", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                sinks.write_replacing(frame(new), path, ["k"], scope)
+        assert held() == before and not sinks.recover(spark, path) and held() == before
+
+        with monkeypatch.context() as patch:
+            plain, calls = sinks.recover, []
+            patch.setattr(sinks, "recover", lambda *a: plain(*a) if not calls.append(1) and len(calls) == 1 else (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                sinks.write_replacing(frame(new), path, ["k"], scope)
+        assert held() == before
+        after = sorted((str(r.k), r.v) for r in sinks.read_replaced(spark, path).collect())
+        assert after == sorted((str(k), v) for k, v in new) and not sinks.recover(spark, path)
+
+
+class TestDimensionsAsInputs:
+    def test_a_ninth_product(self, spark):
+        products = product_dim(spark)
+        corn = products.filter("root = 'ZC'")
+        ninth = products.unionByName(corn.withColumn("root", F.lit("QQ")).withColumn("tick_size", F.lit(0.5)).withColumn("exchange", F.lit("HERE")))
+        row = contracts_from_symbols(spark.createDataFrame([("QQZ25",)], "contract_id string"), ninth).first()
+        assert (row.root, row.exchange, row.tick_size, row.month_code) == ("QQ", "HERE", 0.5, "Z")
+        assert contracts_from_symbols(spark.createDataFrame([("QQZ25",)], "contract_id string")).first().exchange is None
+        tape = settle(records(spark, "QQZ25,2025-09-15 09:00:00,1.5,2.0,1.0,1.25,5\nQQZ25,2025-09-15 09:01:00,1.5,2.0,1.0,1.5,5"), "ninth")
+        given = tables(spark, tape)
+        given.contracts, given.products = contracts_from_symbols(tape.select("contract_id"), ninth), ninth
+        sc = build_scope(spark, given)
+        assert [f["details"]["field"] for f in fire(sc, "VAL.OFF_TICK_PRICE")] == ["close"]
+        assert sc.calendar.filter("root = 'QQ'").count() > 5 and sc.refusal is None
+
+    def test_an_exempt_tick(self, spark):
+        tape = settle(records(spark, "ESZ25,2025-09-15 09:00:00,100.1,101.1,99.0,100.1,5"), "exempt")
+        given = tables(spark, tape)
+        every = {f["details"]["field"] for f in fire(build_scope(spark, given), "VAL.OFF_TICK_PRICE")}
+        given.ticks = tick_dim(spark).withColumn("exempt", F.col("exempt") | (F.col("field") == "open"))
+        left = {f["details"]["field"] for f in fire(build_scope(spark, given), "VAL.OFF_TICK_PRICE")}
+        assert every == {"open", "high", "close"} and left == {"high", "close"}
+
+    def test_severity_and_triage_weight(self, spark):
+        tape = settle(records(spark, "ESZ25,2025-09-15 09:00:00,100,101,99,100,-5"), "grade")
+        plain = scope(spark, tape)
+        rule = "VAL.NEGATIVE_VOLUME"
+        changed = scope(spark, tape, overrides={rule: {"severity": "info"}})
+        assert {f["severity"] for f in fire(plain, rule)} == {RULES_BY_ID[rule].severity} and {f["severity"] for f in fire(changed, rule)} == {"info"}
+        found, _ = run_rules(changed, [rule])
+        assert {r.severity for r in found.collect()} == {"info"}
+        with pytest.raises(ValueError):
+            fire(scope(spark, tape, overrides={rule: {"severity": "grave"}}), rule)
+        resolved = spark.createDataFrame([], "contract_id string, frequency string, rule_id string, overall double")
+        assert worklist(found, resolved, {rule: 7.5}).first().triage_weight == 7.5
+
+
 def test_minutes_helper_makes_neighbours():
     assert len(minutes("ESZ25", "2025-09-15", "09:00", [1.0, 2.0]).splitlines()) == 2
