@@ -4,8 +4,8 @@ The forest is fitted on a bounded sample and indexes every vector. A query walks
 priority queue, ordered by the squares of its distances from the splits it crosses, until it has met enough leaves. How
 many are enough is measured on the sample, where the true neighbours are known: clustered vectors need few leaves, vectors
 without structure many, but never so many that the cosines would outnumber those of an exact search.
-Vectors and queries of a leaf meet in blocks of bounded size, where cosines are exact; the best of all
-blocks are ranked. Equal vectors are one candidate that lists its smallest ids, since only those can be
+Neighbouring leaves make a cell. Vectors and queries of a cell meet in blocks of bounded size, where a query is compared,
+exactly, with the leaves it chose; each block gives its best few, and the best of all blocks are ranked. Equal vectors are one candidate that lists its smallest ids, since only those can be
 among the nearest. Vectors of every length have a forest of their own.
 """
 
@@ -36,7 +36,9 @@ TARGET = 0.95
 ASKED = 150
 #: Largest sum over the trees of the shares of leaves that a query meets: below an exact search.
 MOST = 0.98
-#: Vectors of one leaf that one block holds; a fuller leaf is cut into several.
+#: Levels of a tree that one cell spans: 32 leaves at most.
+CELL_LEVELS = 5
+#: Vectors of one cell that one block holds; a fuller cell is cut into several.
 BLOCK = 4096
 #: Query vectors that one block holds; more are cut likewise.
 QUERY_BLOCK = 4096
@@ -177,55 +179,67 @@ def of_length(real: DataFrame, is_query: Column, k: int, share: float | None, ro
     trees = len(forest.value.planes)
     probes = max(1, int((share_for(points, k) if share is None else share) * trees * 2 ** forest.value.depth))
 
+    shift = min(CELL_LEVELS, forest.value.depth)
+
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             leaf = forest.value.leaves(unit(matrix(f.v))) if len(f) else np.zeros((0, trees), np.int64)
             yield pd.DataFrame({
-                "tree": np.tile(np.arange(trees), len(f)), "leaf": leaf.ravel(), "rep": np.repeat(f.rep.to_numpy(), trees)})
+                "tree": np.tile(np.arange(trees), len(f)), "cell": leaf.ravel() >> shift, "leaf": leaf.ravel(),
+                "rep": np.repeat(f.rep.to_numpy(), trees)})
 
-    placed = settle(classes.select("rep", "v").mapInPandas(place, "tree int, leaf long, rep long"), "placed")
-    order = small(settle(placed.groupBy("tree", "leaf").count().select(
-        "tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "leaves"))
-    index = placed.join(order, ["tree", "leaf"]).join(classes.select("rep", "ids", "v"), "rep").select(
-        "tree", "leaf", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "ids", "v")
+    placed = settle(classes.select("rep", "v").mapInPandas(place, "tree int, cell long, leaf long, rep long"), "placed")
+    order = small(settle(placed.groupBy("tree", "cell").count().select(
+        "tree", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "cells"))
+    index = placed.join(order, ["tree", "cell"]).join(classes.select("rep", "ids", "v"), "rep").select(
+        "tree", "cell", "leaf", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "ids", "v")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for rep, v in zip(f.rep, matrix(f.v), strict=True):
-                hits = forest.value.search(v / np.linalg.norm(v), probes)
-                yield pd.DataFrame({"tree": [h[0] for h in hits], "leaf": [h[1] for h in hits], "q": rep})
+                chosen: dict[tuple[int, int], list[int]] = {}
+                for tree, leaf in forest.value.search(v / np.linalg.norm(v), probes):
+                    chosen.setdefault((tree, leaf >> shift), []).append(leaf)
+                yield pd.DataFrame({"tree": [c[0] for c in chosen], "cell": [c[1] for c in chosen], "leaves": list(chosen.values()), "q": rep})
 
     questions = classes.select("rep", "ids", "v").join(
         asked.select("v").distinct().withColumnRenamed("v", "w"), F.col("v") == F.col("w"), "left_semi").select("rep", "v")
-    walked = settle(questions.mapInPandas(walk, "tree int, leaf long, q long"), "walked")
-    wide = small(settle(walked.groupBy("tree", "leaf").count().select(
-        F.col("tree").alias("t"), F.col("leaf").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("parts")), "asked-leaves"))
-    probesets = walked.join(order, ["tree", "leaf"]).join(
-        wide, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).join(
+    walked = settle(questions.mapInPandas(walk, "tree int, cell long, leaves array<long>, q long"), "walked")
+    wide = small(settle(walked.groupBy("tree", "cell").count().select(
+        F.col("tree").alias("t"), F.col("cell").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("parts")), "asked-cells"))
+    probesets = walked.join(order, ["tree", "cell"]).join(
+        wide, (F.col("tree") == F.col("t")) & (F.col("cell") == F.col("l"))).join(
         questions.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").select(
-        "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), "q", "qv")
-    spread = index.join(wide, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("l"))).select(
-        "tree", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "ids", "v")
+        "tree", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), "leaves", "q", "qv")
+    spread = index.join(wide, (F.col("tree") == F.col("t")) & (F.col("cell") == F.col("l"))).select(
+        "tree", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "rep", "ids", "v")
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = {"q": [], "rep": [], "score": []}
         if len(left) and len(right):
-            b = matrix(right.v)
-            size = np.linalg.norm(b, axis=1)
-            reps = right.rep.to_numpy()
+            right = right.sort_values("leaf", kind="stable")
+            b = unit(matrix(right.v))
+            reps, leaf = right.rep.to_numpy(), right.leaf.to_numpy()
             for i in range(0, len(left), 256):
                 part = left.iloc[i:i + 256]
-                a = matrix(part.qv)
-                cosine = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * size)
+                a = unit(matrix(part.qv))
+                asks = np.repeat(np.arange(len(part)), part.leaves.map(len))
+                wanted = np.concatenate(part.leaves.to_list())
+                cosine = np.full((len(part), len(b)), -np.inf)
+                for node in np.unique(wanted):
+                    x, y = np.searchsorted(leaf, (node, node + 1))
+                    rows = asks[wanted == node]
+                    cosine[rows, x:y] = a[rows] @ b[x:y].T
                 for q, row in zip(part.q, cosine, strict=True):
-                    best = np.lexsort((reps, -row))[:k + 1] if len(row) <= 64 else top(row, reps, k + 1)
+                    best = top(row, reps, k + 1)
+                    best = best[row[best] > -np.inf]
                     columns["q"] += [q] * len(best)
                     columns["rep"] += reps[best].tolist()
                     columns["score"] += row[best].tolist()
         return pd.DataFrame(columns)
 
-    keys = ["tree", "leaf", "block", "part"]
+    keys = ["tree", "cell", "block", "part"]
     met = probesets.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, "q long, rep long, score double")
     best = met.groupBy("q", "rep").agg(F.max("score").alias("score"))
     ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
