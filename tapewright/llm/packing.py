@@ -29,7 +29,7 @@ SCHEMA = ("doc_id long, start long, length long, ids binary, loss_tokens long, d
 #: Remainders from which the next one is chosen; each is shorter than a sequence.
 POOL = 256
 #: Distinct words whose ids a worker remembers, and the bytes of text that it encodes at once.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 SLICE = 1 << 20
 
 
@@ -82,7 +82,8 @@ class WordTokens:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of every text of a column; null counts as empty.
 
-        Words that come more than once in it are remembered while there is room, the others encoded anew each time.
+        Words are remembered until half the room is taken, then only those that come more than once in a slice; others are
+        encoded anew each time.
         """
         data, offsets = utf8(column)
         words = words_of(data, offsets, lower=True, cut=True)
@@ -98,7 +99,7 @@ class WordTokens:
             length[new] = [len(own) for own in ids]
             begin[new] = len(flat) + np.cumsum(length[new]) - length[new]
             flat = np.concatenate((flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length[new].sum()))))
-            again = times[new] > 1
+            again = (times[new] > 1) | (len(self.known) < REMEMBERED // 2)
             self.remember(distinct[new][again], [own for own, keep in zip(ids, again.tolist(), strict=True) if keep])
         begin, length = begin[which], length[which]
         ends = np.concatenate(([0], np.cumsum(length)))
