@@ -257,6 +257,24 @@ class TestMedians:
         assert stats.exact_median(df, ["g"], "x", "m").first().m == 1.0 + 9999.5 * 2**-52 or plain
         assert len(cuts) <= 6 and widest[-1] <= 100
 
+    def test_copies_are_counted_before_anything_is_cut(self, spark, monkeypatch):
+        """Rows beyond the bound but few distinct values: no range is cut, and counts stand for rows."""
+        monkeypatch.setattr(stats, "MOST", 100)
+        monkeypatch.setattr(stats, "_narrowed", None)
+        df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") % 90).cast("double").alias("x"))
+        want = statistics.median(float(i % 90) for i in range(20_000))
+        assert [(r.n, r.m) for r in stats.exact_median(df, ["g"], "x", "m").collect()] == [(20_000, want)]
+        counted = df.groupBy("g", "x").agg(F.count("*").alias("c"))
+        assert [(r.n, r.m) for r in stats.exact_median(counted, ["g"], "x", "m", count="c").collect()] == [(20_000, want)]
+
+    def test_counts_weigh_in_cut_ranges(self, spark, monkeypatch):
+        monkeypatch.setattr(stats, "BUCKETS", 16)
+        monkeypatch.setattr(stats, "MOST", 4)
+        counts = {float(k): 1 + (k * 7) % 5 for k in range(-30, 60)}
+        df = spark.createDataFrame([("g", x, c) for x, c in counts.items()], "g string, x double, c bigint")
+        rows = [x for x, c in counts.items() for _ in range(c)]
+        assert [(r.n, r.m) for r in stats.exact_median(df, ["g"], "x", "m", count="c").collect()] == [(len(rows), statistics.median(rows))]
+
 
 class TestVwapBlocks:
     def test_equals_brute_force_across_blocks(self, spark, monkeypatch):
