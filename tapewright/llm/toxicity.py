@@ -7,9 +7,10 @@ label, are the unlabelled ones, of which a share ``prior`` is toxic. With the si
     prior * E_p[l(+z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]).
 
 Its second part estimates the loss on clean texts, which cannot be negative; a batch in which it is gets a step
-that raises it again, so that the positives among the unlabelled texts are not learned by heart. Only terms whose
-frequency differs clearly between the two samples take part. Some linear classifiers, fitted from different
-starts, vote with their mean margin.
+that raises it again, so that the positives among the unlabelled texts are not learned by heart. Only terms that toxic
+texts have clearly more often take part. The sigmoid loss is flat far from nought and has minima that give up a
+language or every text, so a fit starts where the sum of the shares of those terms parts off ``prior`` of the
+unlabelled texts. Some linear classifiers, fitted from different starts, vote with their mean margin.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ DECAY = 1e-5
 #: A term takes part if its document frequencies differ by so many standard errors and so many texts have it.
 DEVIATIONS = 3.0
 SEEN = 4
+#: And if toxic texts have it so many times as often as clean ones.
+LIFT = 4.0
+#: A start varies the weights by so much (standard deviation of their logarithm).
+SPREAD = 0.2
 #: Shares are small: a word in a hundred is worth this much.
 SCALE = 100.0
 
@@ -98,12 +103,15 @@ def terms_of(words: Words) -> Sparse:
     return Sparse(code % TERMS, value.astype(np.float32), np.searchsorted(row, np.arange(n + 1)))
 
 
-def telling(positive: Sparse, unlabelled: Sparse) -> np.ndarray:
-    """Marks of the terms whose share of texts differs between the samples by ``DEVIATIONS`` standard errors."""
+def telling(positive: Sparse, unlabelled: Sparse, prior: float) -> np.ndarray:
+    """Marks of the terms of toxic texts: their share of texts is larger among the positives by ``DEVIATIONS`` standard errors,
+    and ``LIFT`` times that of clean texts, which is what the unlabelled share leaves once ``prior`` of the positive one is taken off."""
     p, u = (np.bincount(x.term, minlength=TERMS) for x in (positive, unlabelled))
     both = (p + u + 0.5) / (len(positive) + len(unlabelled) + 1)
     error = np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
-    return (np.abs(p / len(positive) - u / len(unlabelled)) > DEVIATIONS * error) & (p + u >= SEEN)
+    p_share, u_share = p / len(positive), u / len(unlabelled)
+    lifted = (1 - prior) * p_share >= LIFT * (u_share - prior * p_share)
+    return (p_share - u_share > DEVIATIONS * error) & lifted & (p + u >= SEEN)
 
 
 @dataclass
@@ -146,13 +154,14 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float, *, members: int = ME
     """Adam on the non-negative risk over batches that mix both kinds; no positives: a classifier that finds nothing."""
     if not len(positive) or not len(unlabelled):
         return Classifiers(np.zeros((0, TERMS), np.float32), np.zeros(0))
-    wanted = telling(positive, unlabelled)
+    wanted = telling(positive, unlabelled, prior)
     positive, unlabelled = positive.only(wanted), unlabelled.only(wanted)
     weights, biases = [], []
     steps = max(1, len(unlabelled) // BATCH)
     for member in range(members):
         rng = np.random.default_rng(seed + member)
-        w, step = np.concatenate((rng.normal(0, 0.05, TERMS) * wanted, [-1.0])), 0
+        start, step = np.exp(rng.normal(0, SPREAD, TERMS)) * wanted, 0
+        w = np.append(start, -max(1.0, np.quantile(unlabelled.dot(start), 1 - prior)))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)

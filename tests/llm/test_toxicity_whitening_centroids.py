@@ -95,6 +95,40 @@ class TestToxicity:
             step = np.eye(9)[at] * 1e-6
             assert on_u[at] == pytest.approx((risk(z_p, z_u + step) - risk(z_p, z_u - step)) / 2e-6, abs=1e-6)
 
+    def test_no_language_is_given_up(self):
+        """Four vocabularies with foul words of their own, a fiftieth of the words of a toxic text; they are not as frequent among toxic texts as elsewhere."""
+        rng = np.random.default_rng(11)
+        among = {True: [0.5, 0.2, 0.18, 0.12], False: [0.65, 0.15, 0.12, 0.08]}
+        # A fifth of the words are the commonest few, whose shares are large.
+        plain = [[f"{a}{i:03d}" for i in range(400)] for a in ("wort", "mots", "word", "pala")]
+        foul = [[f"{a}{i}" for i in range(6)] for a in ("übel", "vilain", "scorn", "torpe")]
+
+        def text(lang, toxic):
+            n = int(rng.integers(80, 400))
+            at = np.where(rng.random(n) < 0.2, rng.integers(0, 4, n), rng.integers(0, 400, n))
+            words = [plain[lang][i] for i in at]
+            for j in rng.choice(n, max(2, n // 50), replace=False) if toxic else ():
+                words[j] = foul[lang][rng.integers(6)]
+            return " ".join(words)
+
+        def rows(n, toxic):
+            bad = rng.random(n) < toxic
+            lang = np.array([rng.choice(4, p=among[bool(b)]) for b in bad])
+            texts = pa.array([text(a, b) for a, b in zip(lang, bad, strict=True)])
+            return lang, bad, words_of(*utf8(texts), lower=True, cut=True)
+
+        model = toxicity.fit(toxicity.terms_of(rows(1500, 1)[2]), toxicity.terms_of(rows(3000, 0.1)[2]), 0.1)
+        lang, bad, words = rows(1200, 0.4)
+        hit = model.scores(words) >= 0.5
+        for at in range(4):
+            assert hit[bad & (lang == at)].mean() > 0.9, at
+        assert hit[~bad].mean() < 0.01
+
+    def test_without_telling_terms_nothing_is_found(self):
+        words = words_of(*utf8(pa.array(["one two three", "three two one", "two"] * 20)), lower=True, cut=True)
+        rows = toxicity.terms_of(words)
+        assert toxicity.fit(rows, rows, 0.1).scores(words).max() < 0.5
+
     def test_odd_rows(self, spark):
         texts, marks = self.corpus(120)
         docs = documents(spark, [*enumerate(texts), (None, texts[0]), (500, None), (501, ""), (502, " \n"), (503, "vileword " * 30_000), (0, texts[0])])
