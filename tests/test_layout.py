@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tapewright.functions.stats as stats
+import tapewright.operators.gate as gate
 import tapewright.operators.vwap as vwap_module
 from tapewright.catalogue import RULES_BY_ID
 from tapewright.functions import order, series
@@ -419,5 +420,41 @@ class TestDimensionsAsInputs:
         assert worklist(found, resolved, {rule: 7.5}).first().triage_weight == 7.5
 
 
+FOUND = "finding_id string, rule_id string, severity string, status string, contract_id string, frequency string, trade_date date, record_id bigint, affected_rows bigint, ts_start_utc timestamp, ts_end_utc timestamp"
+
+
+def test_sessions_meet_counts_and_not_findings(spark, monkeypatch):
+    """Sets of rules are gathered from one row per key, rule and severity, however many findings there are."""
+    days = [dt.date(2025, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rules = [("VAL.NEGATIVE_VOLUME", "critical"), ("VAL.OFF_TICK_PRICE", "warning"), ("CON.HIGH_LT_LOW", "critical")]
+    series_rule = next(r for r in RULES_BY_ID if RULES_BY_ID[r].scope == "series")
+    rng = random.Random(5)
+    found = []
+    for i in range(900):
+        rule, severity = rng.choice(rules)
+        found.append((f"f{i}", rule, severity, rng.choice(["open", "open", "closed"]), rng.choice(["A", "B", None]), rng.choice(["minute", None]),
+                      rng.choice([*days, None]), i, 1, None, None))
+    found.append(("s", series_rule, "critical", "open", "A", None, None, None, 1, None, None))
+    found.append(("odd", None, "critical", "open", "A", "minute", days[0], 7, 1, None, None))
+    sessions = [(c, "minute", d, dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 1)) for c in "AB" for d in days]
+    settled = {}
+
+    def spy(df, label):
+        settled[label] = settle(df, label)
+        return settled[label]
+
+    monkeypatch.setattr(gate, "settle", spy)
+    held = spark.createDataFrame(sessions, "contract_id string, frequency string, trade_date date, first_ts_utc timestamp, last_ts_utc timestamp")
+    got = {(r.contract_id, r.trade_date): (r.finding_count, r.max_severity, list(r.blocking_rule_ids))
+           for r in gate.session_quality(held, spark.createDataFrame(found, FOUND)).collect()}
+    for contract, _, day, *_ in sessions:
+        met = [f for f in found if f[3] == "open" and f[1] in dict(rules) and f[4] in (contract, None) and f[5] in ("minute", None) and f[6] in (day, None)]
+        whole = [f for f in found if f[1] == series_rule and f[4] == contract]
+        worst = "critical" if any(f[2] == "critical" for f in met + whole) else "warning" if met else None
+        assert got[contract, day] == (len(met), worst, sorted({f[1] for f in met + whole if f[2] == "critical"}))
+    keys = {(f[4], f[5], f[6], f[1], f[2]) for f in found if f[3] == "open" and f[1] is not None}
+    assert settled["session-tallies"].count() == len(keys) < 900
+
+
 def test_minutes_helper_makes_neighbours():
     assert len(minutes("ESZ25", "2025-09-15", "09:00", [1.0, 2.0]).splitlines()) == 2
