@@ -23,7 +23,7 @@ from tapewright.operators.expected import absent_days
 from tapewright.operators.gate import disjoint
 from tapewright.operators.reconcile import session_frame
 from tapewright.operators.scope import build_scope
-from tapewright.operators.scoring import worklist
+from tapewright.operators.scoring import daily_metrics, dimension_scores, worklist
 from tapewright.operators.series_rules import SERIES_RULES
 from tapewright.operators.session_rules import missing_timestamp
 from tapewright.operators.vwap import vwap_15m
@@ -456,5 +456,17 @@ def test_sessions_meet_counts_and_not_findings(spark, monkeypatch):
     assert settled["session-tallies"].count() == len(keys) < 900
 
 
+def test_findings_are_counted_by_rule_before_dimensions(spark):
+    tape = settle(records(spark, minutes("ESZ25", "2025-09-15", "09:00", [100.0] * 6)), "dims")
+    sc = scope(spark, tape)
+    rules = ["VAL.NEGATIVE_VOLUME", "VAL.NEGATIVE_VOLUME", "VAL.OFF_TICK_PRICE", "NO.SUCH_RULE", None]
+    found = settle(spark.createDataFrame([
+        (f"f{i}", rule, "critical", "open", "ESZ25", "minute", dt.date(2025, 9, 15), i, 1, None, None) for i, rule in enumerate(rules)], FOUND), "found")
+    want = Counter(RULES_BY_ID[r].dimension for r in rules if r in RULES_BY_ID)
+    for scored in (dimension_scores(sc, found), daily_metrics(sc, found)):
+        assert {r.dimension: r.finding_count for r in scored.collect() if r.finding_count} == want
+        assert re.search(r"HashAggregate\(keys=\[[^]]*rule_id", plan(scored))
+
+
 def test_minutes_helper_makes_neighbours():
     assert len(minutes("ESZ25", "2025-09-15", "09:00", [1.0, 2.0]).splitlines()) == 2
