@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tapewright.functions.stats as stats
+import tapewright.operators.cleaning as cleaning
 import tapewright.operators.gate as gate
 import tapewright.operators.vwap as vwap_module
 from tapewright.catalogue import RULES_BY_ID
@@ -468,5 +469,29 @@ def test_findings_are_counted_by_rule_before_dimensions(spark):
         assert re.search(r"HashAggregate\(keys=\[[^]]*rule_id", plan(scored))
 
 
+@pytest.mark.parametrize("rows", [0, 100])
+def test_decisions_are_counted_and_not_their_distinct_records(spark, monkeypatch, rows):
+    """Whether to broadcast what was removed is decided without a pass that seeks distinct ids; either way the rows are the same."""
+    tape = settle(records(spark, minutes("ESZ25", "2025-09-15", "09:00", [100.0 + i for i in range(8)])), "decided")
+    ids = sorted(r.record_id for r in tape.collect())
+    actions = settle(spark.createDataFrame(
+        [(ids[0], "CON.HIGH_LT_LOW", "exclude"), (ids[0], "VAL.NEGATIVE_VOLUME", "exclude"), (ids[7], "UNQ.EXACT_DUPLICATE", "dedupe_drop"),
+         (ids[7], "UNQ.EXACT_DUPLICATE", "dedupe_drop"), (ids[3], "VAL.OFF_TICK_PRICE", "coerce"), (None, "CON.HIGH_LT_LOW", "exclude")],
+        "record_id bigint, rule_id string, action string"), "actions")
+    small, counted = cleaning.small, []
+
+    def spy(df, most=None, **kind):
+        counted.append(plan(kind.get("counted", df)))
+        return small(df, rows, **kind)
+
+    monkeypatch.setattr(cleaning, "small", spy)
+    kept = cleaning.clean_records(tape, actions)
+    bars = {r.basis: r for r in build_bars(tape, actions).collect()}
+    assert sorted(r.record_id for r in kept.collect()) == ids[1:7]
+    assert (bars["raw"].record_count, bars["raw"].open, bars["raw"].close) == (8, 100.0, 107.0)
+    assert (bars["clean"].record_count, bars["clean"].open, bars["clean"].close) == (6, 101.0, 106.0)
+    assert len(counted) == 2 and not any("Aggregate" in p for p in counted)
+
+
 def test_minutes_helper_makes_neighbours():
     assert len(minutes("ESZ25", "2025-09-15", "09:00", [1.0, 2.0]).splitlines()) == 2
